@@ -1,0 +1 @@
+"""Every input of this engine is a static table; there are no streaming operators."""
