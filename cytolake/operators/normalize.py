@@ -168,8 +168,14 @@ def scale(values: DataFrame, cells: DataFrame, features: DataFrame, by: Sequence
         stats = gene_moments(kept.withColumn("_all", F.lit(0)), cells.withColumn("_all", F.lit(0)),
                              ["_all"], value).drop("_all")
     stats = stats.withColumn("sd", F.sqrt("var"))
-    top = F.lit(float(clip))
-    z = F.coalesce(F.least(F.try_divide(F.col(value) - F.col("mu"), F.col("sd")), top), F.lit(0.0))
-    scaled = kept.join(stats.select(*by, "gene", "mu", "sd"), [*by, "gene"]).withColumn("z", z).drop("mu", "sd")
-    zero = F.coalesce(F.least(F.try_divide(-F.col("mu"), F.col("sd")), top), F.lit(0.0))
-    return scaled, stats.select(*by, "gene", "n", "mu", "sd", zero.alias("zero_z"))
+    zero = F.coalesce(F.least(F.try_divide(-F.col("mu"), F.col("sd")), F.lit(float(clip))), F.lit(0.0))
+    stats = stats.select(*by, "gene", "n", "mu", "sd", zero.alias("zero_z"))
+    return scale_with(kept, stats, by, clip, value), stats
+
+
+def scale_with(values: DataFrame, stats: DataFrame, by: Sequence[str] = (), clip: float = 10.0,
+               value: str = "v") -> DataFrame:
+    """z-scores of non-zero values by the means and deviations of another set of cells."""
+    z = F.least(F.try_divide(F.col(value) - F.col("mu"), F.col("sd")), F.lit(float(clip)))
+    return (values.join(stats.select(*by, "gene", "mu", "sd"), [*by, "gene"])
+            .withColumn("z", F.coalesce(z, F.lit(0.0))).drop("mu", "sd"))

@@ -24,9 +24,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so lost executors never replay the loop that built it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the files.
+
+    Lost executors then never replay the loop that built it, later reads are columnar, and Spark
+    knows the true size when it chooses joins. (A reliable ``checkpoint()`` would also do, but it hands
+    the plan's inferred constraints on, and those pile up over the rounds of a loop.)
+    """
+    path = stage_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -89,3 +95,9 @@ def per_chunk(model: DataFrame, group: Sequence[str], sizes: DataFrame, rows: in
     chunks = sizes.select(*group, chunk_count(rows).alias("_chunks"))
     return (model.join(chunks, list(group)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
             .drop("_chunks"))
+
+
+def cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    """Cogroup two tables that may stem from the same one; the right one gets fresh column identities."""
+    right = right.toDF(*right.columns)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fn, schema)
