@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cytolake.operators import markers, normalize, qc
+from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions
+from cytolake.runtime import cut_lineage
 from cytolake.schema import CELL_KEY
 
 from . import basic, fixtures as fx
@@ -112,3 +113,322 @@ def i21(s, d):
     found = qc.distribution(basic.described(s, d), ["n_count", "n_feature", "pct_mt"], ["sample", "grp"])
     return found.select("metric", "sample", "grp", "n", "v_min", r6("v_q1"), r6("v_median"), r6("v_mean"),
                         r6("v_q3"), "v_max")
+
+
+# ---- components
+
+def scaled_parts(s, d):
+    counts = cut_lineage(fx.counts(s, d))
+    cells = cut_lineage(qc.cell_metrics(counts))
+    ranked = normalize.variable_features(counts, cells, 2000)
+    chosen = cut_lineage(normalize.consensus_features(ranked, 200))
+    v = normalize.log_normalize(counts, cells)
+    return *normalize.scale(v, cells, chosen), cells
+
+
+@register("i5_pca")
+def i5(s, d):
+    scaled, genes, cells = scaled_parts(s, d)
+    embedding, _, _ = pca.fit(scaled, genes, cells, 20)
+    return embedding.select(*CELL_KEY, F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@register("i6_component_sdev", sql(
+    "SELECT i AS pc, round(stddev_samp(vec[i]), 6) AS sdev FROM vectors, range(1, 65) t(i) GROUP BY 1", "vectors"))
+def i6(s, d):
+    return pca.component_sdev(fx.vectors(s, d)).select("pc", r6("sdev"))
+
+
+@register("i7_batch_correction")
+def i7(s, d):
+    fixed = batch.harmony(fx.vectors(s, d), ["batch"], lam=1.0, max_rounds=3)
+    return fixed.select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+# ---- graphs over the embedding vectors
+
+def brute(points: str, k: str, by: str = "sample") -> dict:
+    """SQL form of the exact k nearest neighbours, by (distance, id)."""
+    return dict(pairs=f"""SELECT a.{by}, a.cell_id AS i, b.cell_id AS j,
+            round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS d2
+            FROM {points} a JOIN {points} b USING ({by})""",
+                near=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}, i ORDER BY d2, j) AS rk FROM pairs)
+            WHERE rk <= {k}""")
+
+
+def neighbours(s, d, k=20):
+    return graph.knn(fx.vectors(s, d), k)
+
+
+@register("i8_knn", sql("SELECT i, rk, j, round(d2, 6) AS d2 FROM near", "vectors", **brute("vectors", "20")))
+def i8(s, d):
+    return neighbours(s, d).select("i", "rk", "j", r6("d2"))
+
+
+@register("i8_knn_probed")
+def i8_probed(s, d):
+    return graph.knn(fx.vectors(s, d), 20, probe=8, pivot_rows=64).select("i", "rk", "j", r6("d2"))
+
+
+SNN = dict(brute("vectors", "20"), edges="""SELECT src, dst, s / (40.0 - s) AS w FROM
+    (SELECT x.i AS src, y.i AS dst, COUNT(*) AS s FROM near x JOIN near y ON x.j = y.j AND x.i < y.i GROUP BY 1, 2)
+    WHERE s / (40.0 - s) >= 1.0 / 15""")
+
+
+@register("i9_snn_graph", sql("SELECT src, dst, round(w, 6) AS w FROM edges", "vectors", **SNN))
+def i9(s, d):
+    _, edges = graph.snn(neighbours(s, d), 20, by=["sample"])
+    return edges.select("src", "dst", r6("w"))
+
+
+@register("i10_modularity", sql(
+    """SELECT round(SUM(ins) / SUM(tot) - SUM(tot * tot) / (SUM(tot) * SUM(tot)), 6) AS q FROM
+       (SELECT a.batch, SUM(CASE WHEN a.batch = b.batch THEN w ELSE 0 END) AS ins, SUM(w) AS tot FROM
+        (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges) e
+        JOIN vectors a ON a.cell_id = e.src JOIN vectors b ON b.cell_id = e.dst GROUP BY 1)""", "vectors", **SNN))
+def i10_q(s, d):
+    _, edges = graph.snn(neighbours(s, d), 20, by=["sample"])
+    labelled = fx.vectors(s, d).select(F.col("cell_id").alias("node"), F.col("batch").alias("cluster"))
+    return graph.modularity(edges, labelled).select(r6("q"))
+
+
+@register("i10_communities")
+def i10(s, d):
+    members, edges = graph.snn(neighbours(s, d), 20, by=["sample"])
+    return graph.communities(members, edges, [0.5, 1.0], ["sample"]).select("cell", "resolution", "cluster")
+
+
+def region_levels(s, d):
+    """Region and nation as the labels of two resolutions."""
+    c = fx.cells(s, d)
+    coarse = labels.nth_level(c, "grp").select(F.col("cell_id").alias("cell"), F.lit(0.1).alias("resolution"),
+                                               F.col("level").alias("cluster"))
+    return coarse.unionByName(c.select(F.col("cell_id").alias("cell"), F.lit(0.3).alias("resolution"), "cluster"))
+
+
+@register("i11_resolution_tree", sql(
+    """SELECT CAST(0.1 AS DOUBLE) AS from_resolution, g AS from_cluster, CAST(0.3 AS DOUBLE) AS to_resolution, cluster AS to_cluster, n,
+       round(n / SUM(n) OVER (PARTITION BY cluster), 6) AS in_prop FROM
+       (SELECT g, cluster, COUNT(*) AS n FROM (SELECT *, dense_rank() OVER (ORDER BY grp) AS g FROM cells) GROUP BY 1, 2)""",
+    "cells"))
+def i11(s, d):
+    edges, _ = graph.resolution_tree(region_levels(s, d))
+    return edges.withColumn("in_prop", F.round("in_prop", 6))
+
+
+@register("i11_tree_nodes", sql(
+    """SELECT resolution, cluster, COUNT(*) AS size, round(AVG(COALESCE(n_count, 0)), 6) AS mean_v FROM
+       (SELECT cell_id, CAST(0.1 AS DOUBLE) AS resolution, dense_rank() OVER (ORDER BY grp) AS cluster FROM cells
+        UNION ALL SELECT cell_id, 0.3, cluster FROM cells) LEFT JOIN metrics USING (cell_id) GROUP BY 1, 2""",
+    "cells", "metrics"))
+def i11_nodes(s, d):
+    marker = basic.metrics(s, d).select(F.col("cell_id").alias("cell"), F.col("n_count").alias("v"))
+    _, nodes = graph.resolution_tree(region_levels(s, d), marker)
+    return nodes.withColumn("mean_v", F.round("mean_v", 6))
+
+
+# ---- doublets
+
+@register("i12_doublet_scores")
+def i12(s, d):
+    return scored_cells(s, d).withColumn("scrublet_score", F.round("scrublet_score", 6))
+
+
+def scored_cells(s, d):
+    counts = cut_lineage(fx.counts(s, d))
+    cells = cut_lineage(qc.cell_metrics(counts))
+    return doublets.doublet_scores(counts, cells, qc.expected_doublet_rate(cells), n_features=200, n_pcs=20)
+
+
+STAGED = dict(brute("vectors", "21"),
+              seen="""SELECT i, CAST(SUM(CASE WHEN b.batch >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS k_sim FROM near
+              JOIN vectors b ON b.cell_id = j JOIN vectors a ON a.cell_id = i WHERE i <> j AND a.batch < 5 GROUP BY 1""",
+              ratio="""SELECT COUNT(*) FILTER (batch >= 5) / COUNT(*) FILTER (batch < 5) AS r FROM vectors""",
+              scores="""SELECT i, k_sim, (k_sim + 1) / 22.0 * 0.06 / r /
+              (1 - 0.06 - (k_sim + 1) / 22.0 * (1 - 0.06 - 0.06 / r)) AS score FROM seen, ratio""")
+
+
+def staged_scores(s, d):
+    """Embedding vectors with half of the labels taken as synthetic doublets."""
+    points = fx.vectors(s, d).select("sample", F.col("cell_id").alias("id"), (F.col("batch") >= 5).alias("is_sim"), "vec")
+    near = graph.knn(points.withColumn("_real", ~F.col("is_sim")), 21, key="id", ask="_real")
+    seen = doublets.synthetic_neighbours(near, points, ["sample"])
+    n = points.groupBy("sample").agg((F.count_if("is_sim") / F.count_if(~F.col("is_sim"))).alias("r"))
+    return seen.join(n, "sample").select("i", "k_sim", doublets.score_from_counts(
+        F.col("k_sim"), F.col("k"), F.col("r"), F.lit(0.06)).alias("score"))
+
+
+@register("i12_score_from_neighbours", sql("SELECT i, k_sim, round(score, 6) AS score FROM scores", "vectors", **STAGED))
+def i12_staged(s, d):
+    return staged_scores(s, d).withColumn("score", F.round("score", 6))
+
+
+@register("d2_low_scores", sql("SELECT i, k_sim FROM scores WHERE round(score, 9) < 0.03", "vectors", **STAGED))
+def d2(s, d):
+    return doublets.keep_low_scores(staged_scores(s, d).withColumn("score", F.round("score", 9)), 0.03, "score").select("i", "k_sim")
+
+
+@register("i13_doublet_classes")
+def i13(s, d):
+    return classified(s, d).withColumn("pann", F.round("pann", 6))
+
+
+def classified(s, d):
+    counts = cut_lineage(fx.counts(s, d))
+    cells = cut_lineage(qc.cell_metrics(counts))
+    return doublets.classify(counts, cells, n_features=200, n_pcs=20, p_ns=(0.2, 0.25, 0.3), p_ks=(0.02, 0.05, 0.1))
+
+
+P_KS = [0.01, 0.02, 0.04]
+SHARES = dict(
+    mixed="""SELECT p_n, cell_id, vec, batch >= 7 AS is_sim FROM vectors, (VALUES (0.1, 9), (0.2, 8), (0.3, 7)) t(p_n, least_batch)
+             WHERE batch < 7 OR batch >= least_batch""",
+    sizes="SELECT p_n, COUNT(*) AS n FROM mixed GROUP BY 1",
+    **brute("mixed", "2000000000", "p_n"),
+    shares="""SELECT p_n, p_k, near.i, AVG(CASE WHEN b.is_sim THEN 1.0 ELSE 0.0 END) AS pann FROM near JOIN sizes USING (p_n)
+              JOIN mixed a ON a.p_n = near.p_n AND a.cell_id = near.i AND NOT a.is_sim
+              JOIN mixed b ON b.p_n = near.p_n AND b.cell_id = near.j, (VALUES (0.01), (0.02), (0.04)) t(p_k)
+              WHERE rk <= greatest(1, round_even(CAST(p_k AS DOUBLE) * n, 0)) GROUP BY 1, 2, 3""")
+
+
+def staged_shares(s, d):
+    """Real cells = seven labels; growing sets of the other labels taken as artificial cells."""
+    grid = F.array(*[F.struct(F.lit(p).alias("p_n"), F.lit(b).alias("b")) for p, b in ((0.1, 9), (0.2, 8), (0.3, 7))])
+    mixed = (fx.vectors(s, d).withColumn("g", F.explode(grid)).filter((F.col("batch") < 7) | (F.col("batch") >= F.col("g.b")))
+             .select("g.p_n", F.col("cell_id").alias("id"), (F.col("batch") >= 7).alias("is_sim"), "vec")
+             .withColumn("_real", ~F.col("is_sim")))
+    sizes = mixed.groupBy("p_n").agg(F.count(F.lit(1)).alias("n"))
+    ks = sizes.select("p_n", F.bround(F.lit(max(P_KS)) * F.col("n"), 0).cast("int").alias("k"))
+    near = graph.knn(mixed, None, ["p_n"], "id", "vec", ks=ks, ask="_real")
+    return doublets.artificial_share(near, mixed, sizes, P_KS, ["p_n"])
+
+
+@register("i15_artificial_share", sql(
+    "SELECT CAST(p_n AS DOUBLE) AS p_n, CAST(p_k AS DOUBLE) AS p_k, i, round(pann, 6) AS pann FROM shares", "vectors", **SHARES))
+def i15(s, d):
+    return staged_shares(s, d).withColumn("pann", F.round("pann", 6))
+
+
+@register("i14_neighbourhood_sweep", sql(
+    """SELECT p_k, round(AVG(bc), 6) AS mean_bc, round(var_samp(bc), 9) AS var_bc FROM
+       (SELECT p_n, CAST(p_k AS DOUBLE) AS p_k, (pow(skewness(pann), 2) + 1) / (kurtosis(pann) + 3 * pow(COUNT(*) - 1, 2) /
+        ((COUNT(*) - 2.0) * (COUNT(*) - 3))) AS bc FROM shares GROUP BY 1, 2) GROUP BY 1""", "vectors", **SHARES))
+def i14(s, d):
+    found = doublets.sweep(staged_shares(s, d).withColumn("all", F.lit(1)), ["all"])
+    return found.select("p_k", r6("mean_bc"), F.round("var_bc", 9).alias("var_bc"))
+
+
+LABELLED = dict(
+    hom="""SELECT sample, n, SUM((k / n) * (k / n)) AS h FROM (SELECT sample, cluster, COUNT(*) AS k FROM cells GROUP BY 1, 2)
+           JOIN per_sample USING (sample) GROUP BY 1, 2""",
+    expect="SELECT sample, round_even(round_even(0.08 * n, 0) * (1 - h), 0) AS n_exp FROM hom",
+    ranks="SELECT *, row_number() OVER (PARTITION BY sample ORDER BY pct_mt DESC, cell_id) AS rk FROM metrics",
+    classes="""SELECT sample, cell_id, CASE WHEN rk <= n_exp THEN 'Doublet' ELSE 'Singlet' END AS doublet_finder
+           FROM ranks JOIN expect USING (sample)""")
+
+
+def labelled(s, d):
+    """The feature share stands in for the doublet share; labelling and rounding are what is checked."""
+    n_exp = doublets.expected_doublets(fx.cells(s, d), "cluster", 0.08)
+    return doublets.label_top(basic.metrics(s, d), "pct_mt", n_exp).select(*CELL_KEY, "doublet_finder")
+
+
+@register("g3_label_top", sql("SELECT * FROM classes", "metrics", "cells", "per_sample", **LABELLED))
+def g3(s, d):
+    return labelled(s, d)
+
+
+@register("d3_singlets", sql("SELECT sample, cell_id FROM classes WHERE doublet_finder = 'Singlet'",
+                             "metrics", "cells", "per_sample", **LABELLED))
+def d3(s, d):
+    return doublets.keep_singlets(labelled(s, d)).select(*CELL_KEY)
+
+
+# ---- regions
+
+def region_posteriors(s, d, rounds=15):
+    return regions.region_mixture(regions.region_zscores(basic.region_means(s, d)), rounds)
+
+
+@register("i16_region_zscores", sql(
+    """SELECT sample, cell_id, region, round((x - AVG(x) OVER w) / stddev_samp(x) OVER w, 6) AS x FROM means
+       WINDOW w AS (PARTITION BY region)""", "lognorm", "genes", "regions", **basic.REGION_MEANS))
+def i16_z(s, d):
+    return regions.region_zscores(basic.region_means(s, d)).select(*CELL_KEY, "region", r6("x"))
+
+
+@register("i16_region_mixture")
+def i16(s, d):
+    models, _ = region_posteriors(s, d)
+    return models.select("region", "n", *[r6(c) for c in ("p2", "m1", "m2", "v1", "v2", "delta_bic")])
+
+
+ARMS = ["Brand#7p", "Brand#7q", "Brand#10p", "Brand#10q", "Brand#22q"]
+
+
+@register("i17_profile_clusters")
+def i17(s, d):
+    _, posteriors = region_posteriors(s, d)
+    return regions.profile_clusters(regions.profile_scores(posteriors, ARMS), ARMS)
+
+
+@register("i17_profile_scores", sql(
+    """SELECT sample, cell_id, """ + ", ".join(
+        f"""round(MAX(z) FILTER (region = '{a}'), 6) AS "{a}" """ for a in ARMS) + """ FROM (SELECT sample, cell_id, region,
+        greatest(-4, least(4, (x - AVG(x) OVER w) / stddev_samp(x) OVER w)) AS z FROM means WINDOW w AS (PARTITION BY region))
+        GROUP BY 1, 2""", "lognorm", "genes", "regions", **basic.REGION_MEANS))
+def i17_scores(s, d):
+    means = basic.region_means(s, d).withColumnRenamed("x", "posterior")
+    found = regions.profile_scores(means, ARMS)
+    return found.select(*CELL_KEY, *[F.round(F.col(f"`{a}`"), 6).alias(a) for a in ARMS])
+
+
+@register("h12_binary_call", sql(
+    "SELECT sample, cell_id, cluster AS profile, CASE WHEN cluster = 1 THEN 'normal' ELSE 'tumor' END AS cand_tumor FROM cells", "cells"))
+def h12(s, d):
+    return regions.malignant_call(fx.cells(s, d).select(*CELL_KEY, F.col("cluster").alias("profile")))
+
+
+# ---- Poisson-lognormal
+
+MUS, SIGMAS, MU_GRID = [-6.0, -5.0, -4.0, -3.0, -2.0], [1.0, 1.6, 2.2, 2.8, 3.4], [round(-16 + 0.4 * i, 1) for i in range(41)]
+NODES = """SELECT t, exp(-t * t / 2) / SUM(exp(-t * t / 2)) OVER () AS w FROM (SELECT (i - 60) / 10.0 AS t FROM range(121) r(i))"""
+FITS = dict(
+    ng="SELECT COUNT(*) AS g FROM genes",
+    held="""SELECT sample, cell_id, cnt, COUNT(*) AS n FROM counts GROUP BY 1, 2, 3 UNION ALL
+            SELECT sample, cell_id, 0, g - COUNT(*) FROM counts, ng GROUP BY 1, 2, g""",
+    nodes=NODES,
+    lik="""SELECT cnt, mu, sigma, ln(greatest(SUM(w * exp(cnt * (mu + sigma * t) - exp(mu + sigma * t) - lgamma(cnt + 1.0))), 1e-300)) AS lp
+           FROM (SELECT DISTINCT cnt FROM held), (SELECT unnest([-6.0, -5.0, -4.0, -3.0, -2.0])::DOUBLE AS mu),
+           (SELECT unnest([1.0, 1.6, 2.2, 2.8, 3.4])::DOUBLE AS sigma), nodes GROUP BY 1, 2, 3""",
+    ll="SELECT sample, cell_id, mu, sigma, SUM(n * lp) AS ll FROM held JOIN lik USING (cnt) GROUP BY 1, 2, 3, 4")
+
+
+def n_parts(s, d):
+    return fx.genes(s, d).count()
+
+
+@register("i18_poisson_lognormal_fit", sql(
+    """SELECT sample, cell_id, mu, sigma, round(ll, 4) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY sample, cell_id
+       ORDER BY round(ll, 6) DESC, mu DESC, sigma DESC) AS r FROM ll) WHERE r = 1""", "counts", "genes", **FITS))
+def i18(s, d):
+    found = quantile.fit_poisson_lognormal(fx.counts(s, d), n_parts(s, d), MUS, SIGMAS)
+    return found.withColumn("ll", F.round("ll", 4))
+
+
+@register("i19_quasi_counts", sql(
+    """SELECT p.sample, p.cell_id, p.gene, p.cnt, c.mu, MIN(c.y) AS qumi FROM placed p JOIN chosen c USING (sample, cell_id)
+       WHERE c.cdf >= c.zero + p.u * (1 - c.zero) AND c.y >= 1 GROUP BY 1, 2, 3, 4, 5""", "counts", "genes",
+    nodes=NODES,
+    pmf="""SELECT mu, y, SUM(w * exp(y * (mu + 2.2 * t) - exp(mu + 2.2 * t) - lgamma(y + 1.0))) AS p
+           FROM (SELECT round(-16 + 0.4 * i, 1)::DOUBLE AS mu FROM range(41) r(i)), (SELECT i::BIGINT AS y FROM range(401) q(i)), nodes GROUP BY 1, 2""",
+    cdf="SELECT mu, y, SUM(p) OVER (PARTITION BY mu ORDER BY y) AS cdf FROM pmf",
+    placed="""SELECT *, 1 - nnz / (SELECT COUNT(*) FROM genes) AS p0 FROM (SELECT *, COUNT(*) OVER (PARTITION BY sample, cell_id) AS nnz,
+           COUNT(*) OVER (PARTITION BY sample, cell_id ORDER BY cnt RANGE UNBOUNDED PRECEDING) / (COUNT(*) OVER (PARTITION BY sample, cell_id) + 1.0) AS u
+           FROM counts)""",
+    scale="""SELECT sample, cell_id, MAX(mu) AS mu FROM (SELECT DISTINCT sample, cell_id, p0 FROM placed)
+           JOIN (SELECT mu, cdf AS zero FROM cdf WHERE y = 0) ON zero >= p0 GROUP BY 1, 2""",
+    chosen="""SELECT sample, cell_id, mu, y, cdf, FIRST_VALUE(cdf) OVER (PARTITION BY sample, cell_id ORDER BY y) AS zero
+           FROM scale JOIN cdf USING (mu)"""))
+def i19(s, d):
+    return quantile.quasi_counts(fx.counts(s, d), n_parts(s, d), value="cnt", mus=MU_GRID, y_max=400)
