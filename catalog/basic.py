@@ -395,12 +395,11 @@ def f10(s, d):
 
 
 @register("f11_summary", sql(
-    """SELECT sample, CAST(MIN(n_count) AS DOUBLE) AS v_min, quantile_cont(n_count, 0.25) AS v_q1,
+    """SELECT sample, COUNT(*) AS n, CAST(MIN(n_count) AS DOUBLE) AS v_min, quantile_cont(n_count, 0.25) AS v_q1,
        quantile_cont(n_count, 0.5) AS v_median, round(AVG(n_count), 6) AS v_mean,
        quantile_cont(n_count, 0.75) AS v_q3, CAST(MAX(n_count) AS DOUBLE) AS v_max FROM metrics GROUP BY 1""", "metrics"))
 def f11(s, d):
-    m = metrics(s, d).withColumn("n_count", F.col("n_count").cast("double"))
-    return qc.summary(m, "n_count", ["sample"]).withColumn("v_mean", F.round("v_mean", 6))
+    return qc.summary(metrics(s, d), "n_count", ["sample"]).withColumn("v_mean", F.round("v_mean", 6))
 
 
 @register("f12_histogram", sql(

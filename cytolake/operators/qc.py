@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import name_matches
-from ..runtime import salted_join
+from ..runtime import cut_lineage, running_total, salted_join
 from ..schema import CELL_KEY
 
 
@@ -76,7 +76,10 @@ def drop_shallow_clusters(cells: DataFrame, cluster: str, min_median: float,
 
 
 def median_by(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Exact median; the aggregate keeps value counts, so it is combined before the shuffle."""
+    """Exact median of an integer metric.
+
+    The aggregate keeps one count per distinct value, which the feature universe bounds.
+    """
     return df.groupBy(group).agg(F.median(value).alias(name))
 
 
@@ -95,22 +98,45 @@ def with_rate(cells: DataFrame, rates: DataFrame) -> DataFrame:
     return salted_join(cells, rates, ["sample"], ["cell_id"], how="left")
 
 
-def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, mean and maximum."""
-    return df.groupBy(*by).agg(*_five(F.col(value)))
-
-
-def _five(v: Column) -> list[Column]:
-    return [
-        F.min(v).alias("v_min"), F.percentile(v, 0.25).alias("v_q1"), F.percentile(v, 0.5).alias("v_median"),
-        F.avg(v).alias("v_mean"), F.percentile(v, 0.75).alias("v_q3"), F.max(v).alias("v_max")]
+def summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Count, minimum, quartiles, mean and maximum per group."""
+    return _five_numbers(df.select(*by, F.col(value).cast("double").alias("value")), by)
 
 
 def distribution(cells: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Distribution of each quality metric per group (and class)."""
     long = cells.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         list(by), list(metrics), "metric", "value")
-    return long.groupBy("metric", *by).agg(F.count("value").alias("n"), *_five(F.col("value")))
+    return _five_numbers(long, ["metric", *by])
+
+
+def _five_numbers(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact interpolated quartiles without holding a group's values in one task.
+
+    Equal values are counted first; running counts over ranges of (group, value) then say which
+    values cover the two places each quartile lies between.
+    """
+    by = list(by)
+    counted = df.filter(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
+    placed = cut_lineage(running_total(counted, by, [F.asc("value")], F.col("_c"), "_upto"))
+    whole = placed.groupBy(*by).agg(
+        F.sum("_c").alias("n"), F.min("value").alias("v_min"), F.max("value").alias("v_max"),
+        (F.sum(F.col("value") * F.col("_c")) / F.sum("_c")).alias("v_mean"))
+    at = salted_join(placed, whole.select(*by, "n"), by, ["value"])
+
+    def covering(place: Column) -> Column:
+        inside = (F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto"))
+        return F.max(F.when(inside, F.col("value")))
+
+    picks, out = [], {}
+    for name, p in (("v_q1", 0.25), ("v_median", 0.5), ("v_q3", 0.75)):
+        h = (F.col("n") - 1) * F.lit(p)
+        picks += [covering(F.floor(h)).alias(f"_{name}_lo"), covering(F.ceil(h)).alias(f"_{name}_hi")]
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out[name] = low + (high - low) * (h - F.floor(h))
+    quartiles = at.groupBy(*by).agg(*picks)
+    return whole.join(quartiles, by).withColumns(out).select(
+        *by, "n", "v_min", "v_q1", "v_median", "v_mean", "v_q3", "v_max")
 
 
 def histogram(df: DataFrame, value: Column, width: float, by: Sequence[str] = (), low: float = 0.0) -> DataFrame:

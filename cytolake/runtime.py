@@ -48,31 +48,35 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     repeated per sub-key, so its size grows by the constant ``salts`` only.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence, name: str) -> DataFrame:
-    """``row_number`` (from 1) per group, for groups too large for one task.
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence, weight, name: str) -> DataFrame:
+    """Running sum of ``weight`` per group in the given order, for groups too large for one task.
 
-    Rows are range-partitioned on (group, order) and numbered inside each range; each range
-    then adds the row counts of the ranges before it. The ranges are materialised first, since
-    their bounds come from sampling and must not change between the two uses.
+    Rows are range-partitioned on (group, order) and summed inside each range; each range then adds
+    the sums of the ranges before it. The ranges are materialised first, since their bounds come from
+    sampling and must not change between the two uses.
     """
     group = list(group)
     ranged = cut_lineage(
         df.repartitionByRange(*[F.col(c) for c in group], *order)
-        .withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_range": F.spark_partition_id(), "_weight": weight}))
+    sizes = ranged.groupBy(*group, "_range").agg(F.sum("_weight").alias("_n"))
     earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order))
-    return (ranged.withColumn("_local", local)
+    inside = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (ranged.withColumn("_local", F.sum("_weight").over(inside))
             .join(offsets, [*group, "_range"])
             .withColumn(name, F.col("_local") + F.col("_before"))
-            .drop("_range", "_local", "_before"))
+            .drop("_range", "_weight", "_local", "_before"))
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence, name: str) -> DataFrame:
+    """``row_number`` (from 1) per group, for groups too large for one task."""
+    return running_total(df, group, order, F.lit(1).cast("bigint"), name)
 
 
 def into_chunks(df: DataFrame, group: Sequence[str], sizes: DataFrame, spread: Sequence[str],
