@@ -81,8 +81,9 @@ MARKERS = """SELECT g.gene, g.grp, n_cells, COALESCE(s, 0) / n_cells AS avg_exp,
           FROM cells CROSS JOIN range(1, 26) t(i) GROUP BY grp, i) g
     LEFT JOIN (SELECT gene, grp, SUM(exp(v) - 1) AS s, COUNT(*) FILTER (v > 0) AS p
                FROM brand_lognorm JOIN cells USING (sample, cell_id) GROUP BY 1, 2) USING (gene, grp)"""
-SCALED = """SELECT *, greatest(-2.5, least(2.5, (ln(1 + avg_exp) - AVG(ln(1 + avg_exp)) OVER w)
-    / nullif(stddev_samp(ln(1 + avg_exp)) OVER w, 0))) AS avg_exp_scaled FROM m WINDOW w AS (PARTITION BY gene)"""
+SCALED = """SELECT *, CASE WHEN sd > 0 THEN greatest(-2.5, least(2.5, (ln(1 + avg_exp) - mean) / sd)) END AS avg_exp_scaled
+    FROM (SELECT *, AVG(ln(1 + avg_exp)) OVER w AS mean, stddev_samp(ln(1 + avg_exp)) OVER w AS sd FROM m
+          WINDOW w AS (PARTITION BY gene))"""
 
 
 @register("i20_marker_summary", sql(

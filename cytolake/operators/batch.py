@@ -52,7 +52,7 @@ def harmony(embedding: DataFrame, batches: Sequence[str], lam: float = 1.0, thet
         for _ in range(cluster_rounds):
             used = cut_lineage(model)
             sums = _cluster_sums(cells, used, spread, batches, sigma, types)
-            model = cut_lineage(_update(sums, sizes, batches, lam, theta, types))
+            model = cut_lineage(_update(sums, used, sizes, batches, lam, theta, types))
         # the last sums belong to ``used``: its memberships with the corrections solved from them
         fixed = used.drop("beta").join(model.select(*batches, "k", "beta"), [*batches, "k"])
         cells = cut_lineage(_correct(cells, fixed, spread, batches, sigma, ids))
@@ -107,26 +107,31 @@ def _cluster_sums(cells, model, spread, batches, sigma, types):
     return parts.groupBy(*batches, "k", "lane").applyInPandas(add, schema)
 
 
-def _update(sums, sizes, batches, lam, theta, types):
-    """Per cluster: new centre, penalty and ridge solution, from one row per batch combination and lane."""
+def _update(sums, used, sizes, batches, lam, theta, types):
+    """Per cluster: new centre, penalty and ridge solution, from one row per batch combination and lane.
+
+    All cells are reassigned at once, so the penalty moves only part of the way (in logs) to its new
+    value each time; otherwise batches would swap clusters back and forth.
+    """
+    step = 1.0 / (1.0 + theta)
     columns = [*batches, "k", "y", "w", "beta", "obj"]
     n_all = sizes.agg(F.sum("_n").alias("_all")).scalar()
 
     def solve(key, part):
         rows = part.groupby(batches, sort=True, as_index=False).agg(
-            o=("o", "sum"), obj=("obj", "sum"), n=("_n", "first"), everything=("_all", "first"),
+            o=("o", "sum"), obj=("obj", "sum"), n=("_n", "first"), _w=("_w", "first"), everything=("_all", "first"),
             s=("s", lambda v: np.sum(np.stack(v.to_numpy()), axis=0)),
             t=("t", lambda v: np.sum(np.stack(v.to_numpy()), axis=0)))
         o, t = rows["o"].to_numpy(), np.stack(rows["t"].to_numpy())
         y = _unit(np.sum(np.stack(rows["s"].to_numpy()), axis=0)[None, :])[0]
-        w, beta = np.ones(len(rows)), np.zeros_like(t)
+        w, beta = rows["_w"].to_numpy() ** (1 - step), np.zeros_like(t)
         codes = []
         for b in batches:
             code, _ = pd.factorize(rows[b], sort=True)
             codes.append(code)
             seen = np.bincount(code, weights=o)
             share = np.bincount(code, weights=rows["n"]) / rows["everything"].iloc[0]
-            w *= ((o.sum() * share + 1) / (seen + 1))[code] ** theta
+            w *= ((o.sum() * share + 1) / (seen + 1))[code] ** (theta * step)
         if len(batches) == 1:
             # intercept eliminated by hand: the system is an arrow matrix
             shrink = o / (o + lam)
@@ -146,7 +151,8 @@ def _update(sums, sizes, batches, lam, theta, types):
             beta = design[:, 1:] @ solved[1:]
         return rows[batches].assign(k=key[0], y=[y] * len(rows), w=w, beta=list(beta), obj=rows["obj"])[columns]
 
-    sized = sums.join(sizes, batches).withColumn("_all", n_all)
+    last = used.select(*batches, "k", F.col("w").alias("_w"))
+    sized = sums.join(sizes, batches).join(last, [*batches, "k"]).withColumn("_all", n_all)
     return sized.groupBy("k").applyInPandas(
         solve, f"{types}, k int, y array<double>, w double, beta array<double>, obj double")
 

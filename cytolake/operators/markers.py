@@ -38,7 +38,8 @@ def across_groups(df: DataFrame, key: str, value: str, name: str, clip: float =
     w = W.partitionBy(key)
     y = F.ln(F.lit(1.0) + F.col(value))
     z = F.try_divide(F.col("_y") - F.avg("_y").over(w), F.stddev_samp("_y").over(w))
-    clipped = F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
-    return (df.withColumn("_y", y)
+    # equal values in all groups have no score (least and greatest would skip the NULL)
+    clipped = F.when(F.col("_z").isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("_z"))))
+    return (df.withColumn("_y", y).withColumn("_z", z)
             .withColumn(name, F.when(F.count(F.lit(1)).over(w) == 1, F.col("_y")).otherwise(clipped))
-            .drop("_y"))
+            .drop("_y", "_z"))

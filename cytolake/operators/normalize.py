@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stats import sparse_mean, sparse_variance
 from ..runtime import salted_join
@@ -129,7 +129,7 @@ def standardized_variance(counts: DataFrame, cells: DataFrame, trend: str = "qua
     by = list(by)
     moments = gene_moments(counts, cells, by)
     fitted = {"quadratic": quadratic_trend, "loess": loess_trend}[trend](moments, by)
-    z = F.least(F.try_divide(F.col("cnt") - F.col("mu"), F.col("sd_fit")), F.sqrt("n"))
+    z = F.least(F.coalesce(F.try_divide(F.col("cnt") - F.col("mu"), F.col("sd_fit")), F.lit(0.0)), F.sqrt("n"))
     squares = counts.join(fitted.select(*by, "gene", "n", "mu", "sd_fit"), [*by, "gene"]).groupBy(
         *by, "gene").agg(F.sum(z * z).alias("zz"))
     zero = F.try_divide(F.col("mu"), F.col("sd_fit"))
@@ -168,7 +168,7 @@ def scale(values: DataFrame, cells: DataFrame, features: DataFrame, by: Sequence
         stats = gene_moments(kept.withColumn("_all", F.lit(0)), cells.withColumn("_all", F.lit(0)),
                              ["_all"], value).drop("_all")
     stats = stats.withColumn("sd", F.sqrt("var"))
-    zero = F.coalesce(F.least(F.try_divide(-F.col("mu"), F.col("sd")), F.lit(float(clip))), F.lit(0.0))
+    zero = _clipped(F.try_divide(-F.col("mu"), F.col("sd")), clip)
     stats = stats.select(*by, "gene", "n", "mu", "sd", zero.alias("zero_z"))
     return scale_with(kept, stats, by, clip, value), stats
 
@@ -176,6 +176,11 @@ def scale(values: DataFrame, cells: DataFrame, features: DataFrame, by: Sequence
 def scale_with(values: DataFrame, stats: DataFrame, by: Sequence[str] = (), clip: float = 10.0,
                value: str = "v") -> DataFrame:
     """z-scores of non-zero values by the means and deviations of another set of cells."""
-    z = F.least(F.try_divide(F.col(value) - F.col("mu"), F.col("sd")), F.lit(float(clip)))
+    z = _clipped(F.try_divide(F.col(value) - F.col("mu"), F.col("sd")), clip)
     return (values.join(stats.select(*by, "gene", "mu", "sd"), [*by, "gene"])
-            .withColumn("z", F.coalesce(z, F.lit(0.0))).drop("mu", "sd"))
+            .withColumn("z", z).drop("mu", "sd"))
+
+
+def _clipped(z: Column, clip: float) -> Column:
+    """Upper-clipped score, zero for a gene without variance (``least`` alone would skip the NULL)."""
+    return F.least(F.coalesce(z, F.lit(0.0)), F.lit(float(clip)))
