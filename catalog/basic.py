@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cytolake.functions import nulls, stats, text
 from cytolake.operators import doublets, labels, markers, normalize, pca, qc, regions as reg, reshape
+from cytolake.runtime import cut_lineage
 from cytolake.schema import CELL_KEY
 
 from . import fixtures as fx
@@ -448,7 +449,7 @@ def f16(s, d):
 
 
 def region_means(s, d):
-    v = normalize.log_normalize(fx.counts(s, d))
+    v = cut_lineage(normalize.log_normalize(fx.counts(s, d)))
     factors = normalize.normalizing_factor(v, fx.genes(s, d))
     return reg.region_means(v, factors, reg.genes_in_regions(fx.genes(s, d), fx.regions(s, d)))
 
@@ -487,7 +488,7 @@ VST = dict(
 @register("g1_top_features", sql(
     f"SELECT sample, gene, {R('score')}, rk FROM ranked", "counts", "per_sample", **VST))
 def g1(s, d):
-    top = normalize.variable_features(fx.counts(s, d), fx.cells(s, d), 100)
+    top = normalize.variable_features(cut_lineage(fx.counts(s, d)), fx.cells(s, d), 100)
     return top.select("sample", "gene", r6("score"), "rk")
 
 
@@ -495,7 +496,8 @@ def g1(s, d):
     """SELECT gene, COUNT(*) AS n_samples, median(rk) AS median_rk FROM ranked GROUP BY 1
        ORDER BY 2 DESC, 3, 1 LIMIT 50""", "counts", "per_sample", **VST))
 def g2(s, d):
-    return normalize.consensus_features(normalize.variable_features(fx.counts(s, d), fx.cells(s, d), 100), 50)
+    counts = cut_lineage(fx.counts(s, d))
+    return normalize.consensus_features(normalize.variable_features(counts, fx.cells(s, d), 100), 50)
 
 
 SPREAD = "SELECT i AS pc, stddev_samp(vec[i]) AS sdev FROM vectors, range(1, 65) t(i) GROUP BY 1"

@@ -48,22 +48,18 @@ def i2(s, d):
 @register("i3_variable_features", sql(
     f"SELECT sample, gene, {R('mu')}, {R('var')}, {R('sd_fit')}, {R('score')} FROM scored", "counts", "per_sample", **VST))
 def i3(s, d):
-    scored = normalize.standardized_variance(fx.counts(s, d), fx.cells(s, d))
+    scored = normalize.standardized_variance(cut_lineage(fx.counts(s, d)), fx.cells(s, d))
     return scored.select("sample", "gene", *[r6(c) for c in ("mu", "var", "sd_fit", "score")])
 
 
 @register("i3_variable_features_loess")
 def i3_loess(s, d):
-    return normalize.variable_features(fx.counts(s, d), fx.cells(s, d), 100, "loess")
+    return normalize.variable_features(cut_lineage(fx.counts(s, d)), fx.cells(s, d), 100, "loess")
 
 
 CONSENSUS = dict(VST, chosen="""SELECT gene FROM ranked GROUP BY 1 ORDER BY COUNT(*) DESC, median(rk), gene LIMIT 50""")
 
 
-def chosen_features(s, d, n=100, keep=50):
-    return normalize.consensus_features(normalize.variable_features(fx.counts(s, d), fx.cells(s, d), n), keep)
-
-
 @register("i4_scale", sql(
     """SELECT v.sample, v.cell_id, gene, round(least((v - mu) / sd, 10), 6) AS z, round(least(-mu / sd, 10), 6) AS zero_z
        FROM lognorm v JOIN (SELECT gene, s1 / n AS mu, sqrt((s2 - s1 * s1 / n) / (n - 1)) AS sd FROM
@@ -71,8 +67,9 @@ def chosen_features(s, d, n=100, keep=50):
         WHERE gene IN (SELECT gene FROM chosen) GROUP BY 1)) USING (gene)""",
     "lognorm", "per_sample", **CONSENSUS))
 def i4(s, d):
-    v = normalize.log_normalize(fx.counts(s, d))
-    scaled, genes = normalize.scale(v, fx.cells(s, d), chosen_features(s, d))
+    counts, cells = cut_lineage(fx.counts(s, d)), fx.cells(s, d)
+    chosen = cut_lineage(normalize.consensus_features(normalize.variable_features(counts, cells, 100), 50))
+    scaled, genes = normalize.scale(normalize.log_normalize(counts), cells, chosen)
     return scaled.join(genes.select("gene", "zero_z"), "gene").select(*CELL_KEY, "gene", r6("z"), r6("zero_z"))
 
 

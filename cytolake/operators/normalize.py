@@ -9,20 +9,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stats import sparse_mean, sparse_variance
-from ..runtime import salted_join
+from ..runtime import cut_lineage, salted_join
 from ..schema import CELL_KEY
 
 
 def log_normalize(counts: DataFrame, totals: DataFrame | None = None, scale: float = 1e4,
                   base: float | None = None, name: str = "v") -> DataFrame:
-    """``ln(1 + cnt / total * scale)``; zeros stay absent. ``totals`` may carry ``n_count`` per cell."""
+    """``ln(1 + cnt / total * scale)``; zeros stay absent.
+
+    Totals are those of the rows given, summed over each cell's window in the one shuffle by cell (a
+    cell has at most one row per feature), or ``n_count`` of the cell table ``totals``.
+    """
     if totals is None:
-        totals = counts.groupBy(*CELL_KEY).agg(F.sum("cnt").alias("n_count"))
+        summed = counts.withColumn("n_count", F.sum("cnt").over(W.partitionBy(*CELL_KEY)))
+    else:
+        summed = counts.join(totals.select(*CELL_KEY, "n_count"), CELL_KEY)
     v = F.ln(F.lit(1.0) + F.try_divide(F.col("cnt"), F.col("n_count")) * F.lit(float(scale)))
     if base is not None:
         v = v / F.lit(float(np.log(base)))
-    return (counts.join(totals.select(*CELL_KEY, "n_count"), CELL_KEY)
-            .withColumn(name, v).drop("n_count"))
+    return summed.withColumn(name, v).drop("n_count")
 
 
 def to_log2(values: DataFrame, value: str = "v", name: str = "v2") -> DataFrame:
@@ -127,8 +132,9 @@ def standardized_variance(counts: DataFrame, cells: DataFrame, trend: str = "qua
                           by: Sequence[str] = ("sample",)) -> DataFrame:
     """Variance of ``min((v - mu) / sd_fit, sqrt(n))`` per gene, from the non-zero rows alone."""
     by = list(by)
-    moments = gene_moments(counts, cells, by)
-    fitted = {"quadratic": quadratic_trend, "loess": loess_trend}[trend](moments, by)
+    # the gene tables are small next to the counts and used several times
+    moments = cut_lineage(gene_moments(counts, cells, by))
+    fitted = cut_lineage({"quadratic": quadratic_trend, "loess": loess_trend}[trend](moments, by))
     z = F.least(F.coalesce(F.try_divide(F.col("cnt") - F.col("mu"), F.col("sd_fit")), F.lit(0.0)), F.sqrt("n"))
     squares = counts.join(fitted.select(*by, "gene", "n", "mu", "sd_fit"), [*by, "gene"]).groupBy(
         *by, "gene").agg(F.sum(z * z).alias("zz"))
@@ -161,7 +167,7 @@ def scale(values: DataFrame, cells: DataFrame, features: DataFrame, by: Sequence
     of every absent row. ``features`` has ``gene`` (and the ``by`` columns when grouped).
     """
     by = list(by)
-    kept = values.join(features.select(*by, "gene"), [*by, "gene"], "left_semi")
+    kept = cut_lineage(values.join(features.select(*by, "gene"), [*by, "gene"], "left_semi"))
     if by:
         stats = gene_moments(kept, cells, by, value)
     else:
@@ -169,7 +175,7 @@ def scale(values: DataFrame, cells: DataFrame, features: DataFrame, by: Sequence
                              ["_all"], value).drop("_all")
     stats = stats.withColumn("sd", F.sqrt("var"))
     zero = _clipped(F.try_divide(-F.col("mu"), F.col("sd")), clip)
-    stats = stats.select(*by, "gene", "n", "mu", "sd", zero.alias("zero_z"))
+    stats = cut_lineage(stats.select(*by, "gene", "n", "mu", "sd", zero.alias("zero_z")))
     return scale_with(kept, stats, by, clip, value), stats
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..runtime import cut_lineage
 from ..schema import CELL_KEY
 
 #: Quadrature over the lognormal rate: standard normal nodes from -6 to 6 in steps of 0.1.
@@ -41,7 +42,7 @@ def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float],
     seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
     zeros = counts.groupBy(*CELL_KEY).agg((F.lit(n_genes) - F.count(F.lit(1))).alias("n")).select(
         *CELL_KEY, F.lit(0.0).alias("cnt"), "n")
-    held = seen.unionByName(zeros)
+    held = cut_lineage(seen.unionByName(zeros))
     likelihood = held.select("cnt").distinct().mapInPandas(table, "cnt double, mu double, sigma double, lp double")
     scored = held.join(likelihood, "cnt").groupBy(*CELL_KEY, "mu", "sigma").agg(F.sum(F.col("n") * F.col("lp")).alias("ll"))
     best = F.max_by(F.struct("mu", "sigma", "ll"), F.struct(F.round("ll", 6), "mu", "sigma"))
