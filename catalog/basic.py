@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cytolake.functions import nulls, stats, text
 from cytolake.operators import doublets, labels, markers, normalize, pca, qc, regions as reg, reshape
+from cytolake.plans import label_maps
 from cytolake.runtime import cut_lineage
 from cytolake.schema import CELL_KEY
 
@@ -260,6 +261,29 @@ def e3(s, d):
         *CELL_KEY, "cluster", "celltype")
 
 
+def type_ladder(dataset):
+    """One dataset's cluster map as a CASE expression."""
+    default = label_maps.DEFAULT_TYPES.get(dataset, "Others")
+    arms = " ".join(f"WHEN cluster IN ({', '.join(map(str, cs))}) THEN '{name}'"
+                    for name, cs in label_maps.CELL_TYPES[dataset].items())
+    return f"CASE {arms} ELSE {'NULL' if default is None else repr(default)} END"
+
+
+@register("e3_cell_type_maps", sql(" UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, cell_id, {type_ladder(name)} AS celltype FROM cells" for name in label_maps.CELL_TYPES),
+    "cells"))
+def e3_maps(s, d):
+    """Every dataset's cluster map on the same cluster numbers, as one table of labels."""
+    table = reshape.unite(*[
+        label_maps.label_table(s, types).withColumn("dataset", F.lit(name)) for name, types in label_maps.CELL_TYPES.items()])
+    defaults = {name: label_maps.DEFAULT_TYPES.get(name, "Others") for name in label_maps.CELL_TYPES}
+    cells = fx.cells(s, d).select(
+        "cell_id", "cluster", F.explode(F.array(*[F.lit(n) for n in defaults])).alias("dataset"))
+    found = cells.join(table.withColumnRenamed("value", "cluster"), ["dataset", "cluster"], "left")
+    default = labels.map_labels("dataset", {k: v for k, v in defaults.items() if v is not None})
+    return found.select("dataset", "cell_id", F.coalesce("label", default).alias("celltype"))
+
+
 @register("e4_parallel_zip", sql(
     f"""SELECT sample, cell_id, {R('doublet_rate')} FROM passing JOIN
         (SELECT sample, 0.008 * COUNT(*) / 1000 AS doublet_rate FROM metrics GROUP BY 1) USING (sample)""", "passing"))
@@ -683,3 +707,31 @@ def h10(s, d):
     "cells", "per_sample", rates=RATES))
 def h11(s, d):
     return doublets.expected_doublets(fx.cells(s, d), "cluster").select("sample", "n", "n_exp", "n_exp_adj")
+
+
+# ---- J: mapping, folding and chaining
+
+@register("j1_map_over_samples", sql(
+    """SELECT sample, COUNT(*) AS n_cells, median(n_feature) AS median_n_feature, CAST(MAX(n_count) AS BIGINT) AS deepest
+       FROM metrics GROUP BY 1""", "metrics"))
+def j1(s, d):
+    """The per-sample closure is a grouping key."""
+    return metrics(s, d).groupBy("sample").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.median("n_feature").alias("median_n_feature"), F.max("n_count").alias("deepest"))
+
+
+@register("j4_fold_datasets", sql("SELECT sample, COUNT(*) AS n, CAST(SUM(cnt) AS BIGINT) AS total FROM counts GROUP BY 1", "counts"))
+def j4(s, d):
+    """A fold over datasets is one union; each branch keeps its own pushed-down filter."""
+    parts = [fx.counts(s, d).filter(F.col("sample") == name)
+             for name in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+    return reshape.unite(*parts).groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("total"))
+
+
+@register("j7_chained_steps", sql(
+    """SELECT sample, cell_id, gene, round(v, 6) AS v FROM lognorm WHERE (sample, cell_id) IN
+       (SELECT (sample, cell_id) FROM passing)""", "passing", "lognorm"))
+def j7(s, d):
+    """Steps chained with ``transform``."""
+    return (fx.counts(s, d).transform(reshape.restrict, passing(s, d)).transform(normalize.log_normalize)
+            .select(*CELL_KEY, "gene", r6("v")))

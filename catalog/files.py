@@ -103,6 +103,16 @@ def a5(s, d):
     return mx.read_triplet_files(s, *triplet_folders(s, d), gene_column=1, sample=IN_FOLDER)
 
 
+@register("e2_triplet_index_join", sql(
+    """SELECT sample, COUNT(*) AS n, COUNT(DISTINCT cell_id) AS n_cells, COUNT(DISTINCT gene) AS n_genes,
+       CAST(SUM(cnt) AS DOUBLE) AS total FROM counts GROUP BY 1""", "counts"))
+def e2(s, d):
+    named = a4(s, d)
+    return named.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("cell_id").alias("n_cells"),
+        F.countDistinct("gene").alias("n_genes"), F.sum("cnt").alias("total"))
+
+
 @register("a6_region_table", sql(
     'SELECT region, chr, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM regions', "regions"))
 def a6(s, d):

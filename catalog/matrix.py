@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions
+from cytolake.plans import analyses, label_maps
+from cytolake.plans.presets import PRESETS
 from cytolake.runtime import cut_lineage
 from cytolake.schema import CELL_KEY
 
@@ -163,6 +167,11 @@ def i8(s, d):
     return neighbours(s, d).select("i", "rk", "j", r6("d2"))
 
 
+@register("e8_similarity_join", sql("SELECT i, COUNT(*) AS k, round(MAX(d2), 6) AS reach FROM near GROUP BY 1", "vectors", **brute("vectors", "30")))
+def e8(s, d):
+    return neighbours(s, d, 30).groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.round(F.max("d2"), 6).alias("reach"))
+
+
 @register("i8_knn_probed")
 def i8_probed(s, d):
     return graph.knn(fx.vectors(s, d), 20, probe=8, pivot_rows=64).select("i", "rk", "j", r6("d2"))
@@ -430,3 +439,55 @@ def i18(s, d):
            FROM scale JOIN cdf USING (mu)"""))
 def i19(s, d):
     return quantile.quasi_counts(fx.counts(s, d), n_parts(s, d), value="cnt", mus=MU_GRID, y_max=400)
+
+
+# ---- whole analyses
+
+KINDS = dict(joint="""SELECT 'buyer_' || CAST(cell_id AS VARCHAR) AS cell, gene, cnt FROM brand_counts UNION ALL
+    SELECT 'seller_' || CAST(l_suppkey AS VARCHAR), p_brand, CAST(SUM(l_quantity) AS BIGINT) FROM lineitem
+    JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    who="""SELECT 'buyer_' || CAST(cell_id AS VARCHAR) AS cell, 'buyer' AS kind, grp FROM cells UNION ALL
+    SELECT 'seller_' || CAST(s_suppkey AS VARCHAR), 'seller', r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey""",
+    shown="SELECT cell, COALESCE(CASE WHEN grp <> 'ASIA' THEN grp END, 'NA') || '_' || kind AS key FROM who",
+    logs="SELECT cell, gene, ln(1 + cnt / SUM(cnt) OVER (PARTITION BY cell) * 10000) AS v FROM joint",
+    held="SELECT key, COUNT(*) AS n_cells FROM shown GROUP BY 1",
+    sums="SELECT gene, key, SUM(exp(v) - 1) AS s, COUNT(*) AS p FROM logs JOIN shown USING (cell) GROUP BY 1, 2")
+
+
+@register("marker_figure", sql(
+    """SELECT h.key, split_part(h.key, '_', 1) AS grp, split_part(h.key, '_', 2) AS kind, b.gene, n_cells,
+       round(COALESCE(s, 0) / n_cells, 6) AS avg_exp, round(100.0 * COALESCE(p, 0) / n_cells, 6) AS pct_exp FROM held h
+       CROSS JOIN (SELECT 'Brand#' || CAST(i AS VARCHAR) AS gene FROM range(1, 26) t(i)) b
+       LEFT JOIN sums USING (key, gene)""", "brand_counts", "cells", **KINDS))
+def marker_figure(s, d):
+    """Two datasets united, their groups pasted into one key with an emptied level, summarised, split again."""
+    part = fx.table(s, d, "part").select("p_partkey", "p_brand")
+    sold = fx.table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    sellers = sold.groupBy(F.lit("-").alias("sample"), F.col("l_suppkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(
+        F.sum("l_quantity").cast("bigint").alias("cnt"))
+    who = (fx.table(s, d, "supplier").join(fx.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+           .join(fx.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+           .select(F.lit("-").alias("sample"), F.col("s_suppkey").alias("cell_id"), F.lit("seller").alias("kind"), F.col("r_name").alias("grp")))
+    buyers = fx.cells(s, d).select(*CELL_KEY, F.lit("buyer").alias("kind"), "grp")
+    found = analyses.marker_figure(
+        {"buyer": (fx.brand_counts(s, d), buyers), "seller": (sellers, who)}, basic.BRANDS, ["grp", "kind"],
+        {"grp": ["EUROPE", "AMERICA", "AFRICA", "MIDDLE EAST"]})
+    return found.select(F.col("_key").alias("key"), "grp", "kind", "gene", "n_cells", r6("avg_exp"), r6("pct_exp"))
+
+
+@register("malignant_cells")
+def malignant(s, d):
+    """Copy-number call from counts to label."""
+    return analyses.malignant_cells(cut_lineage(fx.counts(s, d)), fx.genes(s, d), fx.regions(s, d), ARMS, rounds=10)
+
+
+@register("annotate_dataset")
+def annotate(s, d):
+    """Raw counts to labelled cells, with the fixture's limits."""
+    preset = replace(PRESETS["colon"], min_features=30, max_count=1400, mt_pattern=basic.MT, ribo_patterns=tuple(basic.RIBO),
+                     n_features=200, n_pcs=20, dims=10, resolutions=(0.3,), min_median_features=30)
+    counts = cut_lineage(fx.counts(s, d))
+    done = analyses.annotate(counts, fx.genes(s, d), fx.cells(s, d).select(*CELL_KEY, "grp"), preset,
+                             label_maps.CELL_TYPES["colon"], tissue="Market")
+    return done.select(*CELL_KEY, "n_count", "n_feature", "grp", "cluster", "celltype_broad", "tissue")

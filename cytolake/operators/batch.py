@@ -29,7 +29,7 @@ def harmony(embedding: DataFrame, batches: Sequence[str], lam: float = 1.0, thet
     coordinates = F.col(vec) if dims is None else F.slice(vec, 1, dims)
     cells = cut_lineage(embedding.select(*ids, coordinates.alias("_z0")))
     sizes = cut_lineage(cells.groupBy(*batches).agg(F.count(F.lit(1)).alias("_n")))
-    totals = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    totals = sizes.agg(F.sum("_n"), F.count(F.lit(1)), F.max("_n")).first()
     if totals[1] < 2:
         return cells.select(*ids, F.col("_z0").alias("vec"))
     k = n_clusters or max(1, min(100, round(totals[0] / 30)))
@@ -46,12 +46,13 @@ def harmony(embedding: DataFrame, batches: Sequence[str], lam: float = 1.0, thet
     model = sizes.select(*batches, F.explode(every).alias("_m")).select(
         *batches, "_m.k", "_m.y", F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("beta"))
     types = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in batches)
-    before = None
+    large = totals[2] > CHUNK_ROWS * LANES
+    model, before = cut_lineage(model), None
     for _ in range(max_rounds):
         used = None
         for _ in range(cluster_rounds):
-            used = cut_lineage(model)
-            sums = _cluster_sums(cells, used, spread, batches, sigma, types)
+            used = model
+            sums = _cluster_sums(cells, used, spread, batches, sigma, types, large)
             model = cut_lineage(_update(sums, used, sizes, batches, lam, theta, types))
         # the last sums belong to ``used``: its memberships with the corrections solved from them
         fixed = used.drop("beta").join(model.select(*batches, "k", "beta"), [*batches, "k"])
@@ -81,7 +82,8 @@ def _beside(model, spread, batches):
     return model.join(spread.select(*batches, "_chunk"), batches)
 
 
-def _cluster_sums(cells, model, spread, batches, sigma, types):
+def _cluster_sums(cells, model, spread, batches, sigma, types, large):
+    """Sums per (combination, cluster, chunk); folded into at most ``LANES`` rows when chunks are many."""
     columns = [*batches, "k", "lane", "o", "s", "t", "obj"]
 
     def sums(key, part, m):
@@ -100,6 +102,9 @@ def _cluster_sums(cells, model, spread, batches, sigma, types):
     schema = f"{types}, k int, lane int, o double, s array<double>, t array<double>, obj double"
     parts = cogrouped(cells, _beside(model, spread, batches), [*batches, "_chunk"], sums, schema)
 
+    if not large:
+        return parts
+
     def add(part):
         return part.head(1).assign(o=part["o"].sum(), obj=part["obj"].sum(), s=[np.sum(np.stack(part["s"].to_numpy()), axis=0)],
                                    t=[np.sum(np.stack(part["t"].to_numpy()), axis=0)])
