@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import cut_lineage
 from ..schema import CELL_KEY
@@ -127,12 +127,14 @@ def profile_clusters(profiles: DataFrame, regions: Sequence[str], k: int = 4, se
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = cut_lineage(profiles.withColumn("_v", array_to_vector(F.array(*[F.col(f"`{r}`") for r in regions]))))
+    # z-scores are centred on 0, where the algorithm's first split, relative to the centre's norm, finds no
+    # direction; a constant shift leaves all distances as they are
+    shifted = F.array(*[F.col(f"`{r}`") + F.lit(10.0) for r in regions])
+    rows = cut_lineage(profiles.withColumn("_v", array_to_vector(shifted)))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(rows)
     found = model.transform(rows)
     size = reduce(lambda a, b: a + b, [F.abs(F.col(f"`{r}`")) for r in regions])
     order = found.groupBy("_c").agg(F.avg(size).alias("_s"))
-    from pyspark.sql import Window as W
     ranked = order.select("_c", F.row_number().over(W.orderBy("_s", "_c")).alias("profile"))
     return found.join(F.broadcast(ranked), "_c").select(*CELL_KEY, "profile")
 

@@ -138,3 +138,21 @@ def test_fit_recovers_the_grid_point(spark):
     counts = spark.createDataFrame(rows, "sample string, cell_id bigint, gene bigint, cnt bigint")
     got = quantile.fit_poisson_lognormal(counts, 3000, [-0.5, 0.5, 1.5], [0.5, 1.0, 2.0]).first()
     assert (got.mu, got.sigma) == (0.5, 1.0)
+
+
+def test_planted_copy_number_gain_is_called(spark):
+    from cytolake.plans import analyses
+
+    rng, rows = np.random.default_rng(11), []
+    for c in range(60):
+        mean = np.full(60, 6.0)
+        if c >= 40:
+            mean[:20] *= 4          # region A is gained in the last 20 cells
+        rows += [("s", c, g, int(v)) for g, v in enumerate(rng.poisson(mean)) if v]
+    counts = spark.createDataFrame(rows, "sample string, cell_id bigint, gene bigint, cnt bigint")
+    genes = spark.createDataFrame([(g, "chr1", g) for g in range(60)], "gene bigint, chr string, pos int")
+    table = spark.createDataFrame([("A", "chr1", 0, 19), ("B", "chr1", 20, 39), ("C", "chr1", 40, 59)],
+                                  "region string, chr string, start int, end int")
+    got = analyses.malignant_cells(counts, genes, table, ["A"], clusters=2, rounds=8).toPandas()
+    assert len(got) == 60
+    assert ((got.cand_tumor == "tumor") == (got.cell_id >= 40)).all()
