@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import quality
+from cytolake.llm import quality, simhash
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,5 +16,9 @@ def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "why")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op5_simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+QUERIES = {"op5_simhash_near_duplicates": op5_simhash_near_duplicates, "op4_quality_rules": op4_quality_rules}
 ORACLES: dict[str, str] = {}
