@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import quality, simhash
+from cytolake.llm import decontaminate, quality, simhash
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,5 +20,13 @@ def op5_simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
-QUERIES = {"op5_simhash_near_duplicates": op5_simhash_near_duplicates, "op4_quality_rules": op4_quality_rules}
+def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+}
 ORACLES: dict[str, str] = {}
