@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import decontaminate, quality, simhash
+from cytolake.llm import decontaminate, quality, secrets, simhash
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,7 +24,12 @@ def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op2_secret_scans(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secret_table(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "op2_secret_scans": op2_secret_scans,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
