@@ -19,11 +19,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: kind -> pattern, the group whose length counts, its least length
+#: kind -> pattern, the group whose length counts, its least length. Runs that are too short are left out by the pattern itself where
+#: that finds the same: a run of hex digits, or AKIA with what follows, is always taken whole from its start. A short
+#: assignment must still be matched and then dropped, since it uses up text in which another could begin.
 BASE = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
-    "access": (r"AKIA[A-Z0-9]+", 0, 16),
-    "hex": (r"[0-9a-f]+", 0, 32),
+    "access": (r"AKIA[A-Z0-9]{12,}+", 0, 16),
+    "hex": (r"(?<![0-9a-f])[0-9a-f]{32,}+", 0, 32),
 }
 WINDOW = 20
 #: class -> alphabet, least entropy in bits of a window of 20
@@ -39,8 +41,12 @@ RANK = {k: i for i, k in enumerate([*BASE, *CLASSES])}
 STEP = 256
 
 
-def _before(values: Column, plus, zero: Column) -> Column:
+def _before(computed: Column, plus, zero: Column) -> Column:
     """For each element the fold of all elements before it; two levels of blocks keep it near linear."""
+    return _bind(computed, lambda values: _folds(values, plus, zero))
+
+
+def _folds(values: Column, plus, zero: Column) -> Column:
     fold = lambda part: F.aggregate(part, zero, plus)
     starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))
     blocks = F.transform(starts, lambda b: fold(F.slice(values, b * STEP + 1, F.lit(STEP))))
