@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import decontaminate, quality, secrets, simhash
+from cytolake.llm import decontaminate, pieces, quality, secrets, simhash
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,10 +32,15 @@ def op2_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_table(table(spark, d, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.encode(table(spark, d, "documents").select("doc_id", "text"), PIECES).drop("text")
+
+
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
