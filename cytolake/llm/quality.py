@@ -21,7 +21,7 @@ from cytolake.runtime import cut_lineage
 
 SPACE = " \t\n\x0b\f\r"
 #: metric -> the least spread between quartiles that is believed; a limit is this many spreads away from the quartile.
-SPREADS = {"word_length": 0.5, "symbol_share": 0.03, "dup_line_share": 0.1, "repeat_share": 0.05, "upper_share": 0.05}
+SPREADS = {"word_length": 0.5, "symbol_share": 0.03, "dup_line_share": 0.2, "repeat_share": 0.1, "upper_share": 0.05}
 FENCE = 3.0
 
 
