@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolake.llm import decontaminate, pieces, quality, secrets, simhash
+from cytolake.llm import decontaminate, pieces, quality, secrets, simhash, token_store
+from cytolake.runtime import stage_path
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -36,7 +38,14 @@ def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.encode(table(spark, d, "documents").select("doc_id", "text"), PIECES).drop("text")
 
 
+def op1_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    path = stage_path(spark, "token-ids")
+    token_store.write(table(spark, d, "documents"), path, BYTE_BPE, end=0)
+    return token_store.digest(spark, path)
+
+
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_secret_scans": op2_secret_scans,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
