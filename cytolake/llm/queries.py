@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytolake.llm import decontaminate, pieces, quality, secrets, simhash, token_store
+from cytolake.llm import decontaminate, main_text, ordinal, pieces, quality, secrets, simhash, token_store
 from cytolake.runtime import stage_path
 
 
@@ -44,6 +44,17 @@ def op1_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_store.digest(spark, path)
 
 
+def op9_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Grades 0 to 2: a point for quality, a point for not being toxic."""
+    docs = table(spark, d, "documents")
+    model = ordinal.train(docs, table(spark, d, "labels"), F.col("quality") + 1 - F.col("toxic"), 3)
+    return ordinal.score(docs, model)
+
+
+def op10_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return main_text.extract(table(spark, d, "pages"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_secret_scans": op2_secret_scans,
@@ -51,5 +62,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
