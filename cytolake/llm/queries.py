@@ -5,13 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytolake.llm import decontaminate, main_text, ordinal, pieces, quality, secrets, simhash, token_store
+from cytolake.llm import decontaminate, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
 from cytolake.runtime import stage_path
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: host, path, verdict
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -55,6 +58,10 @@ def op10_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return main_text.extract(table(spark, d, "pages"))
 
 
+def op8_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    return url_filter.judge(table(spark, d, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_secret_scans": op2_secret_scans,
@@ -62,6 +69,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
