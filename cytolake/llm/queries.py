@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytolake.llm import decontaminate, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
+from cytolake.llm import decontaminate, hmm, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
 from cytolake.runtime import stage_path
 
 
@@ -62,6 +62,10 @@ def op8_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge(table(spark, d, "pages"), URL_RULES)
 
 
+def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return hmm.score_table(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_secret_scans": op2_secret_scans,
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
