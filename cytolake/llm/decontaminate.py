@@ -144,16 +144,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no item, decided row by row on the text, with their columns."""
-    kept = docs
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])     # any names will do outside
     for items in _parts(benchmark):
-        kept = kept.mapInArrow(_clean(items), docs.schema)
-    return kept
+        kept = kept.mapInArrow(_clean(items, docs.columns.index("text")), kept.schema)
+    return kept.toDF(*docs.columns)
 
 
-def _clean(items: Items):
+def _clean(items: Items, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(at).to_pylist()
             good = pa.array([next(items.matches(t), None) is None for t in texts], pa.bool_())
             yield batch.filter(good)
     return run

@@ -110,45 +110,49 @@ def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def _encode(model: bytes, names: list[str]):
+def _encode(model: bytes, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                texts = part.column(text).to_pylist()
                 ids = [np.frombuffer(pieces.encode(t), "<i4") for t in texts]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
                                                  pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
                 same = pa.array([None if t is None else pieces.decode(x.tolist()) == t for t, x in zip(texts, ids)], pa.bool_())
-                new = {"piece_ids": lists, "n_pieces": pa.array(sizes), "round_trip": same}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(part.schema.get_field_index(c)) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes), same], names=[*part.schema.names, *dict(ADDED)])
     return run
 
 
+def _mapped(df: DataFrame, function, added: list[tuple[str, T.DataType]]) -> DataFrame:
+    """``mapInArrow`` that adds columns behind the others; inside, those are called by position, so any names will do."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType(plain.schema.fields + [T.StructField(n, t) for n, t in added])
+    return plain.mapInArrow(function, schema).toDF(*df.columns, *[n for n, _ in added])
+
+
+def _read(model_path: str) -> bytes:
+    with open(model_path, "rb") as f:      # a file of the driver's installation, not one of the inputs
+        return f.read()
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Add piece_ids, n_pieces and round_trip (whether decoding the ids gives the text back)."""
-    with open(model_path, "rb") as f:      # a file of the driver's installation, not one of the inputs
-        model = f.read()
-    kept = [x for x in docs.schema.fields if x.name not in dict(ADDED)]
-    schema = T.StructType(kept + [T.StructField(n, t) for n, t in ADDED])
-    return docs.select(*[f"`{x.name}`" for x in kept]).mapInArrow(_encode(model, schema.names), schema)
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in dict(ADDED)])
+    return _mapped(kept, _encode(_read(model_path), kept.columns.index("text")), ADDED)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Add ``decoded``: the text of ``piece_ids``."""
-    with open(model_path, "rb") as f:
-        model = f.read()
-    kept = [x for x in encoded.schema.fields if x.name != "decoded"]
-    names = [x.name for x in kept]
+    kept = encoded.select(*[f"`{c}`" for c in encoded.columns if c != "decoded"])
+    model, at = _read(model_path), kept.columns.index("piece_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("piece_ids"))
-            texts = pa.array([None if x is None else pieces.decode(x) for x in ids.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], texts], names=[*names, "decoded"])
+            texts = pa.array([None if x is None else pieces.decode(x) for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
-    return (encoded.select(*[f"`{c}`" for c in names])
-            .mapInArrow(run, T.StructType(kept + [T.StructField("decoded", T.StringType())])))
+    return _mapped(kept, run, [("decoded", T.StringType())])

@@ -108,17 +108,28 @@ def _of(rows: Column, kind: str) -> Column:
     return F.transform(rows, lambda x: F.struct(x["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def _at_least(least: int):
+    return lambda x: x["size"] >= least
+
+
+def _unnamed(x: Column) -> Column:
+    return ~F.coalesce(*[F.when(x["found"].rlike(p), F.lit(True)) for p in ALLOWED], F.lit(False))
+
+
+def _hot_part(level: float):
+    return lambda x: _bind(_hot(x["found"], level), lambda h: F.struct(
+        (x["start"] + h["first"] - 1).alias("start"), (x["start"] + h["last"]).alias("end")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Add ``base`` and ``secrets``: arrays of (start, rank, kind, end) by start, then kind as listed; base ones alone, and all."""
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = docs
     for kind, (pattern, group, least) in BASE.items():
-        wide = wide.withColumn(f"_{kind}", _of(F.filter(_located(text, pattern, group), lambda x, n=least: x["size"] >= n), kind))
+        wide = wide.withColumn(f"_{kind}", _of(F.filter(_located(text, pattern, group), _at_least(least)), kind))
     for kind, (alphabet, level) in CLASSES.items():
         runs = _located(text, f"(?<![{alphabet}])[{alphabet}]{{{WINDOW},}}+", 0)
-        named = lambda x: F.coalesce(*[F.when(x["found"].rlike(p), F.lit(True)) for p in ALLOWED], F.lit(False))
-        hot = F.transform(F.filter(runs, lambda x: ~named(x)), lambda x, e=level: _bind(
-            _hot(x["found"], e), lambda h: F.struct((x["start"] + h["first"] - 1).alias("start"), (x["start"] + h["last"]).alias("end"))))
+        hot = F.transform(F.filter(runs, _unnamed), _hot_part(level))
         wide = wide.withColumn(f"_{kind}", _of(F.filter(hot, lambda x: x["start"].isNotNull()), kind))
     base = F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE]))
     return (wide.withColumn("base", base)
