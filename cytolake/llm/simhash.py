@@ -82,11 +82,12 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(fp: np.ndarray, member: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
-    inside, a, b = fp[member], [], []
+    bits = fp.view(np.uint64)                      # bits of negative numbers are counted of their absolute value
+    inside, inside_bits, a, b = fp[member], bits[member], [], []
     step = max(1, (1 << 22) // max(1, len(inside)))
     for at in range(0, len(fp), step):
         rows = fp[at:at + step]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ inside[None, :]) <= radius)
+        i, j = np.nonzero(np.bitwise_count(bits[at:at + step, None] ^ inside_bits[None, :]) <= radius)
         other = rows[i] != inside[j]
         if other.any():
             x, y = _roots(rows[i[other]], inside[j[other]])
@@ -102,7 +103,7 @@ def _compare(radius: int):
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, rows.shape[1]]):
-                if hi - lo > 1 and (found := _links(rows[1, lo:hi], rows[2, lo:hi] == 1, radius)):
+                if hi - lo > 1 and (found := _links(np.ascontiguousarray(rows[1, lo:hi]), rows[2, lo:hi] == 1, radius)):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
         for batch in batches:
