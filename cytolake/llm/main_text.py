@@ -101,6 +101,22 @@ LABELLED = """
 7 0 5 0 3 1 0 1 0 1
 55 0 12 0 6 0 0 1 0 1
 5 1 55 0 60 0 0 1 0 1
+40 0 2 1 3 0 0 0 0 1
+60 0 1 1 5 0 0 0 0 1
+35 0 4 .9 2 0 0 0 0 1
+48 0 3 1 60 0 0 0 0 1
+70 .1 2 1 30 0 0 0 0 1
+28 0 5 1 4 0 0 0 0 1
+3 0 40 0 38 0 0 0 0 1
+4 0 36 0 42 0 0 0 0 1
+9 0 55 0 48 0 0 0 0 1
+40 0 3 0 2 0 0 0 0 1
+55 0 6 0 3 0 0 0 0 1
+2 0 40 0 0 0 0 0 0 0
+3 0 55 0 0 0 0 0 0 0
+4 0 38 0 2 1 0 0 0 0
+2 1 0 0 40 0 0 0 0 0
+6 1 0 0 35 0 0 0 0 0
 """
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select button textarea head title".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
@@ -203,7 +219,9 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[int, float, int, int, i
 
 
 def features_of(blocks: list[tuple[str, tuple]]) -> np.ndarray:
-    own = np.array([f for _, f in blocks], float).reshape(-1, 5)
+    if not blocks:
+        return np.zeros((0, len(FEATURES)))
+    own = np.array([f for _, f in blocks], float)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1, :2]]), np.concatenate([own[1:, :2], edge])
     return np.concatenate([own[:, :2], before, after, own[:, 2:]], axis=1)
