@@ -399,7 +399,7 @@ def h12(s, d):
 # ---- Poisson-lognormal
 
 MUS, SIGMAS, MU_GRID = [-6.0, -5.0, -4.0, -3.0, -2.0], [1.0, 1.6, 2.2, 2.8, 3.4], [round(-16 + 0.4 * i, 1) for i in range(41)]
-NODES = """SELECT t, exp(-t * t / 2) / SUM(exp(-t * t / 2)) OVER () AS w FROM (SELECT (i - 60) / 10.0 AS t FROM range(121) r(i))"""
+NODES = """SELECT t, exp(-t * t / 2) / SUM(exp(-t * t / 2)) OVER () AS w FROM (SELECT (i - 800) / 100.0 AS t FROM range(1601) r(i))"""
 FITS = dict(
     ng="SELECT COUNT(*) AS g FROM genes",
     held="""SELECT sample, cell_id, cnt, COUNT(*) AS n FROM counts GROUP BY 1, 2, 3 UNION ALL
@@ -438,7 +438,7 @@ def i18(s, d):
     chosen="""SELECT sample, cell_id, mu, y, cdf, FIRST_VALUE(cdf) OVER (PARTITION BY sample, cell_id ORDER BY y) AS zero
            FROM scale JOIN cdf USING (mu)"""))
 def i19(s, d):
-    return quantile.quasi_counts(fx.counts(s, d), n_parts(s, d), value="cnt", mus=MU_GRID, y_max=400)
+    return quantile.quasi_counts(fx.counts(s, d), n_parts(s, d), value="cnt", mus=MU_GRID)
 
 
 # ---- whole analyses

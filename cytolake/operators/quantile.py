@@ -9,90 +9,155 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..runtime import cut_lineage
 from ..schema import CELL_KEY
 
-#: Quadrature over the lognormal rate: standard normal nodes from -6 to 6 in steps of 0.1.
-NODES = np.round(np.arange(-60, 61) / 10.0, 1)
-WEIGHTS = np.exp(-NODES * NODES / 2) / np.exp(-NODES * NODES / 2).sum()
+STEPS = 240
+DEPTH = 40.0          # the integrand is followed down to exp(-DEPTH) of its top
+
+
+def log_factorial(y: np.ndarray) -> np.ndarray:
+    """ln y! by Stirling's series, from ten on; below that through the next ten factors."""
+    z = y + 11.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
+    return series - np.log(y[:, None] + np.arange(1.0, 11.0)).sum(axis=1)
+
+
+def poisson_lognormal_log_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndarray:
+    """ln P(y) for counts whose log rate is normal(mu, sigma), for counts of any size.
+
+    Around the top x of the integrand (found by Newton's steps) its fall is e^x (e^d - 1 - d) + d^2 / (2 sigma^2) exactly; the
+    trapezoid rule runs over the d where that is below ``DEPTH``, so its nodes are as dense as the top is narrow.
+    """
+    y = np.asarray(y, dtype=float)
+    x = np.where(y > 0, np.log(np.maximum(y, 0.5)), np.minimum(mu, 0.0))
+    for _ in range(200):
+        rate = np.exp(x)
+        step = (y - rate - (x - mu) / sigma ** 2) / (rate + 1 / sigma ** 2)
+        x = x + np.clip(step, -1.0, 1.0)
+        if np.all(np.abs(step) < 1e-12 * (1 + np.abs(x))):
+            break
+    rate = np.exp(x)
+
+    def reach(sign: int) -> np.ndarray:
+        lo, hi = np.zeros_like(x), np.full_like(x, math.sqrt(2 * DEPTH) * sigma)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            far = rate * (np.expm1(sign * mid) - sign * mid) + mid ** 2 / (2 * sigma ** 2) > DEPTH
+            lo, hi = np.where(far, lo, mid), np.where(far, mid, hi)
+        return hi
+
+    left, right = reach(-1), reach(1)
+    h = (left + right) / STEPS
+    d = -left[:, None] + h[:, None] * np.arange(STEPS + 1)
+    area = np.exp(-rate[:, None] * (np.expm1(d) - d) - d * d / (2 * sigma ** 2)).sum(axis=1) * h
+    top = y * x - rate - log_factorial(y) - (x - mu) ** 2 / (2 * sigma ** 2) - math.log(sigma * math.sqrt(2 * math.pi))
+    return top + np.log(area)
 
 
 def poisson_lognormal_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndarray:
-    """P(y) for counts whose log rate is normal(mu, sigma)."""
-    x = mu + sigma * NODES
-    log_fact = np.array([math.lgamma(v + 1.0) for v in y])
-    return np.exp(y[:, None] * x - np.exp(x) - log_fact[:, None]) @ WEIGHTS
+    return np.exp(poisson_lognormal_log_pmf(y, mu, sigma))
 
 
 def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float], sigmas: Sequence[float]) -> DataFrame:
     """Most likely (mu, sigma) of every cell on a grid: ``(sample, cell_id, mu, sigma, ll)``.
 
-    Cells are reduced to histograms of their counts (zeros included) first; the likelihood table has one
-    row per distinct count and grid point, is computed on the executors and joined on the count.
+    A cell becomes the histogram of its counts (zeros included), one row; a task works out the likelihood of a count
+    when it first meets it, and every grid point of a cell is then one product.
     """
-    grid = [(float(m), float(s)) for m in mus for s in sigmas]
+    grid = sorted((float(m), float(s)) for m in mus for s in sigmas)
+    seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
+    held = seen.groupBy(*CELL_KEY).agg(F.collect_list("cnt").alias("_y"), F.collect_list("n").alias("_n"), F.sum("n").alias("_rows"))
 
-    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            y = pdf["cnt"].to_numpy(dtype=float)
-            for m, s in grid:
-                yield pd.DataFrame({"cnt": pdf["cnt"], "mu": m, "sigma": s,
-                                    "lp": np.log(np.maximum(poisson_lognormal_pmf(y, m, s), 1e-300))})
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[float, np.ndarray] = {}
 
-    seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
-    zeros = counts.groupBy(*CELL_KEY).agg((F.lit(n_genes) - F.count(F.lit(1))).alias("n")).select(
-        *CELL_KEY, F.lit(0.0).alias("cnt"), "n")
-    held = cut_lineage(seen.unionByName(zeros))
-    likelihood = held.select("cnt").distinct().mapInPandas(table, "cnt double, mu double, sigma double, lp double")
-    scored = held.join(likelihood, "cnt").groupBy(*CELL_KEY, "mu", "sigma").agg(F.sum(F.col("n") * F.col("lp")).alias("ll"))
-    best = F.max_by(F.struct("mu", "sigma", "ll"), F.struct(F.round("ll", 6), "mu", "sigma"))
-    return scored.groupBy(*CELL_KEY).agg(best.alias("_b")).select(*CELL_KEY, "_b.*")
+        def logs(y: np.ndarray) -> np.ndarray:
+            new = np.array([v for v in y if v not in known])
+            if len(new):
+                table = np.stack([poisson_lognormal_log_pmf(new, m, s) for m, s in grid], axis=1)
+                if len(known) > 1 << 16:
+                    known.clear()
+                    return logs(y)
+                known.update(zip(new.tolist(), table))
+            return np.stack([known[v] for v in y.tolist()])
+
+        for pdf in batches:
+            rows = []
+            for y, n, total in zip(pdf["_y"], pdf["_n"], pdf["_rows"]):
+                y, n = np.append(np.asarray(y, float), 0.0), np.append(np.asarray(n, float), n_genes - total)
+                order = np.argsort(y, kind="stable")
+                ll = n[order] @ logs(y[order])
+                top = max(range(len(grid)), key=lambda g: (round(ll[g], 6), grid[g]))
+                rows.append((*grid[top], ll[top]))
+            out = pdf[list(CELL_KEY)].copy()
+            out[["mu", "sigma", "ll"]] = np.array(rows, float).reshape(-1, 3)
+            yield out
+
+    keys = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in CELL_KEY)
+    return held.mapInPandas(best, f"{keys}, mu double, sigma double, ll double")
+
+
+def scale_of(zero_share: float, shape: float) -> float:
+    """The mu at which a count is zero with the given probability."""
+    lo, hi = -60.0, 60.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if poisson_lognormal_log_pmf(np.zeros(1), mid, shape)[0] >= math.log(zero_share):
+            lo = mid
+        else:
+            hi = mid
+        if hi - lo < 1e-12:
+            break
+    return lo
+
+
+def quantiles(mu: float, shape: float, shares: np.ndarray) -> np.ndarray:
+    """Least counts from 1 on at which the zero-truncated distribution reaches the ascending ``shares`` (below 1)."""
+    zero = float(poisson_lognormal_pmf(np.zeros(1), mu, shape)[0])
+    goal, out, done = zero + shares * (1 - zero), np.empty(len(shares), np.int64), 0
+    upto, at, size = zero, 1, 256
+    while done < len(goal):
+        cdf = upto + np.cumsum(poisson_lognormal_pmf(np.arange(at, at + size, dtype=float), mu, shape))
+        n = int(np.searchsorted(goal[done:], cdf[-1], side="right"))
+        out[done:done + n] = at + np.searchsorted(cdf, goal[done:done + n], side="left")
+        if cdf[-1] == upto:               # the rest of the sum is below the last digit
+            out[done:] = at
+            break
+        done, upto, at, size = done + n, float(cdf[-1]), at + size, min(2 * size, 1 << 14)
+    return out
 
 
 def quasi_counts(values: DataFrame, n_genes: int, shape: float = 2.2, value: str = "tpm",
-                 mus: Sequence[float] | None = None, y_max: int = 20000, name: str = "qumi") -> DataFrame:
+                 mus: Sequence[float] | None = None, name: str = "qumi") -> DataFrame:
     """Map every cell's non-zero values by rank to Poisson-lognormal quantiles; zeros stay zeros.
 
-    The scale of a cell is the greatest grid mu whose zero probability is not below the cell's zero
-    fraction. Value ranks ``(values <= v) / (non-zeros + 1)`` go to the zero-truncated distribution.
-    The distribution table (grid x ``y_max``) has a size fixed by the arguments; quantiles beyond it
-    follow the lognormal tail.
+    The scale of a cell is the mu that gives its share of zeros (half a zero where it has none); with ``mus``, the greatest of
+    those whose zero probability is not below that share, or the least one. Value ranks ``(values <= v) / (non-zeros + 1)`` go
+    to the zero-truncated distribution. Cells with as many non-zeros share a scale and quantiles; rows come sorted by that number,
+    so a task works each out once.
     """
-    mus = np.round(np.arange(-160, 41) / 10.0, 1) if mus is None else np.asarray(mus, dtype=float)
-    y = np.arange(y_max + 1, dtype=float)
-    cdf = np.stack([np.cumsum(poisson_lognormal_pmf(y, m, shape)) for m in mus])
-    zero = cdf[:, 0]
+    grid = None if mus is None else np.sort(np.asarray(mus, dtype=float))
 
     # per-cell window: a cell has at most n_genes rows
     cell = W.partitionBy(*CELL_KEY)
-    ranked = values.withColumn("_nnz", F.count(F.lit(1)).over(cell)).withColumn(
-        "_le", F.count(F.lit(1)).over(cell.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)))
-    placed = ranked.withColumn("_u", F.col("_le") / (F.col("_nnz") + F.lit(1.0))).withColumn(
-        "_p0", F.lit(1.0) - F.col("_nnz") / F.lit(float(n_genes))).drop("_le", "_nnz")
+    placed = values.withColumn("_nnz", F.count(F.lit(1)).over(cell)).withColumn(
+        "_le", F.count(F.lit(1)).over(cell.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))).sortWithinPartitions("_nnz")
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, mu, table = None, 0.0, np.empty(0)
+        zero = None if grid is None else np.array([poisson_lognormal_pmf(np.zeros(1), m, shape)[0] for m in grid])
         for pdf in batches:
-            at = np.clip(np.searchsorted(-zero, -pdf["_p0"].to_numpy(), side="right") - 1, 0, len(mus) - 1)
-            u = pdf["_u"].to_numpy()
-            out = np.empty(len(pdf))
-            for g in np.unique(at):
-                rows = at == g
-                goal = zero[g] + u[rows] * (1 - zero[g])
-                q = np.searchsorted(cdf[g], goal, side="left").astype(float)
-                far = q > y_max
-                if far.any():
-                    tail = _tail_quantile(goal[far], mus[g], shape)
-                    q[far] = np.maximum(tail, y_max + 1)
-                out[rows] = np.maximum(q, 1)
-            yield pdf.drop(columns=["_u", "_p0"]).assign(mu=mus[at], **{name: out.astype("int64")})
+            nnz, le = pdf["_nnz"].to_numpy(), pdf["_le"].to_numpy()
+            scales, out = np.empty(len(pdf)), np.empty(len(pdf), np.int64)
+            for n in np.unique(nnz):
+                if n != now:
+                    share = max(1 - n / n_genes, 0.5 / n_genes)
+                    mu = scale_of(share, shape) if grid is None else grid[max(0, int((zero >= 1 - n / n_genes).sum()) - 1)]
+                    now, table = n, quantiles(mu, shape, np.arange(1, n + 1) / (n + 1.0))
+                rows = nnz == n
+                scales[rows], out[rows] = mu, table[le[rows] - 1]
+            yield pdf.drop(columns=["_nnz", "_le"]).assign(mu=scales, **{name: out})
 
     fields = values.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", mu double, {name} bigint"
     return placed.mapInPandas(look_up, schema)
-
-
-def _tail_quantile(p: np.ndarray, mu: float, shape: float) -> np.ndarray:
-    from statistics import NormalDist
-
-    normal = NormalDist()
-    return np.ceil(np.exp(mu + shape * np.array([normal.inv_cdf(min(v, 1 - 1e-16)) for v in p])))

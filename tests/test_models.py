@@ -1,5 +1,7 @@
 """Components, batch correction, doublets, mixtures and quasi-counts."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,12 +127,33 @@ def test_poisson_lognormal_and_quasi_counts(spark):
     rng = np.random.default_rng(8)
     rows = [("s", c, g, float(v)) for c in range(4) for g, v in enumerate(rng.lognormal(0, 2, 200)) if v > 1.0]
     tpm = spark.createDataFrame(rows, "sample string, cell_id bigint, gene bigint, tpm double")
-    got = quantile.quasi_counts(tpm, 200, y_max=2000).toPandas()
+    got = quantile.quasi_counts(tpm, 200).toPandas()
     assert len(got) == len(rows) and (got.qumi >= 1).all()
     for _, cell in got.groupby("cell_id"):
         assert cell.sort_values("tpm").qumi.is_monotonic_increasing
 
 
+def test_poisson_lognormal_at_large_counts():
+    """Against a grid of four million nodes, at counts from 0 to 5,000."""
+    y = np.array([0.0, 1, 10, 400, 5000])
+    for mu, sigma in ((-2, 2.2), (1, 2.2), (4, 1.0), (1, 3.4)):
+        t = np.linspace(-12, 12, 4_000_001)
+        want = []
+        for v in y:
+            lp = v * (mu + sigma * t) - np.exp(mu + sigma * t) - math.lgamma(v + 1) - t * t / 2
+            want.append(np.exp(lp - lp.max()).sum() * (t[1] - t[0]) / math.sqrt(2 * math.pi) * math.exp(lp.max()))
+        assert quantile.poisson_lognormal_pmf(y, mu, sigma) == pytest.approx(want, rel=1e-6)
+
+
+def test_quasi_count_quantiles_are_the_least_ones():
+    mu, shares = quantile.scale_of(0.4, 2.2), np.arange(1, 400) / 400
+    assert quantile.poisson_lognormal_pmf(np.zeros(1), mu, 2.2)[0] == pytest.approx(0.4)
+    got = quantile.quantiles(mu, 2.2, shares)
+    cdf = np.cumsum(quantile.poisson_lognormal_pmf(np.arange(got[-1] + 1.0), mu, 2.2))
+    goal = 0.4 + shares * 0.6
+    assert got[-1] > 500 and (cdf[got] >= goal - 1e-12).all() and (cdf[got - 1] < goal + 1e-12).all()
+
+
 def test_fit_recovers_the_grid_point(spark):
     rng = np.random.default_rng(9)
     v = rng.poisson(rng.lognormal(0.5, 1.0, 3000))
