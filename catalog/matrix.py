@@ -292,7 +292,8 @@ SHARES = dict(
              WHERE batch < 7 OR batch >= least_batch""",
     sizes="SELECT p_n, COUNT(*) AS n FROM mixed GROUP BY 1",
     **brute("mixed", "2000000000", "p_n"),
-    shares="""SELECT p_n, p_k, near.i, AVG(CASE WHEN b.is_sim THEN 1.0 ELSE 0.0 END) AS pann FROM near JOIN sizes USING (p_n)
+    others="""SELECT p_n, i, j, row_number() OVER (PARTITION BY p_n, i ORDER BY rk) AS rk FROM near WHERE i <> j""",
+    shares="""SELECT p_n, p_k, near.i, AVG(CASE WHEN b.is_sim THEN 1.0 ELSE 0.0 END) AS pann FROM others AS near JOIN sizes USING (p_n)
               JOIN mixed a ON a.p_n = near.p_n AND a.cell_id = near.i AND NOT a.is_sim
               JOIN mixed b ON b.p_n = near.p_n AND b.cell_id = near.j, (VALUES (0.01), (0.02), (0.04)) t(p_k)
               WHERE rk <= greatest(1, round_even(CAST(p_k AS DOUBLE) * n, 0)) GROUP BY 1, 2, 3""")
@@ -305,7 +306,7 @@ def staged_shares(s, d):
              .select("g.p_n", F.col("cell_id").alias("id"), (F.col("batch") >= 7).alias("is_sim"), "vec")
              .withColumn("_real", ~F.col("is_sim")))
     sizes = mixed.groupBy("p_n").agg(F.count(F.lit(1)).alias("n"))
-    ks = sizes.select("p_n", F.bround(F.lit(max(P_KS)) * F.col("n"), 0).cast("int").alias("k"))
+    ks = sizes.select("p_n", (F.bround(F.lit(max(P_KS)) * F.col("n"), 0) + 1).cast("int").alias("k"))
     near = graph.knn(mixed, None, ["p_n"], "id", "vec", ks=ks, ask="_real")
     return doublets.artificial_share(near, mixed, sizes, P_KS, ["p_n"])
 

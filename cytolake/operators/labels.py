@@ -94,10 +94,10 @@ def consensus(df: DataFrame, group: str, label: str, name: str) -> DataFrame:
 
 
 def best_row(df: DataFrame, by: Sequence[str], score: str, tie: str, columns: Sequence[str]) -> DataFrame:
-    """The row with the highest score per group; the smallest ``tie`` wins equals."""
+    """The row with the highest score per group; the smallest ``tie``, of any ordered type, wins equals. Null scores come last."""
     row = F.struct(F.col(score), *[c for c in columns if c != score])
-    key = F.struct(F.col(score), -F.col(tie))
-    return df.groupBy(*by).agg(F.max_by(row, key).alias("_r")).select(*by, "_r.*")
+    key = F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    return df.groupBy(*by).agg(F.min_by(row, key).alias("_r")).select(*by, "_r.*")
 
 
 def by_size(df: DataFrame, cluster: str, cell: str, name: str = "cluster", by: Sequence[str] = ()) -> DataFrame:

@@ -48,8 +48,8 @@ def region_zscores(means: DataFrame) -> DataFrame:
         "x", F.coalesce(F.try_divide(F.col("x") - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
 
 
-def _density(x, mean, var):
-    return F.exp(-(x - mean) * (x - mean) / (2 * var)) / F.sqrt(2 * F.lit(3.141592653589793) * var)
+def _log_density(x, mean, var):
+    return -(x - mean) * (x - mean) / (2 * var) - F.ln(2 * F.lit(3.141592653589793) * var) / 2
 
 
 def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -72,17 +72,20 @@ def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, Data
 
     def expected(p):
         joined = scores.join(p.select("region", "p2", "m1", "m2", "v1", "v2"), "region")
-        a = (1 - F.col("p2")) * _density(x, F.col("m1"), F.col("v1"))
-        b = F.col("p2") * _density(x, F.col("m2"), F.col("v2"))
-        return joined.withColumn("_t", F.greatest(a + b, F.lit(1e-300))).withColumn(
-            "r", F.least(F.lit(1.0), b / F.col("_t")))
+        tiny = F.lit(1e-300)
+        logs = joined.withColumns({        # in logs, so that a cell far from both still leans to the nearer one
+            "_a": F.ln(F.greatest(1 - F.col("p2"), tiny)) + _log_density(x, F.col("m1"), F.col("v1")),
+            "_b": F.ln(F.greatest(F.col("p2"), tiny)) + _log_density(x, F.col("m2"), F.col("v2"))})
+        gap = F.col("_a") - F.col("_b")
+        return logs.withColumns({"r": 1 / (1 + F.exp(F.least(gap, F.lit(700.0)))),
+                                 "_l": F.greatest("_a", "_b") + F.log1p(F.exp(-F.abs(gap)))})
 
     for _ in range(rounds):
         r = F.col("r")
         sums = expected(params).groupBy("region").agg(
             F.sum(r).alias("w2"), F.sum(r * x).alias("s2"), F.sum(r * x * x).alias("q2"),
             F.sum(1 - r).alias("w1"), F.sum((1 - r) * x).alias("s1"), F.sum((1 - r) * x * x).alias("q1"),
-            F.sum(F.ln("_t")).alias("_ll"))
+            F.sum("_l").alias("_ll"))
         keep = params.select("region", "n", "m", "v", "m1", "m2", "v1", "v2", "ll_path")
 
         def mean(w, s, old):

@@ -132,3 +132,24 @@ def test_union_keeps_absent_columns_missing(tiny, spark):
     other = spark.createDataFrame([("s9", "c1", 3)], "sample string, cell_id string, depth int")
     got = reshape.unite_named({"a": cells, "b": other})
     assert got.count() == 7 and got.filter("dataset = 'b' and label is null and depth = 3").count() == 1
+
+
+def test_best_row_with_text_ids(spark):
+    from cytolake.operators import labels
+    df = spark.createDataFrame([("s", "b", 3), ("s", "a", 3), ("s", "c", None), ("t", "x", None)], "sample string, cell_id string, v int")
+    assert sorted(map(tuple, labels.best_row(df, ["sample"], "v", "cell_id", ["cell_id"]).collect())) == [("s", 3, "a"), ("t", None, "x")]
+
+
+def test_resolution_tree_with_names_that_repeat(spark):
+    from cytolake.operators import graph
+    rows = [(s, c, r, k) for s in ("s1", "s2") for c in ("c1", "c2") for r, k in ((0.1, 0), (0.5, 1))]
+    edges, _ = graph.resolution_tree(spark.createDataFrame(rows, "sample string, cell string, resolution double, cluster int"), key=("sample", "cell"))
+    assert [r.n for r in edges.collect()] == [4]
+
+
+def test_every_cell_is_a_parent_when_the_step_divides_the_cells(spark):
+    from pyspark.sql import functions as F
+    from cytolake.operators import doublets
+    pairs = doublets.synthetic_pairs(spark.range(310).select(F.lit("s").alias("sample"), F.col("id").alias("cell_id")), 2.0)
+    used = [r["count"] for r in pairs.groupBy("parent").count().collect()]
+    assert len(used) == 310 and min(used) >= 3 and max(used) <= 6
