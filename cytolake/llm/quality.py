@@ -33,7 +33,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper and base_failed.
 
     Repeated 3-word windows are found by sorting (hash, position) packed into one number; windows whose hash bits
-    meet are compared as text, so the count is exact. Every step is n log n in the words of one text.
+    meet are compared as text, so the count is exact. Every step is n log n in the words of one text. Write the result before
+    using it twice or filtering it (``cut_lineage``): Spark would copy these expressions into what comes after.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(t, F.lit(SPACE))

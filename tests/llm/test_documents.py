@@ -373,7 +373,7 @@ def test_lm_beats_single_words_on_held_out_texts(spark):
     two = {0: [f"a{i}" for i in range(300)], 1: [f"b{i}" for i in range(300)]}
     rows = [(i, prose(i, 80, two[i % 2])) for i in range(300)]
     got = hmm.score_table(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert got[0] > got[1] + 0.15 * got[2]
+    assert got[0] > got[1] + 0.1 * got[2]          # two topics of words, about half of them new
 
 
 # --- classifier
