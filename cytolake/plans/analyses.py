@@ -85,7 +85,8 @@ def marker_figure(datasets: Mapping[str, tuple[DataFrame, DataFrame]], features:
         cells = labels.as_factor(cells, column, order)
     cells = cells.withColumn("_key", paste(*group))
     found = markers.marker_summary(normalize.log_normalize(counts), cells, features, "_key")
-    return found.select("*", *[F.get(F.split("_key", "_"), F.lit(i)).alias(g) for i, g in enumerate(group)])
+    parts = cells.select("_key", *[F.coalesce(F.col(g).cast("string"), F.lit("NA")).alias(g) for g in group]).distinct()
+    return found.join(parts, "_key")          # not split from the key: labels may hold its separator
 
 
 def malignant_cells(counts: DataFrame, genes: DataFrame, region_table: DataFrame, watched: Sequence[str],
