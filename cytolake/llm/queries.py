@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cytolake.llm import decontaminate, hmm, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
+from cytolake.llm.oracles import ORACLES  # noqa: F401
 from cytolake.runtime import stage_path
 
 
@@ -22,7 +23,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_table(table(spark, d, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "why")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("why", ",").alias("why"))
 
 
 def op5_simhash_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -78,4 +79,3 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
