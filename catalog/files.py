@@ -25,7 +25,11 @@ def register(name, oracle=None):
     return add
 
 
-NATIONS = [f"n{i}" for i in range(25)]
+def nations(s, d):
+    """Columns of the dense table: a name for every nation that has a customer."""
+    return [f"n{r[0]}" for r in fx.table(s, d, "customer").select("c_nationkey").distinct().orderBy("c_nationkey").collect()]
+
+
 DENSE = sql("""SELECT 'parts' AS sample, 'n' || CAST(c_nationkey AS VARCHAR) AS cell_id, CAST(l_partkey AS VARCHAR) AS gene,
     CAST(SUM(l_quantity) AS DOUBLE) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey GROUP BY 2, 3""")
@@ -36,7 +40,7 @@ def dense_table(s, d):
     sums = fx.purchases(s, d).groupBy(
         F.col("l_partkey").cast("string").alias("Gene"), F.concat(F.lit("n"), "c_nationkey").alias("nation")).agg(
         F.sum("l_quantity").cast("bigint").alias("cnt"))
-    return reshape.to_wide(sums, "Gene", "nation", "cnt", NATIONS).na.fill(0)
+    return reshape.to_wide(sums, "Gene", "nation", "cnt", nations(s, d)).na.fill(0)
 
 
 def written(s, d, name, **how):
@@ -62,17 +66,15 @@ def a3(s, d):
     return tables.read_metadata(s, path, "sample string, cell_id bigint, cluster int, n_name string, grp string", "\t")
 
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
 def triplet_folders(s, d):
     """One folder per market segment: features and barcodes in line order, and the coordinates.
 
     Every file set is written by many tasks; part files follow each other in name order.
     """
     root = stage_path(s, "triplets")
+    segments = [r[0] for r in fx.table(s, d, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
     listed = fx.genes(s, d).select(
-        F.explode(F.array(*[F.lit(x) for x in SEGMENTS])).alias("sample"), "gene", "gene_name")
+        F.explode(F.array(*[F.lit(x) for x in segments])).alias("sample"), "gene", "gene_name")
     genes = cut_lineage(number_rows(listed, ["sample"], [F.asc("gene")], "gi"))
     cells = cut_lineage(number_rows(fx.cells(s, d).select("sample", "cell_id"), ["sample"], [F.asc("cell_id")], "ci"))
 
@@ -148,6 +150,7 @@ def b1(s, d):
 @register("b2_delimited_export", f"SELECT cell_id, gene, cnt FROM ({DENSE})")
 def b2(s, d):
     path = written(s, d, "export", sep="\t")
-    wide = s.read.schema("Gene string, " + ", ".join(f"{n} double" for n in NATIONS)).option("header", True).option(
+    names = nations(s, d)
+    wide = s.read.schema("Gene string, " + ", ".join(f"{n} double" for n in names)).option("header", True).option(
         "sep", "\t").csv(path)
-    return reshape.sparsify(reshape.to_long(wide.withColumnRenamed("Gene", "gene"), ["gene"], NATIONS, "cell_id", "cnt"))
+    return reshape.sparsify(reshape.to_long(wide.withColumnRenamed("Gene", "gene"), ["gene"], names, "cell_id", "cnt"))
