@@ -101,23 +101,31 @@ def summarise(counts: DataFrame) -> Words:
     """Totals, the common words and symbol sizes; all of bounded size."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     real = counts.filter("length(word) > 0")
-    top = real.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    level = F.floor(F.log2("n") * 8).cast("int")                  # a few hundred levels at most
+    levels = real.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()
+    taken, lowest = 0, None
+    for r in levels:
+        taken += r.words
+        if taken > COMMON:
+            break
+        lowest = r.level
+    found = real.filter(level >= lowest).toArrow() if lowest is not None else real.limit(0).toArrow()     # COMMON rows at most
+    top = sorted(zip((-x for x in found.column("n").to_pylist()), found.column("word").to_pylist()))
     ends = counts.filter("length(word) = 0").first()
     own = top[:OWN]
     rest = real
     if len(own) == OWN:
-        last = own[-1]
-        word = F.lit(bytes(last.word))
-        rest = real.filter((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > word)))
+        n, word = -own[-1][0], F.lit(own[-1][1])
+        rest = real.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
     else:
         rest = real.limit(0)
     bucket = F.crc32(F.expr("substring(word, -3)")) % SHARED
     n, v = np.zeros(SHARED), np.zeros(SHARED)
     for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         n[r.b], v[r.b] = r.n, r.v
-    symbol_counts = np.concatenate([[r.n for r in own], np.zeros(OWN - len(own)), n, [ends.n if ends else 0]])
-    return Words(tokens, distinct, ends.n if ends else 0, {bytes(r.word): i for i, r in enumerate(top)},
-                 np.array([r.n for r in top], np.int64), np.log10(n + 0.5 * (v + 1)), symbol_counts)
+    symbol_counts = np.concatenate([[-x for x, _ in own], np.zeros(OWN - len(own)), n, [ends.n if ends else 0]])
+    return Words(tokens, distinct, ends.n if ends else 0, {w: i for i, (_, w) in enumerate(top)},
+                 np.array([-x for x, _ in top], np.int64), np.log10(n + 0.5 * (v + 1)), symbol_counts)
 
 
 def _translate(words: Words):
@@ -235,9 +243,14 @@ def expected(model: Model, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return first, step * model.step, emit, total
 
 
-def maximise(first: np.ndarray, step: np.ndarray, emit: np.ndarray, overall: np.ndarray) -> Model:
-    """Parameters from sums; each state's emissions lean on the overall shares."""
+def maximise(first: np.ndarray, step: np.ndarray, emit: np.ndarray, overall: np.ndarray, seen: np.ndarray | None = None) -> Model:
+    """Parameters from sums; each state's emissions lean on the overall shares, and symbols not ``seen`` in training have just those."""
     emit = emit + PRIOR * overall[:, None]
+    if seen is not None:
+        emit[~seen] = 0
+        known = emit.sum(axis=0)
+        emit *= np.divide(1 - overall[~seen].sum(), known, where=known > 0, out=np.zeros_like(known))
+        emit[~seen] = overall[~seen, None]
     step = step + 0.1
     first = first + 0.1
     return Model(first / first.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -251,15 +264,15 @@ def _stretches(raw: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def start(rows: list[np.ndarray], overall: np.ndarray) -> Model:
+def start(rows: list[np.ndarray], overall: np.ndarray, seen: np.ndarray) -> Model:
     """Starting values from a sample: sequences in groups far from each other, then rounds on the sample alone.
 
     Seeds are chosen one after another, each the sequence worst explained by the seeds so far.
     """
-    model = maximise(np.ones(STATES), np.ones((STATES, STATES)) + 20 * STATES * np.eye(STATES), np.zeros((SYMBOLS, STATES)), overall)
+    model = maximise(np.ones(STATES), np.ones((STATES, STATES)) + 20 * STATES * np.eye(STATES), np.zeros((SYMBOLS, STATES)), overall, seen)
     if not rows:
         return model
-    counts = [np.bincount(r, minlength=SYMBOLS) for r in rows if len(r) >= 64][:400]
+    counts = [np.bincount(r, minlength=SYMBOLS).astype(np.float32) for r in rows if len(r) >= 64][:400]
     emits, best = [], None
     for j in range(STATES if counts else 0):
         if best is None:
@@ -267,14 +280,14 @@ def start(rows: list[np.ndarray], overall: np.ndarray) -> Model:
         else:
             pick = int(np.argmin(best))
         emits.append((counts[pick] + 5 * overall * 20) / (counts[pick].sum() + 100))
-        fit_ = np.array([float(c[c > 0] @ np.log(emits[-1][c > 0] / overall[c > 0])) / c.sum() for c in counts])
+        fit_ = np.array([float(c[c > 0] @ np.log(emits[-1][c > 0] / overall[c > 0])) / float(c.sum()) for c in counts])
         best = fit_ if best is None else np.maximum(best, fit_)
     if emits:
         model.emit = np.stack(emits, axis=1)
         model.emit /= model.emit.sum(axis=0)
     for _ in range(START_ROUNDS):
         first, step, emit, _ = expected(model, rows)
-        model = maximise(first, step, emit, overall)
+        model = maximise(first, step, emit, overall, seen)
     return model
 
 
@@ -313,11 +326,12 @@ def _sum(model: Model):
 
 def fit(table: DataFrame, words: Words) -> tuple[Model, bool]:
     """Train on the rows of TABLE that are not held out; whether the rounds came to rest."""
-    shares = words.symbol_counts + 0.5
+    seen = words.symbol_counts > 0
+    shares = words.symbol_counts + np.where(np.arange(SYMBOLS) < OWN, 0.0, 0.5)
     overall = shares / shares.sum()
     training = table.filter("not held_out")
     sample = training.filter(F.col("n_tokens") <= SAMPLE_TOKENS).orderBy(F.xxhash64("doc_id", "n_tokens", "symbols")).select("symbols").limit(SAMPLE).collect()
-    model = start(_stretches([bytes(r.symbols) for r in sample]), overall)
+    model = start(_stretches([bytes(r.symbols) for r in sample]), overall, seen)
     names, before = [f"c{j}" for j in range(STATES)], None
     for _ in range(ROUNDS):
         sums = (training.select("symbols").mapInArrow(_sum(model), "symbol int, " + ", ".join(f"{c} double" for c in names))
@@ -336,7 +350,7 @@ def fit(table: DataFrame, words: Words) -> tuple[Model, bool]:
                 first = np.array(row)
             else:
                 step[-2 - r.symbol] = row
-        model = maximise(first, step, emit, overall)
+        model = maximise(first, step, emit, overall, seen)
         if before is not None and like - before < GAIN:
             return model, True
         before = like
