@@ -23,21 +23,27 @@ import functools
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 2048, 16384, 1 << 16
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
-REMEMBER = 1 << 19
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ELSEWHERE = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
+REMEMBER = 1 << 20
+#: The tokenizer's splitting rule over Latin letters, where the classes are the same in every Unicode version.
+_LATIN = [chr(c) for c in [*range(0x20, 0x7f), *range(0xa1, 0x250)]]
+_LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
+_DIGITS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
+SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
+ELSEWHERE = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
+PLAIN = re.compile(rf" [{_LETTERS}]+")
 BLOCKS = ("shard int, block int, dict_hash string, width int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, "
           "tokens array<bigint>, offsets array<bigint>, data binary")
 
@@ -54,19 +60,44 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode new words. Those of a space and letters go in one text, which the tokenizer splits into just these words."""
+        if len(self.known) + len(words) > REMEMBER:
+            self.known.clear()
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        rest = list(words.difference(plain))
+        self.known.update(zip(rest, self._bytes(rest)))
+        if plain:
+            e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+            ids, at = np.array(e.ids, f"<u{self.width}"), np.array(e.word_ids)
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(ids)]
+            data, w = ids.tobytes(), self.width
+            self.known.update(zip(plain, [data[lo * w:hi * w] for lo, hi in zip(cuts, cuts[1:])], strict=True))
 
     def encode(self, texts: Iterable[str | None], end: int | None = 0) -> list[bytes]:
         """Ids of each text, as little-endian numbers of ``width`` bytes, with the end id behind."""
         last = b"" if end is None else end.to_bytes(self.width, "little")
-        split = [None if t and ELSEWHERE.search(t) else SPLIT.findall(t or "") for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list({w for words in split if words for w in words})
-        self.known.update(zip(new, self._bytes(new)))
-        whole = iter(self._bytes([t for t, words in zip(texts, split) if words is None]))
-        return [(next(whole) if words is None else b"".join(map(self.known.__getitem__, words))) + last for words in split]
+        out, new, late = [], set(), []
+        for i, t in enumerate(texts):
+            if t and ELSEWHERE.search(t):
+                out.append(self._bytes([t])[0] + last)
+                continue
+            words = SPLIT.findall(t) if t else []
+            found = list(map(self.known.get, words))
+            if None in found:
+                new.update([w for w, x in zip(words, found) if x is None])
+                late.append((i, words, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(found) + last)
+        if new:
+            self._learn(new)
+            for i, words, found in late:
+                out[i] = b"".join([self.known[w] if x is None else x for w, x in zip(words, found)]) + last
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -97,15 +128,20 @@ def train(docs: DataFrame, tokenizer: str) -> bytes:
         return b"".join(samples)[:DICTIONARY]
 
 
-def _dictionary(data: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
+def _dictionary(data: bytes, level: int | None = None) -> dict:
+    if not data:
+        return {}
+    shared = zstandard.ZstdCompressionDict(data)
+    if level is not None:
+        shared.precompute_compress(level=level)
+    return {"dict_data": shared}
 
 
 def _pack(tokenizer: str, dictionary: bytes, end: int | None):
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = _encoder(tokenizer), zstandard.ZstdCompressor(level=3, **_dictionary(dictionary))
+        encoder, press = _encoder(tokenizer), zstandard.ZstdCompressor(level=3, **_dictionary(dictionary, 3))
         shard, block, seen = TaskContext.get().partitionId(), 0, 0
         ids, frames, sizes, held = [], [], [], 0
 
