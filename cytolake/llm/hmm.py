@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cytolake.runtime import cut_lineage
+from cytolake.runtime import cut_lineage, number_rows
 
 STATES, OWN, SHARED, COMMON = 6, 1 << 14, 1 << 13, 1 << 17
 STRETCH, SAMPLE, SAMPLE_TOKENS = 512, 2000, 4096
@@ -103,22 +103,25 @@ def summarise(counts: DataFrame) -> Words:
     real = counts.filter("length(word) > 0")
     level = F.floor(F.log2("n") * 8).cast("int")                  # a few hundred levels at most
     levels = real.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()
-    taken, lowest = 0, None
+    taken, lowest, cut = 0, None, None
     for r in levels:
-        taken += r.words
-        if taken > COMMON:
+        if taken + r.words > COMMON:
+            cut = r.level
             break
-        lowest = r.level
+        taken, lowest = taken + r.words, r.level
     found = real.filter(level >= lowest).toArrow() if lowest is not None else real.limit(0).toArrow()     # COMMON rows at most
-    top = sorted(zip((-x for x in found.column("n").to_pylist()), found.column("word").to_pylist()))
+    top = list(zip((-x for x in found.column("n").to_pylist()), found.column("word").to_pylist()))
+    if cut is not None and taken < COMMON:                        # the level that does not fit gives its first words, ranked over all tasks
+        ranked = number_rows(real.filter(level == cut), [], [F.desc("n"), F.asc("word")], "rank").filter(F.col("rank") <= COMMON - taken)
+        found = ranked.select("word", "n").toArrow()
+        top += zip((-x for x in found.column("n").to_pylist()), found.column("word").to_pylist())
+    top.sort()
     ends = counts.filter("length(word) = 0").first()
     own = top[:OWN]
     rest = real
-    if len(own) == OWN:
+    if own:
         n, word = -own[-1][0], F.lit(own[-1][1])
         rest = real.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-    else:
-        rest = real.limit(0)
     bucket = F.crc32(F.expr("substring(word, -3)")) % SHARED
     n, v = np.zeros(SHARED), np.zeros(SHARED)
     for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():

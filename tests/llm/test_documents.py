@@ -376,6 +376,26 @@ def test_lm_beats_single_words_on_held_out_texts(spark):
     assert got[0] > got[1] + 0.1 * got[2]          # two topics of words, about half of them new
 
 
+def test_lm_shares_sum_to_one_with_many_words_of_one_count(spark):
+    """500 frequent words and a level of single ones that is larger than COMMON: none of them may vanish."""
+    n = 200_000
+    counts = spark.range(500).select(F.concat(F.lit("f"), F.col("id").cast("string")).cast("binary").alias("word"), (1000 + F.col("id")).alias("n")).union(
+        spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string")).cast("binary").alias("word"), F.lit(1).cast("bigint").alias("n"))).union(
+        spark.createDataFrame([(b"", 900)], "word binary, n bigint"))
+    words = hmm.summarise(cut_lineage(counts))
+    every = sorted([(-1000 - i, f"f{i}".encode()) for i in range(500)] + [(-1, f"h{i}".encode()) for i in range(n)])
+    assert list(words.common) == [w for _, w in every[:hmm.COMMON]] and words.counts.tolist() == [-c for c, _ in every[:hmm.COMMON]]
+    assert words.symbol_counts.sum() == words.tokens == 500 * 1000 + 499 * 250 + n + 900
+    share = np.full(hmm.SHARED, 0.5)                      # of each symbol's words, and of the unknown
+    for c, w in every[hmm.OWN:]:
+        share[hmm.shared_symbol(w)] += 0.5 - c
+    assert np.allclose(share / 10 ** words.sizes, 1)
+    emit = hmm.maximise(np.ones(hmm.STATES), np.ones((hmm.STATES, hmm.STATES)), np.zeros((hmm.SYMBOLS, hmm.STATES)),
+                        (x := words.symbol_counts + np.where(np.arange(hmm.SYMBOLS) < hmm.OWN, 0.0, 0.5)) / x.sum(), words.symbol_counts > 0).emit
+    own, shared = emit[:hmm.OWN].sum(axis=0), (emit[hmm.OWN:-1] * (share / 10 ** words.sizes)[:, None]).sum(axis=0)
+    assert np.allclose(own + shared + emit[-1], 1) and (emit[-1] < 0.01).all()
+
+
 # --- classifier
 
 def test_ordinal_on_held_out_rows(spark):
