@@ -5,8 +5,8 @@ links by personalised PageRank; distrust runs against them, since a host answers
 pairs from absolute links in the pages. A host's pages without a rule are blocked if distrust outweighs trust: the share of
 distrust in both is at least ``BLOCK_SHARE``; a host that neither reaches is allowed.
 
-Rounds go on until the scores move by less than ``TOLERANCE`` in sum. All of it is joins and sums on host tables; pages meet their host's verdict
-through a join that splits hot hosts.
+Rounds go on until no new host is reached and no host's score grows by ``TOLERANCE`` of itself or more, so the depth does not hang on
+the number of seeds. All of it is joins and sums on host tables; pages meet their host's verdict through a join that splits hot hosts.
 
 Edge cases: a null url, or one without "://", has empty host and path, no rule, and is allowed; null html has no links; links
 within a host and repeated links of one page add nothing new; repeated rows stay; no seeds or no links leave verdicts to the rules;
@@ -64,24 +64,20 @@ def links(pages: DataFrame) -> DataFrame:
 def _pagerank(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
     """Personalised PageRank: edges (src, dst, n), seeds (host, share) with shares that sum to 1 -> (host, ``name``).
 
-    What hosts without links hold goes back to the seeds.
+    What hosts without links hold goes back to the seeds, which scales all hosts alike: so each round sends on only what came in
+    by the round before, and the sums are divided by their total at the end. Without cycles the last round moves nothing.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = cut_lineage(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
-    ends = cut_lineage(flow.select("src").distinct())
-    rank = cut_lineage(seeds.select("host", F.col("share").alias("r")))
+    rank = cut_lineage(seeds.select("host", F.col("share").alias("r"), F.col("share").alias("new")))
     while True:
-        moved = cut_lineage(rank.join(flow, rank["host"] == flow["src"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("w")).alias("in"))
-                            .select(F.col("dst").alias("host"), "in"))
-        kept = moved.agg(F.sum("in")).first()[0] or 0.0
-        back = 1 - DAMPING * kept
-        new = cut_lineage(moved.join(seeds, "host", "full").select(
-            "host", (F.coalesce("in", F.lit(0.0)) * DAMPING + F.coalesce("share", F.lit(0.0)) * back).alias("r")))
-        delta = new.join(rank.withColumnRenamed("r", "old"), "host", "full").agg(
-            F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        rank = new
-        if delta < TOLERANCE:
-            return rank.withColumnRenamed("r", name)
+        moved = (rank.filter("new > 0").join(flow, F.col("host") == F.col("src")).groupBy("dst").agg((F.sum(F.col("new") * F.col("w")) * DAMPING).alias("in"))
+                 .select(F.col("dst").alias("host"), "in"))
+        got = F.coalesce("in", F.lit(0.0))
+        rank = cut_lineage(rank.join(moved, "host", "full").select("host", (F.coalesce("r", F.lit(0.0)) + got).alias("r"), got.alias("new")))
+        whole, most = rank.agg(F.sum("r"), F.max(F.col("new") / F.col("r"))).first()      # new / r is 1 for a host not met before
+        if (most or 0.0) < TOLERANCE:
+            return rank.select("host", (F.col("r") / F.lit(whole or 1.0)).alias(name))
 
 
 def host_scores(ruled: DataFrame, edges: DataFrame) -> DataFrame:

@@ -87,3 +87,24 @@ def test_distrust_runs_against_links(spark):
     for r in got.values():
         if r.host in hosts:
             assert r.trust == pytest.approx(trust[hosts.index(r.host)], abs=1e-3) and r.distrust == pytest.approx(distrust[hosts.index(r.host)], abs=1e-3)
+
+
+def test_distrust_goes_past_the_first_hop_among_many_seeds(spark):
+    """One chain of links to one of 20,000 blocked hosts; the others have no links."""
+    seeds = [(i, f"http://bad{i}.net/es/1", None) for i in range(20000)]
+    chain = [(20001, "http://near.org/x", "<a href='//bad7.net/'>"), (20002, "http://far.org/x", "<a href='//near.org/'>"), (20003, "http://farther.org/x", "<a href='//far.org/'>")]
+    d = spark.createDataFrame([*seeds, *chain, (20004, "http://aside.org/", None)], "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r for r in url_filter.judge(d, URL_RULES).filter("page_id > 20000").collect()}
+    assert [got[i].verdict for i in range(20001, 20005)] == ["block"] * 3 + ["allow"]
+    whole = 20000 + 0.85 + 0.85 ** 2 + 0.85 ** 3
+    for hops, i in enumerate(range(20001, 20004), 1):
+        assert got[i].distrust == pytest.approx(0.85 ** hops / whole, rel=1e-6)
+
+
+def test_rank_of_cycles_is_the_matrix_solution(spark):
+    edges = [("a", "b", 1), ("b", "c", 2), ("c", "a", 1), ("b", "d", 1), ("d", "b", 3), ("e", "a", 1), ("c", "f", 4)]
+    seeds = spark.createDataFrame([("a", 0.5), ("x", 0.5)], "host string, share double")
+    got = {r.host: r.t for r in url_filter._pagerank(spark.createDataFrame(edges, "src string, dst string, n bigint"), seeds, "t").collect()}
+    hosts = ["a", "b", "c", "d", "e", "f", "x"]
+    want = dict(zip(hosts, brute_rank(edges, ["a", "x"], hosts)))
+    assert set(got) == set(hosts) - {"e"} and all(got[h] == pytest.approx(want[h], rel=2e-3) for h in got)
