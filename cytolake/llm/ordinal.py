@@ -5,9 +5,9 @@ gives the expected grade and the probability of the top grade, by which document
 
 Tokens are runs of word characters in lower case, the beginnings of longer ones, and runs of other characters; a document has a token or not, so its
 length does not matter. Training uses at most ``SAMPLE`` labelled rows, those with the least hashes (``sample`` sets
-another bound); scoring reads every whole text. Near copies among those rows share the weight of one. A token enters the model
-if it speaks against a text: it is in ``MIN_DOCS`` rows or more, and their mean grade is at least ``MIN_Z`` standard errors
-below the mean. A text without such tokens so keeps the best grade, however short it is.
+another bound); scoring reads every whole text. Near copies among those rows share the weight of one. All tokens of those rows enter the
+model, whichever way they speak. Their weights have a normal prior, wider the more a token's mean grade differs from the mean
+(z standard errors: ``WIDE`` z^2 / (z^2 + ``HALF``)), so that chance tokens of long texts do not drown the few that count.
 
 Edge cases: a null text is an empty one and gets the prior grade; labels without a document, and rows with a null rating, are not
 used; an id labelled twice with different grades counts with each; with fewer than two grades in the labels the model has no
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,7 @@ from cytolake.llm.simhash import _links, fingerprint_of
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SPACE = (1 << 28) - 1
 SAMPLE = 8000
-MIN_DOCS, MIN_Z = 5, 5.0
+WIDE, HALF = 2.5, 25.0
 ALIKE = 6      # bits between the fingerprints of near copies
 REMEMBER = 1 << 19
 
@@ -92,27 +91,26 @@ def _weights(prints: np.ndarray) -> np.ndarray:
     return 1.0 / np.bincount(root[at], minlength=len(known))[root[at]]
 
 
-def fit(rows: list[tuple[list[int], int, int]], grades: int, rounds: int = 1000, ridge: float = 1e-4) -> Ordinal:
-    """Maximum penalised likelihood by full gradient steps (Adam), over rows of (hashed tokens, grade, fingerprint)."""
+def fit(rows: list[tuple[list[int], int, int]], grades: int, rounds: int = 300) -> Ordinal:
+    """Most probable weights by full gradient steps (Adam, falling step size), over rows of (hashed tokens, grade, fingerprint)."""
     y = np.array([g for _, g, _ in rows], np.int64)
     w = _weights(np.array([p for _, _, p in rows], np.int64))
+    ridge = 1 / w.sum()                   # a prior of variance one, beside the mean loss of so many texts
     w /= w.sum()
     share = np.array([np.clip(w[y <= k].sum(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
     start = np.log(share / (1 - share))
     start += 1e-3 * np.arange(grades - 1)
     if len(set(y.tolist())) < 2:
         return Ordinal(start)
-    count, total = Counter(), Counter()
-    for (tokens, g, _), x in zip(rows, w * len(rows)):
-        for t in tokens:
-            count[t] += x
-            total[t] += x * g
+    sizes = np.array([len(tokens) for tokens, _, _ in rows])
+    chosen, col = np.unique(np.fromiter((t for tokens, _, _ in rows for t in tokens), np.int64, int(sizes.sum())), return_inverse=True)
+    doc = np.repeat(np.arange(len(y)), sizes)
     mean = float((w * y).sum())
     sd = float(np.sqrt((w * (y - mean) ** 2).sum()))
-    chosen = sorted(t for t, n in count.items() if n >= MIN_DOCS and (mean - total[t] / n) * np.sqrt(n) / sd >= MIN_Z)
-    place = {t: i for i, t in enumerate(chosen)}
-    doc = np.array([i for i, (tokens, _, _) in enumerate(rows) for t in tokens if t in place], np.int64)
-    col = np.array([place[t] for tokens, _, _ in rows for t in tokens if t in place], np.int64)
+    count = np.bincount(col, w[doc] / ridge, len(chosen))
+    off = np.bincount(col, (w * (y - mean))[doc] / ridge, len(chosen))
+    z2 = (off / sd) ** 2 / count
+    wide = WIDE * z2 / (z2 + HALF)
     # thresholds as a first one and log gaps, so that they stay in order
     z = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-3)), np.zeros(len(chosen))])
     m, v, k = np.zeros_like(z), np.zeros_like(z), grades - 1
@@ -120,7 +118,7 @@ def fit(rows: list[tuple[list[int], int, int]], grades: int, rounds: int = 1000,
     for step in range(1, rounds + 1):
         gaps = np.exp(z[1:k])
         t = np.cumsum(np.concatenate([z[:1], gaps]))
-        s = np.bincount(doc, z[k:][col], len(y)) if len(col) else np.zeros(len(y))
+        s = np.bincount(doc, (wide * z[k:])[col], len(y))
         below = 1 / (1 + np.exp(np.clip(s[:, None] - t, -500, 500)))
         upto = np.concatenate([edge, below, edge + 1], axis=1)
         p = np.maximum(upto[one, y + 1] - upto[one, y], 1e-12)
@@ -128,11 +126,11 @@ def fit(rows: list[tuple[list[int], int, int]], grades: int, rounds: int = 1000,
         hi, lo = w * slope[one, y + 1] / p, w * slope[one, y] / p
         g_t = np.array([lo[y == j + 1].sum() - hi[y == j].sum() for j in range(k)])
         tail = np.cumsum(g_t[::-1])[::-1]
-        g_w = np.bincount(col, (hi - lo)[doc], len(chosen)) if len(col) else np.zeros(len(chosen))
+        g_w = wide * np.bincount(col, (hi - lo)[doc], len(chosen))
         g = np.concatenate([tail[:1], tail[1:] * gaps, g_w + ridge * z[k:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        z = z - 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Ordinal(np.cumsum(np.concatenate([z[:1], np.exp(z[1:k])])), dict(zip(chosen, z[k:].tolist())))
+        z = z - 0.1 * (1 - (step - 1) / rounds) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    return Ordinal(np.cumsum(np.concatenate([z[:1], np.exp(z[1:k])])), dict(zip(chosen.tolist(), (wide * z[k:]).tolist())))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -411,6 +411,16 @@ def test_ordinal_on_held_out_rows(spark):
     assert means[0] > means[1] > means[2] and got[700].selected and not got[None].selected
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_ordinal_rejects_toxic_rows_with_few_labels(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    model = ordinal.train(docs, labels, F.col("quality") + 1 - F.col("toxic"), 3)
+    got = ordinal.score(docs, model).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.count_if("selected").alias("kept"), F.count(F.lit(1)).alias("n"))
+    got = {(r.quality, r.toxic): (r.kept, r.n) for r in got.collect()}
+    assert sum(got[q, 1][0] for q in (0, 1)) <= 0.1 * sum(got[q, 1][1] for q in (0, 1)) and got[1, 0][0] >= 0.95 * got[1, 0][1]
+    assert min(model.weights.values()) < 0 < max(model.weights.values())
+
+
 def test_ordinal_without_labels(spark, docs, none, texts):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     model = ordinal.train(docs, labels, F.col("quality"), 2)
