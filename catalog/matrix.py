@@ -143,7 +143,7 @@ def i6(s, d):
 
 @register("i7_batch_correction")
 def i7(s, d):
-    fixed = batch.harmony(fx.vectors(s, d), ["batch"], lam=1.0, max_rounds=3)
+    fixed = batch.harmony(fx.vectors(s, d), ["batch"], lam=1.0)
     return fixed.select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
@@ -354,8 +354,8 @@ def d3(s, d):
 
 # ---- regions
 
-def region_posteriors(s, d, rounds=15):
-    return regions.region_mixture(regions.region_zscores(basic.region_means(s, d)), rounds)
+def region_posteriors(s, d):
+    return regions.region_mixture(regions.region_zscores(basic.region_means(s, d)))
 
 
 @register("i16_region_zscores", sql(
@@ -480,7 +480,7 @@ def marker_figure(s, d):
 @register("malignant_cells")
 def malignant(s, d):
     """Copy-number call from counts to label."""
-    return analyses.malignant_cells(cut_lineage(fx.counts(s, d)), fx.genes(s, d), fx.regions(s, d), ARMS, rounds=10)
+    return analyses.malignant_cells(cut_lineage(fx.counts(s, d)), fx.genes(s, d), fx.regions(s, d), ARMS)
 
 
 @register("annotate_dataset")

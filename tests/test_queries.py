@@ -1,10 +1,12 @@
 """Every registered query with SQL gives the SQL's rows on the smallest tables; plans stay as intended."""
 
+import inspect
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from catalog import fixtures as fx
+from catalog import fixtures as fx, matrix
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +72,20 @@ def test_same_rows_at_other_partition_counts(spark):
             assert rows_of(df.columns, df.collect()) == first[n]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("query, module, name, rounds, full", [
+    ("i7_batch_correction", "batch", "harmony", "max_rounds", 10), ("i16_region_mixture", "regions", "region_mixture", "rounds", 30),
+    ("malignant_cells", "analyses", "malignant_cells", "rounds", 30)])
+def test_rounds_are_the_operators_own(spark, monkeypatch, query, module, name, rounds, full):
+    class Called(Exception):
+        pass
+    operator = getattr(getattr(matrix, module), name)
+
+    def call(*args, **options):
+        bound = inspect.signature(operator).bind(*args, **options)
+        bound.apply_defaults()
+        raise Called(bound.arguments[rounds])
+    monkeypatch.setattr(getattr(matrix, module), name, call)
+    with pytest.raises(Called, match=f"^{full}$"):
+        QUERIES[query](spark, SF)
