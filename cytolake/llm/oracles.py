@@ -59,4 +59,44 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND why = '' AS kept, why FROM judged
 """
 
-ORACLES = {"op4_quality_rules": QUALITY}
+EXACT = """
+SELECT doc_id, MAX(doc_id) OVER (PARTITION BY n) AS keep_id, COUNT(*) OVER (PARTITION BY n) AS group_size,
+       ROW_NUMBER() OVER (PARTITION BY n ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(n) AS text_sha256
+FROM (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM documents)
+"""
+
+
+def vector_codes(rounds: int, parts: int = 16, entries: int = 64) -> str:
+    """Lloyd rounds written out one after the other, every part compared with every entry of its codebook."""
+    assigned = """d{k} AS (
+  SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+  FROM p JOIN b{k} b USING (part)),
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, entry, dist FROM d{k} QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id, part ORDER BY dist, entry) = 1)"""
+    moved = """b{n} AS MATERIALIZED (
+  SELECT part, entry, COALESCE(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(s ORDER BY pos) AS v FROM (
+      SELECT a.part, a.entry, u.pos, CAST(floor(SUM(p.v[u.pos]) / COUNT(*)) AS BIGINT) AS s
+      FROM a{k} a JOIN p USING (vec_id, part), (SELECT unnest(generate_series(1, (SELECT MAX(len(v)) FROM p))) AS pos) u GROUP BY ALL) GROUP BY ALL) m USING (part, entry))"""
+    steps = ",\n".join(x for k in range(rounds) for x in (assigned.format(k=k), moved.format(k=k, n=k + 1)))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v
+  FROM kept, (SELECT unnest(generate_series(0, {parts - 1})) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, v FROM p JOIN (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{steps},
+{assigned.format(k=rounds)},
+coded AS MATERIALIZED (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(SUM(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS s FROM b{rounds})
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), book
+"""
+
+
+ORACLES = {"op4_quality_rules": QUALITY, "op11_vector_codes": vector_codes(2), "op13_exact_dedup": EXACT}

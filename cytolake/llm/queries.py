@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytolake.llm import decontaminate, hmm, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
+from cytolake.llm import content_sort, conversation_repair, cover_tree, decontaminate, hmm, main_text, ordinal, pieces, quality, secrets, simhash, token_store, url_filter
 from cytolake.llm.oracles import ORACLES  # noqa: F401
 from cytolake.runtime import stage_path
 
@@ -67,6 +67,18 @@ def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     return hmm.score_table(table(spark, d, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return cover_tree.code_table(table(spark, d, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_repair.repair_table(table(spark, d, "conversations"))
+
+
+def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return content_sort.duplicates(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_secret_scans": op2_secret_scans,
@@ -78,4 +90,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_exact_dedup": op13_exact_dedup,
 }
