@@ -172,9 +172,13 @@ def e8(s, d):
     return neighbours(s, d, 30).groupBy("i").agg(F.count(F.lit(1)).alias("k"), F.round(F.max("d2"), 6).alias("reach"))
 
 
-@register("i8_knn_probed")
+@register("i8_knn_probed", sql("SELECT cell_id AS i, least(20, COUNT(*) OVER ()) AS n, TRUE AS recalled FROM vectors", "vectors"))
 def i8_probed(s, d):
-    return graph.knn(fx.vectors(s, d), 20, probe=8, pivot_rows=64).select("i", "rk", "j", r6("d2"))
+    """Length of every point's list, and whether all lists together hold 0.9 of the nearest neighbours."""
+    near = cut_lineage(graph.knn(fx.vectors(s, d), 20, probe=8, pivot_rows=256).select("i", "j"))
+    both = neighbours(s, d).select("i", "j").join(near.withColumn("hit", F.lit(1)), ["i", "j"], "left")
+    recall = both.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+    return near.groupBy("i").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(recall))     # one row
 
 
 SNN = dict(brute("vectors", "20"), edges="""SELECT src, dst, s / (40.0 - s) AS w FROM
