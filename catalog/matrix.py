@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions
+from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions, shares
 from cytolake.plans import analyses, label_maps
 from cytolake.plans.presets import PRESETS
 from cytolake.runtime import cut_lineage
@@ -248,7 +248,7 @@ def i12(s, d):
 def scored_cells(s, d):
     counts = cut_lineage(fx.counts(s, d))
     cells = cut_lineage(qc.cell_metrics(counts))
-    return doublets.doublet_scores(counts, cells, qc.expected_doublet_rate(cells), n_features=200, n_pcs=20)
+    return doublets.doublet_scores(counts, cells, qc.expected_doublet_rate(cells))
 
 
 STAGED = dict(brute("vectors", "21"),
@@ -287,46 +287,55 @@ def i13(s, d):
 def classified(s, d):
     counts = cut_lineage(fx.counts(s, d))
     cells = cut_lineage(qc.cell_metrics(counts))
-    return doublets.classify(counts, cells, n_features=200, n_pcs=20, p_ns=(0.2, 0.25, 0.3), p_ks=(0.02, 0.05, 0.1))
+    return doublets.classify(counts, cells)
 
 
-P_KS = [0.01, 0.02, 0.04]
+P_KS = ", ".join(f"({p})" for p in doublets.P_KS)
 SHARES = dict(
     mixed="""SELECT p_n, cell_id, vec, batch >= 7 AS is_sim FROM vectors, (VALUES (0.1, 9), (0.2, 8), (0.3, 7)) t(p_n, least_batch)
              WHERE batch < 7 OR batch >= least_batch""",
     sizes="SELECT p_n, COUNT(*) AS n FROM mixed GROUP BY 1",
     **brute("mixed", "2000000000", "p_n"),
     others="""SELECT p_n, i, j, row_number() OVER (PARTITION BY p_n, i ORDER BY rk) AS rk FROM near WHERE i <> j""",
-    shares="""SELECT p_n, p_k, near.i, AVG(CASE WHEN b.is_sim THEN 1.0 ELSE 0.0 END) AS pann FROM others AS near JOIN sizes USING (p_n)
-              JOIN mixed a ON a.p_n = near.p_n AND a.cell_id = near.i AND NOT a.is_sim
-              JOIN mixed b ON b.p_n = near.p_n AND b.cell_id = near.j, (VALUES (0.01), (0.02), (0.04)) t(p_k)
-              WHERE rk <= greatest(1, round_even(CAST(p_k AS DOUBLE) * n, 0)) GROUP BY 1, 2, 3""")
+    upto="""SELECT o.p_n, o.i, rk, SUM(CASE WHEN b.is_sim THEN 1 ELSE 0 END) OVER (PARTITION BY o.p_n, o.i ORDER BY rk) AS fakes FROM others o
+            JOIN mixed a ON a.p_n = o.p_n AND a.cell_id = o.i AND NOT a.is_sim JOIN mixed b ON b.p_n = o.p_n AND b.cell_id = o.j""",
+    shares=f"""SELECT p_n, p_k, i, fakes / rk AS pann FROM upto JOIN (SELECT p_n, CAST(p_k AS DOUBLE) AS p_k,
+              least(n - 1, greatest(1, round_even(CAST(p_k AS DOUBLE) * n, 0))) AS rk FROM sizes, (VALUES {P_KS}) t(p_k)) USING (p_n, rk)""")
 
 
 def staged_shares(s, d):
     """Real cells = seven labels; growing sets of the other labels taken as artificial cells."""
-    grid = F.array(*[F.struct(F.lit(p).alias("p_n"), F.lit(b).alias("b")) for p, b in ((0.1, 9), (0.2, 8), (0.3, 7))])
-    mixed = (fx.vectors(s, d).withColumn("g", F.explode(grid)).filter((F.col("batch") < 7) | (F.col("batch") >= F.col("g.b")))
-             .select("g.p_n", F.col("cell_id").alias("id"), (F.col("batch") >= 7).alias("is_sim"), "vec")
-             .withColumn("_real", ~F.col("is_sim")))
-    sizes = mixed.groupBy("p_n").agg(F.count(F.lit(1)).alias("n"))
-    ks = sizes.select("p_n", (F.bround(F.lit(max(P_KS)) * F.col("n"), 0) + 1).cast("int").alias("k"))
-    near = graph.knn(mixed, None, ["p_n"], "id", "vec", ks=ks, ask="_real")
-    return doublets.artificial_share(near, mixed, sizes, P_KS, ["p_n"])
+    points = fx.vectors(s, d).select("sample", F.col("cell_id").alias("id"), "vec", (F.col("batch") >= 7).alias("is_sim"), (9 - F.col("batch")).alias("enters"))
+    return shares.near_shares(points, [0.1, 0.2, 0.3], doublets.P_KS)
 
 
 @register("i15_artificial_share", sql(
-    "SELECT CAST(p_n AS DOUBLE) AS p_n, CAST(p_k AS DOUBLE) AS p_k, i, round(pann, 6) AS pann FROM shares", "vectors", **SHARES))
+    "SELECT CAST(p_n AS DOUBLE) AS p_n, p_k, i, round(pann, 6) AS pann FROM shares", "vectors", **SHARES))
 def i15(s, d):
-    return staged_shares(s, d).withColumn("pann", F.round("pann", 6))
+    return staged_shares(s, d).select("p_n", "p_k", "i", r6("pann"))
+
+
+DENSITY = dict(
+    SHARES,
+    stat="""SELECT *, lo - 4 * h AS a, (hi - lo + 8 * h) / 400 AS step FROM (SELECT p_n, p_k, COUNT(*) AS n, MIN(pann) AS lo, MAX(pann) AS hi,
+            pow(1 / (4 * pi()), 0.1) * pow(243 / (35.0 * COUNT(*)), 0.2) * stddev_samp(pann) AS h FROM shares GROUP BY 1, 2) WHERE h > 0""",
+    placed="SELECT p_n, p_k, (pann - a) / step AS at_ FROM shares JOIN stat USING (p_n, p_k)",
+    bins="""SELECT p_n, p_k, b, SUM(w) AS w FROM (SELECT p_n, p_k, floor(at_) AS b, 1 - (at_ - floor(at_)) AS w FROM placed UNION ALL
+            SELECT p_n, p_k, floor(at_) + 1, at_ - floor(at_) FROM placed) GROUP BY 1, 2, 3""",
+    heights="""SELECT p_n, p_k, t.i AS g, SUM(CASE WHEN abs(t.i - b) <= floor(4 * h / step) THEN w * exp(-pow((t.i - b) * step / h, 2) / 2) ELSE 0 END) AS y
+               FROM stat JOIN bins USING (p_n, p_k), range(401) t(i) GROUP BY 1, 2, 3""",
+    seen="""SELECT p_n, p_k, floor(at_) AS g, at_ - floor(at_) AS f FROM (SELECT p_n, p_k, (lo + (hi - lo) * m / (n - 1) - a) / step AS at_ FROM
+            (SELECT *, unnest(generate_series(0, n - 1)) AS m FROM stat))""",
+    curve="""SELECT s.p_n, s.p_k, x.y + f * (z.y - x.y) AS y FROM seen s JOIN heights x ON x.p_n = s.p_n AND x.p_k = s.p_k AND x.g = s.g
+             JOIN heights z ON z.p_n = s.p_n AND z.p_k = s.p_k AND z.g = s.g + 1""")
 
 
 @register("i14_neighbourhood_sweep", sql(
-    """SELECT p_k, round(AVG(bc), 6) AS mean_bc, round(var_samp(bc), 9) AS var_bc FROM
-       (SELECT p_n, CAST(p_k AS DOUBLE) AS p_k, (pow(skewness(pann), 2) + 1) / (kurtosis(pann) + 3 * pow(COUNT(*) - 1, 2) /
-        ((COUNT(*) - 2.0) * (COUNT(*) - 3))) AS bc FROM shares GROUP BY 1, 2) GROUP BY 1""", "vectors", **SHARES))
+    """SELECT p_k, round(AVG(bc), 6) AS mean_bc, round(var_samp(bc), 9) AS var_bc FROM (SELECT DISTINCT p_k, p_n FROM shares) LEFT JOIN
+       (SELECT p_n, p_k, (pow(skewness(y), 2) + 1) / (kurtosis(y) + 3 * pow(COUNT(*) - 1, 2) /
+        ((COUNT(*) - 2.0) * (COUNT(*) - 3))) AS bc FROM curve GROUP BY 1, 2) USING (p_n, p_k) GROUP BY 1""", "vectors", **DENSITY))
 def i14(s, d):
-    found = doublets.sweep(staged_shares(s, d).withColumn("all", F.lit(1)), ["all"])
+    found = shares.sweep(cut_lineage(staged_shares(s, d)), ["sample"])
     return found.select("p_k", r6("mean_bc"), F.round("var_bc", 9).alias("var_bc"))
 
 
