@@ -1,5 +1,9 @@
 """Page operators on hand-made pages and graphs."""
 
+import html
+import re
+import time
+
 import numpy as np
 import pytest
 
@@ -7,12 +11,12 @@ from cytolake.llm import main_text, url_filter
 from cytolake.llm.queries import URL_RULES
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style></head><body><header><h1>Site</h1><p>Welcome to our site of all things</p></header>
-<div class="cookie-notice"><p>We use cookies to give you the best experience on this website and for analytics, so accept them all now.</p></div>
+<dialog><p>We use cookies to give you the best experience on this website and for analytics, so accept them all now.</p></dialog>
 <form action=x><label>Name</label><input name=x><button>Go</button></form>
 <aside><p>Popular posts about all the things that happened in the last few weeks or months and years</p></aside>
 <main><article><h1>Title &amp; more</h1><p>First para with a <a href=x>link</a> in it, b<b>ol</b>d.<!-- <p>gone</p> --><p>Second 1 &lt; 2,
- 3 < 4 para&nbsp;x.<ul><li>One item<li>Another</ul></article>
-<section id="comments"><h2>Comments</h2><article class="comment"><p>I do not agree with anything that was written here at all.</p></article></section></main>
+ 3 < 4 para&nbsp;x.<ul><li>One item<li>Another</ul>
+<section><article><p>I do not agree with anything that was written here at all.</p></article></section></article></main>
 <footer>(c) us</footer><script>document.write("<p>no</p>")</script></body></html>"""
 
 
@@ -20,6 +24,42 @@ def test_main_text_of_a_page():
     assert main_text.main_text(PAGE, main_text.tree()) == "Title & more First para with a link in it, bold. Second 1 < 2, 3 < 4 para x. One item Another"
 
 
+def read(page):
+    """The article of a generated page, by regular expressions."""
+    inner = re.sub(r"<!--.*?-->", "", re.search(r"<article>(.*?)</article>", page, re.S)[1], flags=re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|br|h1|li|ul)[^>]*>", " ", inner))).split())
+
+
+def test_names_and_tags_decide_nothing(spark):
+    """The given pages; all class, id and role names gone; all containers plain divs."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    nameless = [re.sub(r' (?:class|id|role)="[^"]*"', "", p.html) for p in pages]
+    plain = [re.sub(r"(</?)(?:nav|footer|article|aside|header|main)\b", r"\1div", h) for h in nameless]
+    for variant in ([p.html for p in pages], nameless, plain):
+        assert [main_text.main_text(h, main_text.tree()) for h in variant] == [read(p.html) for p in pages]
+
+
+def test_names_say_nothing_about_a_paragraph():
+    body = "word " * 40
+    page = f'<body><p>{body}</p><p class="legal">{body}</p><div class="note-share" id="sidebar"><p>{body}</p></div></body>'
+    assert main_text.main_text(page, main_text.tree()).split() == body.split() * 3
+
+
+def test_controls_without_an_end_tag():
+    body = "word " * 40
+    for tag in ("button", "object", "svg", "canvas", "select"):
+        assert main_text.main_text(f"<p>{body}</p><{tag}><p>{body}</p>", main_text.tree()).split() == body.split() * 2
+        assert main_text.main_text(f"<p>{body}</p><{tag}>gone</{tag}><p>{body}</p>", main_text.tree()).split() == body.split() * 2
+    assert main_text.main_text(f"<p>{body}</p><script><p>{body}</p>", main_text.tree()).split() == body.split()
+
+
+@pytest.mark.parametrize("page", ["</b>" * 100000, "<i>" * 100000 + "</b>" * 100000, "<td><div>" + "<i>" * 100000 + "<td></td>" * 50000, "<button>x" * 50000])
+def test_stray_tags_take_time_in_proportion(page):
+    start = time.process_time()
+    main_text.blocks_of(page)
+    assert time.process_time() - start < 10
+
+
 def test_main_text_without_marks_goes_by_neighbours():
     body = "word " * 40
     page = f"<body><div><a href=1>One</a> <a href=2>Two</a></div><div><p>{body}</p><p>short one here</p><p>{body}</p></div></body>"
@@ -42,7 +82,7 @@ def test_tree_learns_its_table():
 def test_extraction_keeps_rows(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 6), (3, "", "", 7), (4, "v", "<article>" + "<p>x y</p>" * 20000 + "</article>", 8)]
     got = main_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
-    assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and max(r.n_chars for r in got) == 79999
+    assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and max(r.n_chars for r in got) == 79995     # the last short block, like a footer, is none
     assert main_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
