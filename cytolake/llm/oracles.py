@@ -19,43 +19,36 @@ m AS MATERIALIZED (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper
   FROM s LEFT JOIN covered c ON c.rid = s.rid),
-f AS MATERIALIZED (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars::DOUBLE / NULLIF(n_words, 0) AS word_length,
-         n_symbols::DOUBLE / NULLIF(n_words, 0) AS symbol_share, n_dup_lines::DOUBLE / NULLIF(n_lines, 0) AS dup_line_share,
-         n_repeat_words::DOUBLE / NULLIF(n_words, 0) AS repeat_share, n_upper::DOUBLE / NULLIF(word_chars, 0) AS upper_share FROM m),
-long AS (
-  SELECT lang, source, metric, v FROM (
-    SELECT lang, source, unnest(['word_length', 'symbol_share', 'dup_line_share', 'repeat_share', 'upper_share']) AS metric,
-           unnest([word_length, symbol_share, dup_line_share, repeat_share, upper_share]) AS v FROM f WHERE NOT base_failed)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+b AS MATERIALIZED (
+  SELECT *, ceil(ln(word_chars::DOUBLE / NULLIF(n_words, 0)) / g) AS b_w, ceil(ln((n_symbols + 1)::DOUBLE / (n_words + 1)) / g) AS b_s,
+         ceil(ln((n_dup_lines + 1)::DOUBLE / (n_lines + 1)) / g) AS b_d, ceil(ln((n_repeat_words + 1)::DOUBLE / (n_words + 1)) / g) AS b_r,
+         ceil(ln((n_upper + 1)::DOUBLE / (word_chars + 1)) / g) AS b_u FROM f, (SELECT ln(1.01::DOUBLE / 0.99::DOUBLE) AS g)),
 sketch AS MATERIALIZED (
-  SELECT lang, source, metric, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.01::DOUBLE / 0.99::DOUBLE)) END AS b, COUNT(*) AS n FROM long GROUP BY ALL),
+  SELECT lang, source, metric, b, COUNT(*) AS n FROM (
+    SELECT lang, source, unnest(['w', 's', 'd', 'r', 'u']) AS metric, unnest([b_w, b_s, b_d, b_r, b_u]) AS b FROM b WHERE NOT base_failed) GROUP BY ALL),
 levels AS (
   SELECT 2 AS lev, lang, source, metric, b, SUM(n) AS n FROM sketch GROUP BY ALL UNION ALL
   SELECT 1, lang, NULL, metric, b, SUM(n) FROM sketch GROUP BY ALL UNION ALL
   SELECT 0, NULL, NULL, metric, b, SUM(n) FROM sketch GROUP BY ALL),
 upto AS (
-  SELECT *, CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b) END AS v,
-         SUM(n) OVER (PARTITION BY lev, lang, source, metric ORDER BY b ASC NULLS FIRST) AS upto, SUM(n) OVER (PARTITION BY lev, lang, source, metric) AS rows
-  FROM levels),
+  SELECT *, SUM(n) OVER (PARTITION BY lev, lang, source, metric ORDER BY b) AS upto, SUM(n) OVER (PARTITION BY lev, lang, source, metric) AS rows FROM levels),
 q AS MATERIALIZED (
-  SELECT lev, lang, source, metric, MIN(v) FILTER (upto > 0.25 * (rows - 1)) AS q1, MIN(v) FILTER (upto > 0.75 * (rows - 1)) AS q3, MAX(rows) AS rows
-  FROM upto GROUP BY 1, 2, 3, 4),
+  SELECT lev, lang, source, metric, MIN(b) FILTER (upto > 0.25 * (rows - 1))::DOUBLE AS q1, MIN(b) FILTER (upto > 0.75 * (rows - 1))::DOUBLE AS q3,
+         MAX(rows)::DOUBLE AS rows FROM upto GROUP BY 1, 2, 3, 4),
 pick AS (
-  SELECT a.lang, a.source, a.metric, CASE WHEN a.rows >= 100 THEN a.q1 WHEN l.rows >= 100 THEN l.q1 ELSE g.q1 END AS q1,
-         CASE WHEN a.rows >= 100 THEN a.q3 WHEN l.rows >= 100 THEN l.q3 ELSE g.q3 END AS q3
+  SELECT a.lang, a.source, a.metric, (a.q1 * a.rows + (l.q1 * l.rows + g.q1 * 20) / (l.rows + 20) * 20) / (a.rows + 20) AS q1,
+         (a.q3 * a.rows + (l.q3 * l.rows + g.q3 * 20) / (l.rows + 20) * 20) / (a.rows + 20) AS q3
   FROM q a JOIN q l ON l.lev = 1 AND l.lang IS NOT DISTINCT FROM a.lang AND l.metric = a.metric JOIN q g ON g.lev = 0 AND g.metric = a.metric WHERE a.lev = 2),
-fence AS (
-  SELECT lang, source, metric, q1 - 3 * greatest(q3 - q1, least_) AS low, q3 + 3 * greatest(q3 - q1, least_) AS high FROM pick JOIN
-  (VALUES ('word_length', 0.5::DOUBLE), ('symbol_share', 0.03), ('dup_line_share', 0.2), ('repeat_share', 0.1), ('upper_share', 0.05)) x(metric, least_) USING (metric)),
+fence AS (SELECT lang, source, metric, round(q1 - 2.5 * (q3 - q1) - 1, 6) AS low, round(q3 + 2.5 * (q3 - q1) + 1, 6) AS high FROM pick),
 lim AS MATERIALIZED (
-  SELECT lang, source, MAX(low) FILTER (metric = 'word_length') AS low_w, MAX(high) FILTER (metric = 'word_length') AS high_w,
-         MAX(high) FILTER (metric = 'symbol_share') AS high_s, MAX(high) FILTER (metric = 'dup_line_share') AS high_d,
-         MAX(high) FILTER (metric = 'repeat_share') AS high_r, MAX(high) FILTER (metric = 'upper_share') AS high_u FROM fence GROUP BY 1, 2),
+  SELECT lang, source, MAX(low) FILTER (metric = 'w') AS low_w, MAX(high) FILTER (metric = 'w') AS high_w, MAX(high) FILTER (metric = 's') AS high_s,
+         MAX(high) FILTER (metric = 'd') AS high_d, MAX(high) FILTER (metric = 'r') AS high_r, MAX(high) FILTER (metric = 'u') AS high_u FROM fence GROUP BY 1, 2),
 judged AS (
-  SELECT f.*, concat_ws(',', CASE WHEN word_length > high_w OR word_length < low_w THEN 'word_length' END, CASE WHEN symbol_share > high_s THEN 'symbol_share' END,
-         CASE WHEN dup_line_share > high_d THEN 'dup_line_share' END, CASE WHEN repeat_share > high_r THEN 'repeat_share' END,
-         CASE WHEN upper_share > high_u THEN 'upper_share' END) AS why
-  FROM f LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM f.lang AND lim.source IS NOT DISTINCT FROM f.source)
+  SELECT b.*, concat_ws(',', CASE WHEN b_w > high_w OR b_w < low_w THEN 'word_length' END, CASE WHEN b_s > high_s AND n_symbols > 0 THEN 'symbol_share' END,
+         CASE WHEN b_d > high_d AND n_dup_lines > 0 THEN 'dup_line_share' END, CASE WHEN b_r > high_r AND n_repeat_words > 0 THEN 'repeat_share' END,
+         CASE WHEN b_u > high_u AND n_upper > 0 THEN 'upper_share' END) AS why
+  FROM b LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM b.lang AND lim.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND why = '' AS kept, why FROM judged
 """
 

@@ -1,9 +1,12 @@
 """Quality rules whose limits come from the data: one mergeable quantile sketch per language, source and metric.
 
 A sketch is a histogram over logarithmic buckets (relative error ``alpha``). Two sketches merge by adding bucket
-counts, so the sketches of a language, or of everything, are sums of the sketches of its sources; groups with few
-rows borrow the limits of the next larger one. All of it is DataFrame operations, and the same rows always give
-the same limits.
+counts, so the sketches of a language, or of everything, are sums of the sketches of its sources. Shares are taken with one more on either side,
+(count + 1) / (whole + 1), so that documents without a single symbol or repeated word still differ by their length and every metric has a spread
+of its own; a limit lies ``FENCE`` times the distance of the group's quartiles beyond them, counted in buckets, that is in ratios, and one bucket (the sketch's error) further. Nothing
+else sets its width. A text without a single symbol, repeated line or the like is never rejected for these. A group's
+quartiles are its own and its language's, weighed by its rows against ``PRIOR_ROWS``, and a language's likewise with those of all. All of it is DataFrame
+operations, and the same rows always give the same limits.
 
 Edge cases: a null text is an empty one (all counts 0, ``base_failed``); null languages and sources form groups of
 their own; ``base_failed`` rows stay out of the sketches; with no rows left there are no limits and nothing more is
@@ -20,9 +23,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cytolake.runtime import cut_lineage
 
 SPACE = " \t\n\x0b\f\r"
-#: metric -> the least spread between quartiles that is believed; a limit is this many spreads away from the quartile.
-SPREADS = {"word_length": 0.5, "symbol_share": 0.03, "dup_line_share": 0.2, "repeat_share": 0.1, "upper_share": 0.05}
-FENCE = 3.0
+#: metric -> what it counts
+METRICS = {"word_length": "word_chars", "symbol_share": "n_symbols", "dup_line_share": "n_dup_lines", "repeat_share": "n_repeat_words", "upper_share": "n_upper"}
+FENCE = 2.5
+PRIOR_ROWS = 20
+PLACE_BITS = 30      # of a window's place in its text; more words than that exceed what a string can hold
 
 
 def _matching(text: Column, pattern: str) -> Column:
@@ -45,7 +50,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_symbols": _matching(t, r"[#*$%&|<>]+").cast("long"),
         "n_upper": _matching(t, r"[A-Z]+").cast("long")})
     n = F.size("_words")
-    low = F.lit((1 << 24) - 1).cast("long")
+    low = F.lit((1 << PLACE_BITS) - 1).cast("long")
     packed = F.transform(
         F.slice("_words", 1, F.greatest(n - 2, F.lit(0))),
         lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
@@ -54,7 +59,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_hashes": F.sort_array(packed)})
-    same = lambda a, b: F.shiftright(a, 24) == F.shiftright(b, 24)
+    same = lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
     met = counted.withColumn("_met", F.filter("_hashes", lambda x, j: F.coalesce(
         F.when(j > 0, same(F.get("_hashes", j - 1), x)), F.lit(False)) | F.coalesce(same(F.get("_hashes", j + 1), x), F.lit(False))))
     window = lambda p: F.concat_ws(" ", F.get("_words", p), F.get("_words", p + 1), F.get("_words", p + 2))
@@ -71,60 +76,59 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def metrics() -> dict[str, Column]:
-    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return {"word_length": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "n_words"),
-            "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"),
-            "upper_share": share("n_upper", "word_chars")}
+    share = lambda a, b: (F.col(a) + 1).cast("double") / (F.col(b) + 1).cast("double")
+    return {"word_length": F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double")),
+            "symbol_share": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
+            "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars")}
+
+
+def bucket(value: Column, alpha: float) -> Column:
+    """Bucket i holds the values in (g^(i-1), g^i]."""
+    return F.ceil(F.log(value) / F.lit(math.log((1 + alpha) / (1 - alpha))))
 
 
 def sketches(measured: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """(lang, source, metric, bucket, n): bucket null holds zeros, bucket i the values in (g^(i-1), g^i]."""
-    gamma = (1 + alpha) / (1 - alpha)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in metrics().items()])).alias("m")
-    rows = measured.filter(~F.col("base_failed")).select("lang", "source", each).select("lang", "source", "m.metric", "m.v")
-    bucket = F.when(F.col("v") > 0, F.ceil(F.log("v") / F.lit(math.log(gamma))))
-    return rows.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """(lang, source, metric, bucket, n) of the rows that did not fail the base rules."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v, alpha).alias("b")) for k, v in metrics().items()])).alias("m")
+    rows = measured.filter(~F.col("base_failed")).select("lang", "source", each)
+    return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), F.col("m.b").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str], alpha: float = 0.01) -> DataFrame:
-    """q1, q3 and the rows of every sketch, merged over all columns but ``keys``."""
-    gamma = (1 + alpha) / (1 - alpha)
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """q1, q3 (as buckets) and the rows of every sketch, merged over all columns but ``keys``."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    up = W.partitionBy(*keys, "metric").orderBy(F.col("bucket").asc_nulls_first())
     whole = W.partitionBy(*keys, "metric")
-    value = F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(F.lit(2 / (gamma + 1)) * F.pow(F.lit(gamma), F.col("bucket")))
-    seen = merged.select(*keys, "metric", value.alias("v"), F.sum("n").over(up).alias("upto"), F.sum("n").over(whole).alias("rows"))
-    at = lambda q: F.min(F.when(F.col("upto") > q * (F.col("rows") - 1), F.col("v")))
+    seen = merged.select(*keys, "metric", "bucket", F.sum("n").over(whole.orderBy("bucket")).alias("upto"), F.sum("n").over(whole).alias("rows"))
+    at = lambda q: F.min(F.when(F.col("upto") > q * (F.col("rows") - 1), F.col("bucket"))).cast("double")
     return seen.groupBy(*keys, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("rows").alias("rows"))
 
 
-def limits(sketch: DataFrame, min_rows: int = 100, alpha: float = 0.01) -> DataFrame:
-    """(lang, source, low_<metric>, high_<metric> ...): fences outside the quartiles of the smallest group with ``min_rows`` rows."""
-    by_source = quartiles(sketch, ["lang", "source"], alpha)
-    by_lang = quartiles(sketch, ["lang"], alpha).toDF("l_lang", "metric", "l_q1", "l_q3", "l_rows")
-    by_all = quartiles(sketch, [], alpha).toDF("metric", "a_q1", "a_q3", "a_rows")
+def limits(sketch: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, low_word_length, high_<metric> ...) in buckets, one row for every group of the sketches."""
+    by_source = quartiles(sketch, ["lang", "source"])
+    by_lang = quartiles(sketch, ["lang"]).toDF("l_lang", "metric", "l_q1", "l_q3", "l_rows")
+    by_all = quartiles(sketch, []).toDF("metric", "a_q1", "a_q3", "a_rows")
     both = (by_source.join(by_lang, (by_source["lang"].eqNullSafe(by_lang["l_lang"])) & (by_source["metric"] == by_lang["metric"]))
             .drop(by_lang["metric"]).join(by_all, "metric"))
-    pick = lambda q: (F.when(F.col("rows") >= min_rows, F.col(q)).when(F.col("l_rows") >= min_rows, F.col(f"l_{q}"))
-                      .otherwise(F.col(f"a_{q}")))
+    mix = lambda own, rows, wider: (own * rows + wider * prior_rows) / (rows + prior_rows)
+    pick = lambda q: mix(F.col(q), F.col("rows"), mix(F.col(f"l_{q}"), F.col("l_rows"), F.col(f"a_{q}")))
     out = both.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    spread = lambda m: F.greatest(F.col("q3") - F.col("q1"), F.lit(SPREADS[m])) * FENCE
-    here = lambda m, v: F.max(F.when(F.col("metric") == m, v))
+    spread = FENCE * (F.col("q3") - F.col("q1"))
+    here = lambda m, v: F.max(F.when(F.col("metric") == m, F.round(v, 6)))
     return out.groupBy("lang", "source").agg(
-        here("word_length", F.col("q1") - spread("word_length")).alias("low_word_length"),
-        *[here(m, F.col("q3") + spread(m)).alias(f"high_{m}") for m in SPREADS])
+        here("word_length", F.col("q1") - spread - 1).alias("low_word_length"), *[here(m, F.col("q3") + spread + 1).alias(f"high_{m}") for m in METRICS])
 
 
-def judge(measured: DataFrame, min_rows: int = 100, alpha: float = 0.01) -> DataFrame:
+def judge(measured: DataFrame, prior_rows: int = PRIOR_ROWS, alpha: float = 0.01) -> DataFrame:
     """Add ``kept`` to measured rows, and ``why``: the metrics outside their limits."""
-    found = cut_lineage(limits(sketches(measured, alpha), min_rows, alpha)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    found = cut_lineage(limits(sketches(measured, alpha), prior_rows)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(found, measured["lang"].eqNullSafe(found["_lang"]) & measured["source"].eqNullSafe(found["_source"]), "left")
-    values = metrics()
-    outside = [F.when((values[m] > F.col(f"high_{m}")) | (F.lit(m == "word_length") & (values[m] < F.col("low_word_length"))), F.lit(m))
-               for m in SPREADS]
+    at = {m: bucket(v, alpha) for m, v in metrics().items()}
+    outside = [F.when((at[m] > F.col(f"high_{m}")) & (F.col(c) > 0) | (F.lit(m == "word_length") & (at[m] < F.col("low_word_length"))), F.lit(m))
+               for m, c in METRICS.items()]
     return (joined.withColumn("why", F.array_compact(F.array(*outside)))
             .withColumn("kept", ~F.col("base_failed") & (F.size("why") == 0))
-            .drop("_lang", "_source", "low_word_length", *[f"high_{m}" for m in SPREADS]))
+            .drop("_lang", "_source", "low_word_length", *[f"high_{m}" for m in METRICS]))
 
 
 def quality_table(docs: DataFrame) -> DataFrame:

@@ -190,9 +190,9 @@ def test_quality_counts(docs, texts):
 
 
 def test_limits_follow_the_data(spark):
-    clean = [(i, prose(i, 120 + i % 7), "en" if i % 2 else "de", f"s{i % 3}" if i % 50 else None) for i in range(400)]
+    clean = [(i, prose(i, 60 + 17 * (i % 37)), "en" if i % 2 else "de", f"s{i % 3}" if i % 50 else None) for i in range(400)]
     junk = [(1000 + i, " ".join(w + "###" for w in prose(i, 100).split()), "en", "s1") for i in range(20)]
-    odd = [(2000 + i, " ".join(w + "|" for w in prose(i, 100).split()), "tab", "s9") for i in range(150)]   # normal where it comes from
+    odd = [(2000 + i, " ".join(w + "|" for w in prose(i, 60 + 17 * (i % 37)).split()), "tab", "s9") for i in range(150)]   # normal where it comes from
     got = {r.doc_id: r for r in quality.quality_table(spark.createDataFrame(clean + junk + odd, "doc_id bigint, text string, lang string, source string")).collect()}
     assert all(got[i].kept for i in range(400)) and all(got[2000 + i].kept for i in range(150))
     assert all(not got[1000 + i].kept and "symbol_share" in got[1000 + i].why for i in range(20))
@@ -206,7 +206,20 @@ def test_sketch_quartiles_are_near_and_merge(spark):
     for keys in ([], ["lang"]):
         r = quality.quartiles(sketch, keys).filter("metric = 'word_length'").first()
         assert r.rows == len(values)
-        assert r.q1 == pytest.approx(values[int(0.25 * (len(values) - 1))], rel=0.021) and r.q3 == pytest.approx(values[math.ceil(0.75 * (len(values) - 1))], rel=0.021)
+        of = lambda b: 2 / (1.01 / 0.99 + 1) * (1.01 / 0.99) ** b
+        assert of(r.q1) == pytest.approx(values[int(0.25 * (len(values) - 1))], rel=0.021) and of(r.q3) == pytest.approx(values[math.ceil(0.75 * (len(values) - 1))], rel=0.021)
+
+
+def test_every_limit_follows_its_group(spark):
+    """Widths come from quartiles alone: a group with twice the spread (in ratios) has a fence twice as far, whatever its size."""
+    def rows(source, n, wide):
+        return [("en", source, m, b, 1) for m in quality.METRICS for b in np.round(np.linspace(-wide, wide, n)).astype(int).tolist()]
+    sketch = spark.createDataFrame(rows("a", 4001, 40) + rows("b", 4001, 80) + rows("c", 3, 0), "lang string, source string, metric string, bucket bigint, n bigint")
+    got = {r.source: r for r in quality.limits(sketch, prior_rows=0).collect()}
+    assert got["b"].high_symbol_share == pytest.approx(2 * got["a"].high_symbol_share, rel=0.06) and got["a"].high_symbol_share == pytest.approx(21 + 2.5 * 40, rel=0.06)
+    assert got["c"].high_upper_share == -got["c"].low_word_length == 1
+    mixed = {r.source: r.high_repeat_share for r in quality.limits(sketch).collect()}
+    assert mixed["a"] == pytest.approx(got["a"].high_repeat_share, rel=0.05) and mixed["c"] > 90       # three rows weigh little against their language
 
 
 def test_keep_good(docs, none, texts):
