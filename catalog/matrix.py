@@ -437,6 +437,37 @@ def i18(s, d):
     return found.withColumn("ll", F.round("ll", 4))
 
 
+@register("i18_poisson_lognormal_maximum", sql(
+    """SELECT sample, cell_id, round(max(ll), 4) AS grid_ll, TRUE AS not_below, TRUE AS flat FROM ll GROUP BY 1, 2""", "counts", "genes", **FITS))
+def i18_maximum(s, d):
+    """Newton's maximum of every cell: never below the grid's, and without slope."""
+    found = quantile.fit_poisson_lognormal(fx.counts(s, d), n_parts(s, d), MUS, SIGMAS, refine=True)
+    return found.select(*CELL_KEY, F.round("grid_ll", 4).alias("grid_ll"), (F.col("ll") >= F.col("grid_ll")).alias("not_below"), (F.col("slope") < 1e-6).alias("flat"))
+
+
+NARROW = {f"s{k + 1}": f"""SELECT nnz, p0, MAX(lo + i * width / 256) AS lo, ANY_VALUE(width) / 256 AS width FROM (
+          SELECT nnz, p0, lo, width, i, SUM(w * exp(-exp(lo + i * width / 256 + 2.2 * t))) AS zero FROM s{k}, range(257) r(i), nodes GROUP BY ALL)
+          WHERE zero >= p0 GROUP BY 1, 2""" for k in range(4)}
+
+
+@register("i19_quasi_counts_fitted", sql(
+    """SELECT p.sample, p.cell_id, p.gene, p.cnt, round(c.mu, 5) AS mu, MIN(c.y) AS qumi FROM placed p JOIN cdf c USING (nnz)
+       WHERE c.cdf >= c.zero + p.u * (1 - c.zero) AND c.y >= 1 GROUP BY 1, 2, 3, 4, 5""", "counts", "genes",
+    nodes=NODES,
+    placed="""SELECT *, COUNT(*) OVER (PARTITION BY sample, cell_id) AS nnz,
+           COUNT(*) OVER (PARTITION BY sample, cell_id ORDER BY cnt RANGE UNBOUNDED PRECEDING) / (COUNT(*) OVER (PARTITION BY sample, cell_id) + 1.0) AS u
+           FROM counts""",
+    s0="""SELECT DISTINCT nnz, greatest(1 - nnz / (SELECT COUNT(*) FROM genes), 0.5 / (SELECT COUNT(*) FROM genes)) AS p0,
+          -60.0::DOUBLE AS lo, 120.0::DOUBLE AS width FROM placed""",
+    **NARROW,
+    pmf="""SELECT nnz, lo AS mu, y, SUM(w * exp(y * (lo + 2.2 * t) - exp(lo + 2.2 * t) - lgamma(y + 1.0))) AS p
+           FROM s4, (SELECT i::BIGINT AS y FROM range(601) q(i)), nodes GROUP BY 1, 2, 3""",
+    cdf="SELECT nnz, mu, y, SUM(p) OVER (PARTITION BY nnz ORDER BY y) AS cdf, FIRST_VALUE(p) OVER (PARTITION BY nnz ORDER BY y) AS zero FROM pmf"))
+def i19_fitted(s, d):
+    """Every cell's own scale instead of one of a list."""
+    return quantile.quasi_counts(fx.counts(s, d), n_parts(s, d), value="cnt").withColumn("mu", F.round("mu", 5))
+
+
 @register("i19_quasi_counts", sql(
     """SELECT p.sample, p.cell_id, p.gene, p.cnt, c.mu, MIN(c.y) AS qumi FROM placed p JOIN chosen c USING (sample, cell_id)
        WHERE c.cdf >= c.zero + p.u * (1 - c.zero) AND c.y >= 1 GROUP BY 1, 2, 3, 4, 5""", "counts", "genes",

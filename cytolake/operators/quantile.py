@@ -22,13 +22,12 @@ def log_factorial(y: np.ndarray) -> np.ndarray:
     return series - np.log(y[:, None] + np.arange(1.0, 11.0)).sum(axis=1)
 
 
-def poisson_lognormal_log_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndarray:
-    """ln P(y) for counts whose log rate is normal(mu, sigma), for counts of any size.
+def _around_top(y: np.ndarray, mu, sigma):
+    """Top x of each integrand, steps d around it, their width, and the integrand at x + d over that at x.
 
-    Around the top x of the integrand (found by Newton's steps) its fall is e^x (e^d - 1 - d) + d^2 / (2 sigma^2) exactly; the
+    The top is found by Newton's steps; from it the integrand's logarithm falls by e^x (e^d - 1 - d) + d^2 / (2 sigma^2) exactly. The
     trapezoid rule runs over the d where that is below ``DEPTH``, so its nodes are as dense as the top is narrow.
     """
-    y = np.asarray(y, dtype=float)
     x = np.where(y > 0, np.log(np.maximum(y, 0.5)), np.minimum(mu, 0.0))
     for _ in range(200):
         rate = np.exp(x)
@@ -39,7 +38,7 @@ def poisson_lognormal_log_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndar
     rate = np.exp(x)
 
     def reach(sign: int) -> np.ndarray:
-        lo, hi = np.zeros_like(x), np.full_like(x, math.sqrt(2 * DEPTH) * sigma)
+        lo, hi = np.zeros_like(x), np.zeros_like(x) + math.sqrt(2 * DEPTH) * sigma
         for _ in range(60):
             mid = (lo + hi) / 2
             far = rate * (np.expm1(sign * mid) - sign * mid) + mid ** 2 / (2 * sigma ** 2) > DEPTH
@@ -49,22 +48,96 @@ def poisson_lognormal_log_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndar
     left, right = reach(-1), reach(1)
     h = (left + right) / STEPS
     d = -left[:, None] + h[:, None] * np.arange(STEPS + 1)
-    area = np.exp(-rate[:, None] * (np.expm1(d) - d) - d * d / (2 * sigma ** 2)).sum(axis=1) * h
-    top = y * x - rate - log_factorial(y) - (x - mu) ** 2 / (2 * sigma ** 2) - math.log(sigma * math.sqrt(2 * math.pi))
-    return top + np.log(area)
+    wide = sigma[:, None] if np.ndim(sigma) else sigma
+    return x, d, h, np.exp(-rate[:, None] * (np.expm1(d) - d) - d * d / (2 * wide ** 2))
+
+
+def _log_pmf(y, mu, sigma, x, h, heights) -> np.ndarray:
+    top = y * x - np.exp(x) - log_factorial(y) - (x - mu) ** 2 / (2 * sigma ** 2) - np.log(sigma * math.sqrt(2 * math.pi))
+    return top + np.log(heights.sum(axis=1) * h)
+
+
+def poisson_lognormal_log_pmf(y: np.ndarray, mu, sigma) -> np.ndarray:
+    """ln P(y) for counts whose log rate is normal(mu, sigma), for counts of any size; mu and sigma are numbers or one for each count."""
+    y = np.asarray(y, dtype=float)
+    x, _, h, heights = _around_top(y, mu, sigma)
+    return _log_pmf(y, mu, sigma, x, h, heights)
+
+
+def _slopes(y: np.ndarray, mu: np.ndarray, sigma: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """ln P and its first and second derivatives by mu and ln sigma (five columns after it), from the moments of z = (x - mu) / sigma."""
+    out = np.empty((len(y), 6))
+    for lo in range(0, len(y), rows):
+        yy, m, s = y[lo:lo + rows], mu[lo:lo + rows], sigma[lo:lo + rows]
+        x, d, h, heights = _around_top(yy, m, s)
+        z = ((x - m)[:, None] + d) / s[:, None]
+        w = heights / heights.sum(axis=1, keepdims=True)
+        e1, e2, e3, e4 = ((w * z ** p).sum(axis=1) for p in range(1, 5))
+        out[lo:lo + rows] = np.stack([_log_pmf(yy, m, s, x, h, heights), e1 / s, e2 - 1, (e2 - e1 ** 2 - 1) / s ** 2,
+                                      (e3 - e1 * e2 - 2 * e1) / s, e4 - e2 ** 2 - 2 * e2], axis=1)
+    return out
+
+
+#: Beyond these the likelihood is flat in double precision (all counts equal, or zeros and ones only).
+MU_BOUNDS, LOG_SIGMA_BOUNDS = (-40.0, 40.0), (math.log(0.02), math.log(20.0))
+
+
+def maximise(y: np.ndarray, n: np.ndarray, cell: np.ndarray, mu: np.ndarray, sigma: np.ndarray, tolerance: float = 1e-6, rounds: int = 200):
+    """Newton's steps on (mu, ln sigma) of many histograms at once: ``n[i]`` times the count ``y[i]`` in ``cell[i]``.
+
+    Returns mu, sigma, the log likelihood, and the greatest slope left that does not point out of the bounds. A step that lowers a cell's likelihood is halved.
+    """
+    at = np.stack([mu, np.log(sigma)], axis=1).astype(float)
+    low, high = (np.array([b[k] for b in (MU_BOUNDS, LOG_SIGMA_BOUNDS)]) for k in range(2))
+    at = np.clip(at, low, high)
+
+    def look(points: np.ndarray, which: np.ndarray) -> np.ndarray:
+        rows = np.flatnonzero(np.isin(cell, which))
+        c = cell[rows]
+        each = _slopes(y[rows], points[c, 0], np.exp(points[c, 1])) * n[rows, None]
+        sums = np.zeros((len(points), 6))
+        np.add.at(sums, c, each)
+        return sums[which]
+
+    now, todo, slope = np.full((len(at), 6), -np.inf), np.arange(len(at)), np.full(len(at), np.inf)
+    now[todo] = look(at, todo)
+    scale = np.ones(len(at))
+    for _ in range(rounds):
+        g = now[:, 1:3]
+        out = ((at <= low) & (g < 0)) | ((at >= high) & (g > 0))
+        slope = np.abs(np.where(out, 0.0, g)).max(axis=1)
+        todo = np.flatnonzero((slope >= tolerance) & (scale > 1e-12))
+        if not len(todo):
+            break
+        h = np.stack([now[todo, 3], now[todo, 4], now[todo, 4], now[todo, 5]], axis=1).reshape(-1, 2, 2)
+        h[out[todo, 0], 0, 1] = h[out[todo, 0], 1, 0] = 0.0
+        h[out[todo, 1], 0, 1] = h[out[todo, 1], 1, 0] = 0.0
+        values, vectors = np.linalg.eigh(h)
+        values = -np.maximum(np.abs(values), 1e-9)              # uphill even where the likelihood is not concave
+        free = np.where(out[todo], 0.0, g[todo])
+        step = -np.einsum("nij,nj,nkj,nk->ni", vectors, 1 / values, vectors, free)
+        step *= np.minimum(1.0, 2.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300)) * scale[todo, None]
+        tried = at.copy()
+        tried[todo] = np.clip(at[todo] + step, low, high)
+        new = look(tried, todo)
+        better = new[:, 0] >= now[todo, 0] - 1e-12 * np.abs(now[todo, 0])
+        at[todo[better]], now[todo[better]], scale[todo[better]] = tried[todo[better]], new[better], 1.0
+        scale[todo[~better]] /= 4
+    return at[:, 0], np.exp(at[:, 1]), now[:, 0], slope
 
 
 def poisson_lognormal_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     return np.exp(poisson_lognormal_log_pmf(y, mu, sigma))
 
 
-def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float], sigmas: Sequence[float]) -> DataFrame:
-    """Most likely (mu, sigma) of every cell on a grid: ``(sample, cell_id, mu, sigma, ll)``.
+def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float], sigmas: Sequence[float], refine: bool = False) -> DataFrame:
+    """Most likely (mu, sigma) of every cell on a grid: ``(sample, cell_id, mu, sigma, ll)``; with ``refine`` the maximum that Newton's
+    steps reach from there, with ``grid_ll`` and ``slope``, the greatest derivative left.
 
     A cell becomes the histogram of its counts (zeros included), one row; a task works out the likelihood of a count
     when it first meets it, and every grid point of a cell is then one product.
     """
-    grid = sorted((float(m), float(s)) for m in mus for s in sigmas)
+    grid = np.array(sorted((float(m), float(s)) for m in mus for s in sigmas))
     seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
     held = seen.groupBy(*CELL_KEY).agg(F.collect_list("cnt").alias("_y"), F.collect_list("n").alias("_n"), F.sum("n").alias("_rows"))
 
@@ -74,7 +147,7 @@ def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float],
         def logs(y: np.ndarray) -> np.ndarray:
             new = np.array([v for v in y if v not in known])
             if len(new):
-                table = np.stack([poisson_lognormal_log_pmf(new, m, s) for m, s in grid], axis=1)
+                table = np.stack([poisson_lognormal_log_pmf(new, m, s) for m, s in grid.tolist()], axis=1)
                 if len(known) > 1 << 16:
                     known.clear()
                     return logs(y)
@@ -82,49 +155,103 @@ def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float],
             return np.stack([known[v] for v in y.tolist()])
 
         for pdf in batches:
-            rows = []
-            for y, n, total in zip(pdf["_y"], pdf["_n"], pdf["_rows"]):
-                y, n = np.append(np.asarray(y, float), 0.0), np.append(np.asarray(n, float), n_genes - total)
-                order = np.argsort(y, kind="stable")
-                ll = n[order] @ logs(y[order])
-                top = max(range(len(grid)), key=lambda g: (round(ll[g], 6), grid[g]))
-                rows.append((*grid[top], ll[top]))
-            out = pdf[list(CELL_KEY)].copy()
-            out[["mu", "sigma", "ll"]] = np.array(rows, float).reshape(-1, 3)
-            yield out
+            for first in range(0, len(pdf), 256):
+                part = pdf.iloc[first:first + 256]
+                ys, ns, tops, lls = [], [], [], []
+                for y, n, total in zip(part["_y"], part["_n"], part["_rows"]):
+                    y, n = np.append(np.asarray(y, float), 0.0), np.append(np.asarray(n, float), n_genes - total)
+                    order = np.argsort(y, kind="stable")
+                    ys.append(y[order])
+                    ns.append(n[order])
+                    ll = ns[-1] @ logs(ys[-1])
+                    near = np.round(ll, 6)
+                    tops.append(np.flatnonzero(near == near.max())[-1])      # of equal ones the greatest (mu, sigma)
+                    lls.append(ll[tops[-1]])
+                out = part[list(CELL_KEY)].copy()
+                out["mu"], out["sigma"], out["ll"] = grid[tops, 0], grid[tops, 1], lls
+                if refine:
+                    cell = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+                    out["mu"], out["sigma"], out["ll"], out["slope"] = maximise(np.concatenate(ys), np.concatenate(ns), cell, grid[tops, 0], grid[tops, 1])
+                    out["grid_ll"] = lls
+                yield out
 
     keys = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in CELL_KEY)
-    return held.mapInPandas(best, f"{keys}, mu double, sigma double, ll double")
+    more = ", slope double, grid_ll double" if refine else ""
+    return held.mapInPandas(best, f"{keys}, mu double, sigma double, ll double{more}")
 
 
 def scale_of(zero_share: float, shape: float) -> float:
-    """The mu at which a count is zero with the given probability."""
+    """The mu at which a count is zero with the given probability, by narrowing a bracket 64-fold a round."""
+    t = np.arange(-1200, 1201) / 100.0
+    weight = np.exp(-t * t / 2)
+    weight /= weight.sum()
     lo, hi = -60.0, 60.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if poisson_lognormal_log_pmf(np.zeros(1), mid, shape)[0] >= math.log(zero_share):
-            lo = mid
-        else:
-            hi = mid
-        if hi - lo < 1e-12:
+    while hi - lo > 1e-12 * max(1.0, abs(lo)):
+        mus = np.linspace(lo, hi, 65)
+        zero = np.exp(-np.exp(np.minimum(mus[:, None] + shape * t, 700.0))) @ weight
+        k = int(np.searchsorted(-zero, -zero_share, side="right")) - 1      # the last mu whose share is not below
+        if not 0 <= k < 64:
+            return float(mus[np.clip(k, 0, 64)])
+        lo, hi = mus[k], mus[k + 1]
+        if lo == mus[0] and hi == mus[-1]:
             break
-    return lo
+    return float(lo)
+
+
+EXACT = 256          # counts below this are summed one by one
+KNOTS = 16           # for each doubling of the counts beyond
 
 
 def quantiles(mu: float, shape: float, shares: np.ndarray) -> np.ndarray:
-    """Least counts from 1 on at which the zero-truncated distribution reaches the ascending ``shares`` (below 1)."""
-    zero = float(poisson_lognormal_pmf(np.zeros(1), mu, shape)[0])
-    goal, out, done = zero + shares * (1 - zero), np.empty(len(shares), np.int64), 0
-    upto, at, size = zero, 1, 256
-    while done < len(goal):
-        cdf = upto + np.cumsum(poisson_lognormal_pmf(np.arange(at, at + size, dtype=float), mu, shape))
-        n = int(np.searchsorted(goal[done:], cdf[-1], side="right"))
-        out[done:done + n] = at + np.searchsorted(cdf, goal[done:done + n], side="left")
-        if cdf[-1] == upto:               # the rest of the sum is below the last digit
-            out[done:] = at
+    """Least counts from 1 on at which the zero-truncated distribution reaches the ascending ``shares`` (below 1).
+
+    Small counts are summed. Beyond, sums between knots that double every ``KNOTS`` are integrals of the smooth pmf with the end terms of Euler's
+    formula; between two knots the cumulative function is the cubic with the right values and slopes, and a bisection finds all shares at once.
+    """
+    small = np.cumsum(poisson_lognormal_pmf(np.arange(EXACT, dtype=float), mu, shape))
+    goal = small[0] + shares * (1 - small[0])
+    out = np.maximum(1, np.searchsorted(small, goal, side="left"))
+    rest = goal > small[-1]
+    if not rest.any():
+        return out.astype(np.int64)
+    nodes, weights = np.polynomial.legendre.leggauss(6)
+    step = math.log(2) / KNOTS
+    s0, upto, knots, values, slopes = math.log(EXACT - 1), float(small[-1]), [], [], []
+
+    def smooth(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p(y) and its slope by y at y = e^s."""
+        e = 1e-4
+        around = poisson_lognormal_log_pmf(np.exp(np.concatenate([s - e, s, s + e])), mu, shape).reshape(3, -1)
+        p = np.exp(around[1])
+        return p, p * (around[2] - around[0]) / (2 * e) / np.exp(s)
+
+    while True:                                   # an octave a round
+        at = s0 + step * np.arange(KNOTS + 1)
+        inner = (at[:-1, None] + step / 2 * (1 + nodes)).ravel()
+        areas = (np.exp(poisson_lognormal_log_pmf(np.exp(inner), mu, shape) + inner).reshape(KNOTS, -1) * weights).sum(axis=1) * step / 2
+        p, dp = smooth(at)
+        ends = p / 2 + dp / 12
+        cdf = upto + np.concatenate([[0.0], np.cumsum(areas)]) + ends - ends[0]
+        slope = (p + dp / 2) * np.exp(at)
+        keep = slice(0 if not knots else 1, None)
+        knots.append(at[keep])
+        values.append(cdf[keep])
+        slopes.append(slope[keep])
+        if cdf[-1] >= goal[-1] or cdf[-1] <= upto:
             break
-        done, upto, at, size = done + n, float(cdf[-1]), at + size, min(2 * size, 1 << 14)
-    return out
+        upto, s0 = float(cdf[-1]), float(at[-1])
+    knots, values, slopes = map(np.concatenate, (knots, values, slopes))
+    g = goal[rest]
+    i = np.clip(np.searchsorted(values, g, side="left") - 1, 0, len(knots) - 2)
+    width = knots[i + 1] - knots[i]
+    lo, hi = np.zeros(len(g)), np.ones(len(g))
+    for _ in range(52):
+        t = (lo + hi) / 2
+        cubic = (values[i] * (1 + 2 * t) * (1 - t) ** 2 + width * slopes[i] * t * (1 - t) ** 2
+                 + values[i + 1] * t * t * (3 - 2 * t) - width * slopes[i + 1] * t * t * (1 - t))
+        lo, hi = np.where(cubic < g, t, lo), np.where(cubic < g, hi, t)
+    out[rest] = np.ceil(np.round(np.exp(knots[i] + hi * width), 7))
+    return out.astype(np.int64)
 
 
 def quasi_counts(values: DataFrame, n_genes: int, shape: float = 2.2, value: str = "tpm",

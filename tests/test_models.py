@@ -179,3 +179,41 @@ def test_planted_copy_number_gain_is_called(spark):
     got = analyses.malignant_cells(counts, genes, table, ["A"], clusters=2, rounds=8).toPandas()
     assert len(got) == 60
     assert ((got.cand_tumor == "tumor") == (got.cell_id >= 40)).all()
+
+
+def test_quantiles_by_knots_equal_summing_every_count():
+    for share, n in ((0.4, 400), (0.9, 60), (0.05, 1500)):
+        mu = quantile.scale_of(share, 2.2)
+        assert quantile.poisson_lognormal_pmf(np.zeros(1), mu, 2.2)[0] == pytest.approx(share, abs=1e-9)
+        shares = np.arange(1, n + 1) / (n + 1.0)
+        cdf = np.cumsum(np.concatenate([quantile.poisson_lognormal_pmf(np.arange(a, a + 10000.0), mu, 2.2) for a in range(0, 60000, 10000)]))
+        want = np.maximum(1, np.searchsorted(cdf, cdf[0] + shares * (1 - cdf[0])))
+        assert want[-1] < 60000 and (quantile.quantiles(mu, 2.2, shares) == want).all()
+
+
+def test_newton_finds_the_maximum():
+    rng = np.random.default_rng(3)
+    tables = [np.unique(rng.poisson(np.exp(rng.normal(m, s, 3000))), return_counts=True) for m, s in ((-3, 1.5), (-1, 0.4), (1, 2.5), (3, 0.8))]
+    tables += [(np.array([0, 1]), np.array([90, 10])), (np.array([7]), np.array([50])), (np.array([0, 10 ** 6]), np.array([5, 5]))]
+    y, n = (np.concatenate([t[k] for t in tables]).astype(float) for k in range(2))
+    cell = np.repeat(np.arange(len(tables)), [len(t[0]) for t in tables])
+    mu, sigma, ll, slope = quantile.maximise(y, n, cell, np.full(len(tables), 0.0), np.full(len(tables), 1.0))
+    assert (slope[:4] < 1e-6).all() and np.isfinite(ll).all()
+    for c in range(4):
+        assert abs(mu[c] - (-3, -1, 1, 3)[c]) < 0.3 and abs(sigma[c] - (1.5, 0.4, 2.5, 0.8)[c]) < 0.3
+    for c, (v, k) in enumerate(tables):
+        for m in mu[c] + np.array([-0.1, 0, 0.1]):
+            for s in sigma[c] * np.array([0.9, 1, 1.1]):
+                inside = quantile.MU_BOUNDS[0] <= m <= quantile.MU_BOUNDS[1] and quantile.LOG_SIGMA_BOUNDS[0] <= np.log(s) <= quantile.LOG_SIGMA_BOUNDS[1]
+                assert not inside or k @ quantile.poisson_lognormal_log_pmf(v.astype(float), m, s) <= ll[c] + 1e-6
+
+
+def test_slopes_are_the_derivatives():
+    y, e = np.array([0.0, 1, 5, 300]), 1e-5
+    mu, u = np.array([-2.0, 0.5, 1, 4]), np.log([1.2, 0.7, 2.0, 0.5])
+    at = quantile._slopes(y, mu, np.exp(u))
+    by_mu = [quantile._slopes(y, mu + s * e, np.exp(u)) for s in (-1, 1)]
+    by_u = [quantile._slopes(y, mu, np.exp(u + s * e)) for s in (-1, 1)]
+    for (a, b), first, second in ((by_mu, 1, (3, 4)), (by_u, 2, (4, 5))):
+        assert np.allclose((b[:, 0] - a[:, 0]) / (2 * e), at[:, first], rtol=1e-5, atol=1e-6)
+        assert np.allclose((b[:, 1:3] - a[:, 1:3]) / (2 * e), at[:, second], rtol=1e-4, atol=1e-5)
