@@ -3,9 +3,9 @@
 Containment of an item in a document is the share of the item's distinct five-word shingles that the document has. Each
 item is kept as the part of its MinHash order that cannot be missed: of n shingles, the n - ceil(0.8 n) + 1 with the
 least hashes. A document that holds 0.8 of the item holds at least one of those, so the search loses nothing,
-however long the document. Items are partitioned by size (number of shingles, powers of two), and the sketch of
-an item is as long as its size demands: short items have short sketches. Every document with a sketch hit is then
-verified on the exact shingles of the item.
+however long the document. Items are partitioned by size (number of shingles, powers of two). Every partition has its own sketch table and its own
+least number of shingles, 0.8 of its smallest size, and is searched only for documents that have so many shingles of words that items use; inside a partition the
+sketch of an item is as long as its size demands. Every document with a sketch hit is then verified on the exact shingles of the item.
 
 Items travel to the tasks in parts of at most ``PART`` shingles, one pass over the documents for each part, so a large
 benchmark costs passes, never memory.
@@ -52,16 +52,32 @@ def _mix(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+class Partition:
+    """Items of one shingle length whose number of shingles lies in [2^(b-1), 2^b): a sketch table and the least shingles of a match."""
+
+    def __init__(self, b: int, threshold: float):
+        self.least = max(1, math.ceil(threshold * (1 << (b - 1)) - 1e-9))
+        self.items: dict[int, list[int]] = defaultdict(list)
+        self.keys = np.empty(0, np.uint64)
+
+    def close(self) -> None:
+        self.keys = np.array(sorted(self.items), np.uint64)
+
+    def hits(self, hashes: np.ndarray) -> Iterator[int]:
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        for x in hashes[self.keys[place] == hashes]:
+            yield from self.items[int(x)]
+
+
 class Items:
-    """Items of one part, ready for lookups: word numbers, sketches by shingle length, exact shingles."""
+    """Items of one part, ready for lookups: word numbers, size partitions by shingle length, exact shingles."""
 
     def __init__(self, rows: list[tuple[int, str]], threshold: float = CONTAINMENT):
         self.numbers: dict[str, int] = {}
         self.ids: list[int] = []
         self.exact: list[np.ndarray] = []
         self.threshold = threshold
-        sketch: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.sizes: dict[int, list[int]] = defaultdict(list)      # size partition -> items
+        found_in: dict[int, dict[int, Partition]] = defaultdict(dict)
         for item_id, text in rows:
             found = shingles_of(words_of(text))
             if not found:
@@ -71,10 +87,18 @@ class Items:
             at, n = len(self.ids), len(h)
             self.ids.append(item_id)
             self.exact.append(codes)
-            self.sizes[n.bit_length()].append(at)
+            part = found_in[codes.shape[1]].setdefault(n.bit_length(), Partition(n.bit_length(), threshold))
             for x in h[:n - math.ceil(threshold * n - 1e-9) + 1]:
-                sketch[codes.shape[1]][int(x)].append(at)
-        self.sketch = {k: (np.array(sorted(v), np.uint64), v) for k, v in sketch.items()}
+                part.items[int(x)].append(at)
+        #: shingle length -> partitions by ascending size
+        self.partitions = {k: [parts[b] for b in sorted(parts)] for k, parts in found_in.items()}
+        for parts in self.partitions.values():
+            for part in parts:
+                part.close()
+
+    def fitting(self, k: int, shingles: int) -> list[Partition]:
+        """The partitions that a document with so many shingles of length k can match."""
+        return [part for part in self.partitions[k] if part.least <= shingles]
 
     def matches(self, text: str | None) -> Iterator[tuple[int, float]]:
         words = words_of(text)
@@ -82,17 +106,16 @@ class Items:
         if not codes.any():
             return
         near: set[int] = set()
-        for k, (keys, items) in self.sketch.items():
+        for k in self.partitions:
             if len(codes) < k:
                 continue
             # only runs of k words that all occur in items can be a shingle of one
             known = np.flatnonzero(np.convolve(codes > 0, np.ones(k, np.int64), "valid") == k)
-            if not len(known):
+            if not len(known) or not self.fitting(k, len(known)):
                 continue
             h = np.unique(_mix(codes[known[:, None] + np.arange(k)]))
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for x in h[keys[place] == h]:
-                near.update(items[int(x)])
+            for part in self.fitting(k, len(h)):
+                near.update(part.hits(h))
         if not near:
             return
         have: dict[int, set[bytes]] = {}

@@ -62,10 +62,10 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def _pagerank(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, n), seeds (host, share) with shares that sum to 1 -> (host, ``name``).
+    """Personalised PageRank: edges (src, dst, n), seeds (host, share) -> (host, ``name``), in units of one seed.
 
-    What hosts without links hold goes back to the seeds, which scales all hosts alike: so each round sends on only what came in
-    by the round before, and the sums are divided by their total at the end. Without cycles the last round moves nothing.
+    Every seed starts with its share, so seeds without links change no other host. Each round sends on only what came in
+    by the round before. Without cycles the last round moves nothing.
     """
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = cut_lineage(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
@@ -75,9 +75,9 @@ def _pagerank(edges: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
                  .select(F.col("dst").alias("host"), "in"))
         got = F.coalesce("in", F.lit(0.0))
         rank = cut_lineage(rank.join(moved, "host", "full").select("host", (F.coalesce("r", F.lit(0.0)) + got).alias("r"), got.alias("new")))
-        whole, most = rank.agg(F.sum("r"), F.max(F.col("new") / F.col("r"))).first()      # new / r is 1 for a host not met before
+        most = rank.agg(F.max(F.col("new") / F.col("r"))).first()[0]      # 1 for a host not met before
         if (most or 0.0) < TOLERANCE:
-            return rank.select("host", (F.col("r") / F.lit(whole or 1.0)).alias(name))
+            return rank.select("host", F.col("r").alias(name))
 
 
 def host_scores(ruled: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,9 +86,7 @@ def host_scores(ruled: DataFrame, edges: DataFrame) -> DataFrame:
     counts = cut_lineage(ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b")))
 
     def seeds(column: str) -> DataFrame:
-        some = counts.filter(F.col(column) > 0.5)
-        n = max(1, some.count())
-        return some.select("host", F.lit(1.0 / n).alias("share"))
+        return counts.filter(F.col(column) > 0.5).select("host", F.lit(1.0).alias("share"))
 
     trust = _pagerank(edges, seeds("a"), "trust")
     distrust = _pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("b"), "distrust")

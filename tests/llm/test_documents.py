@@ -168,6 +168,29 @@ def test_leaks_in_parts(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(12)}
 
 
+def test_size_partitions_are_skipped_for_short_documents(monkeypatch):
+    long, short = prose(61, 300), prose(62, 12)
+    items = decontaminate.Items([(1, long), (2, short), (3, "two words")])
+    sizes = {k: [part.least for part in parts] for k, parts in items.partitions.items()}
+    assert sizes == {5: [7, 205], 2: [1]}          # 0.8 of 8 and of 256 shingles
+    assert [part.least for part in items.fitting(5, 204)] == [7] and items.fitting(5, 6) == []
+    searched = []
+    hits = decontaminate.Partition.hits
+    monkeypatch.setattr(decontaminate.Partition, "hits", lambda self, h: searched.append(self.least) or hits(self, h))
+    assert [i for i, _ in items.matches(" ".join(long.split()[:40]) + " " + short)] == [2] and 205 not in searched and 7 in searched
+    searched.clear()
+    assert [i for i, _ in items.matches("so " * 500 + long)] == [1] and 205 in searched
+    for n in range(2, 40):                          # sizes at the borders of partitions
+        text = prose(70 + n, n)
+        words = text.split()
+        whole = decontaminate.Items([(n, text)])
+        for cut in range(n + 1):
+            have = decontaminate.shingles_of(decontaminate.words_of(" ".join(words[:cut])))
+            want = decontaminate.shingles_of(decontaminate.words_of(text))
+            share = len(have & want) / len(want)
+            assert [i for i, _ in whole.matches(" ".join(words[:cut]))] == ([n] if share >= 0.8 - 1e-9 else [])
+
+
 # --- quality
 
 def counts(t):
