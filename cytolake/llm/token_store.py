@@ -55,7 +55,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # the tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True          # their strings in a text are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None      # in a text they are one id each, as the library has it
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
@@ -82,7 +83,7 @@ class Encoder:
         last = b"" if end is None else end.to_bytes(self.width, "little")
         out, new, late = [], set(), []
         for i, t in enumerate(texts):
-            if t and ELSEWHERE.search(t):
+            if t and (ELSEWHERE.search(t) or self.special and self.special.search(t)):
                 out.append(self._bytes([t])[0] + last)
                 continue
             words = SPLIT.findall(t) if t else []
@@ -114,14 +115,18 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample."""
-    sample = (docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("text").orderBy(F.xxhash64("text", "doc_id")).limit(SAMPLE))
+    """A dictionary from the serialized ids of a sample of about ``SAMPLE`` rows: those whose hash is below a bound that the number of rows
+    sets, so every task finds its own; rows that are equal count once."""
+    rows, mark = docs.count(), F.xxhash64("text", "doc_id")
+    bound = (1 << 63) - 1 if rows <= SAMPLE else (SAMPLE << 64) // rows - (1 << 63)
+    sample = (docs.select("text", mark.alias("mark")).filter(F.col("mark") <= bound).filter(F.length("text").between(1, SAMPLE_CHARS))
+              .groupBy("mark").agg(F.first("text").alias("text")).select("text", "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_encoder(tokenizer).encode(batch.column(0).to_pylist()), pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(_encoder(tokenizer).encode(batch.column(0).to_pylist()), pa.binary()), batch.column(1)], names=["ids", "mark"])
 
-    samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").collect()]
+    samples = [bytes(r.ids) for r in sorted(sample.mapInArrow(run, "ids binary, mark bigint").collect(), key=lambda r: r.mark)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:                    # too little to train on: the samples themselves
