@@ -327,14 +327,23 @@ def _sum(model: Model):
     return run
 
 
+def _sample(training: DataFrame) -> list[bytes]:
+    """The symbols of about ``SAMPLE`` training rows: those whose hash is below a bound that the number of rows sets, so every task
+    finds its own and no others leave it; rows that are equal count once."""
+    short, mark = training.filter(F.col("n_tokens") <= SAMPLE_TOKENS), F.xxhash64("doc_id", "n_tokens", "symbols")
+    rows = short.count()
+    bound = (1 << 63) - 1 if rows <= SAMPLE else (SAMPLE << 64) // rows - (1 << 63)
+    chosen = short.select("symbols", mark.alias("mark")).filter(F.col("mark") <= bound).groupBy("mark").agg(F.first("symbols").alias("symbols"))
+    return [bytes(r.symbols) for r in sorted(chosen.collect(), key=lambda r: r.mark)]
+
+
 def fit(table: DataFrame, words: Words) -> tuple[Model, bool]:
     """Train on the rows of TABLE that are not held out; whether the rounds came to rest."""
     seen = words.symbol_counts > 0
     shares = words.symbol_counts + np.where(np.arange(SYMBOLS) < OWN, 0.0, 0.5)
     overall = shares / shares.sum()
     training = table.filter("not held_out")
-    sample = training.filter(F.col("n_tokens") <= SAMPLE_TOKENS).orderBy(F.xxhash64("doc_id", "n_tokens", "symbols")).select("symbols").limit(SAMPLE).collect()
-    model = start(_stretches([bytes(r.symbols) for r in sample]), overall, seen)
+    model = start(_stretches(_sample(training)), overall, seen)
     names, before = [f"c{j}" for j in range(STATES)], None
     for _ in range(ROUNDS):
         sums = (training.select("symbols").mapInArrow(_sum(model), "symbol int, " + ", ".join(f"{c} double" for c in names))
@@ -370,12 +379,12 @@ def _score(model: Model, names: list[str]):
 
 
 def score_table(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; at_rest says whether training ended by ``GAIN``."""
     counts = cut_lineage(word_counts(docs))
     words = summarise(counts)
     rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     table = cut_lineage(rows.mapInArrow(_translate(words), TABLE))
-    model, _ = fit(table, words)
+    model, rested = fit(table, words)
     rare = table.select("at", F.explode("rare").alias("r")).select("at", "r.word", F.col("r.n").alias("times"))
     met = rare.join(counts, "word", "left")
     sums = met.groupBy("at").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"),
@@ -386,4 +395,5 @@ def score_table(docs: DataFrame) -> DataFrame:
     extra, known = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return scored.join(sums, "at", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + known).alias("n_known"), F.lit(words.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("logs") + extra - F.col("n_tokens") * words.base).alias("base_score"), (F.col("hmm") + F.col("shared_logs") + extra).alias("score"))
+        (F.col("logs") + extra - F.col("n_tokens") * words.base).alias("base_score"), (F.col("hmm") + F.col("shared_logs") + extra).alias("score"),
+        F.lit(rested).alias("at_rest"))

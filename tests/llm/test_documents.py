@@ -381,6 +381,19 @@ def test_lm_base_and_columns(docs, none, texts):
     assert all(r.score < 0 for r in got.collect()) and hmm.score_table(none).count() == 0
 
 
+def test_lm_sample_is_bounded_and_whole_where_small(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 10 = 0, 5000L, 7L) AS n_tokens", "encode(CAST(id AS STRING), 'UTF-8') AS symbols")
+    kept = [b"%d" % i for i in range(3000) if i % 10]
+    everything = hmm._sample(rows)
+    monkeypatch.setattr(hmm, "SAMPLE", 200)
+    some = hmm._sample(rows.repartition(7))
+    assert 120 < len(some) < 280 and set(some) < set(kept) and some == hmm._sample(rows.coalesce(1))
+    monkeypatch.setattr(hmm, "SAMPLE", 2700)
+    assert sorted(hmm._sample(rows)) == sorted(kept) and set(everything) < set(kept)
+    same = spark.range(3000).selectExpr("1L AS doc_id", "7L AS n_tokens", "encode('x', 'UTF-8') AS symbols")
+    assert hmm._sample(same) in ([], [b"x"]) and hmm._sample(rows.limit(0)) == []
+
+
 def test_forward_is_exact_and_training_climbs():
     rng = np.random.default_rng(1)
     overall = np.full(hmm.SYMBOLS, 1 / hmm.SYMBOLS)
