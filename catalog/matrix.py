@@ -56,9 +56,29 @@ def i3(s, d):
     return scored.select("sample", "gene", *[r6(c) for c in ("mu", "var", "sd_fit", "score")])
 
 
-@register("i3_variable_features_loess")
+LOCAL = dict(
+    mom=VST["mom"],
+    levels="""SELECT sample, log10(mu) AS x, COUNT(*) AS w, SUM(log10(var)) AS s FROM mom WHERE mu > 0 AND var > 0 GROUP BY 1, 2""",
+    sizes="""SELECT sample, least(SUM(w), greatest(3, ceil(0.3::DOUBLE * SUM(w)))) AS q FROM levels GROUP BY 1""",
+    pairs="""SELECT sample, a.x, a.s / a.w AS own, b.x - a.x AS d, b.w, b.s,
+         SUM(b.w) OVER (PARTITION BY sample, a.x ORDER BY abs(b.x - a.x)) AS reach FROM levels a JOIN levels b USING (sample)""",
+    widths="SELECT sample, x, MIN(abs(d)) AS h FROM pairs JOIN sizes USING (sample) WHERE reach >= q GROUP BY 1, 2",
+    near="""SELECT sample, x, own, w, s, d / h AS u, pow(1 - pow(abs(d / h), 3), 3) AS k FROM pairs JOIN widths USING (sample, x)
+         WHERE h > 0 AND abs(d) < h""",
+    sums="""SELECT sample, x, COUNT(*) AS c, SUM(w*k) AS a0, SUM(w*k*u) AS a1, SUM(w*k*u*u) AS a2, SUM(w*k*u*u*u) AS a3,
+         SUM(w*k*u*u*u*u) AS a4, SUM(s*k) AS b0, SUM(s*k*u) AS b1, SUM(s*k*u*u) AS b2 FROM near GROUP BY 1, 2""",
+    heights="""SELECT sample, levels.x, CASE WHEN c >= 3 THEN (b0*(a2*a4-a3*a3) - b1*(a1*a4-a2*a3) + b2*(a1*a3-a2*a2))
+         / (a0*(a2*a4-a3*a3) - a1*(a1*a4-a2*a3) + a2*(a1*a3-a2*a2)) ELSE s / w END AS height FROM levels LEFT JOIN sums USING (sample, x)""",
+    fit="""SELECT mom.sample, gene, n, nnz, mu, var, sqrt(pow(10, height)) AS sd_fit
+         FROM mom JOIN heights ON mom.sample = heights.sample AND log10(mu) = heights.x WHERE mu > 0 AND var > 0""",
+    scored=VST["scored"])
+
+
+@register("i3_variable_features_loess", sql(
+    f"SELECT sample, gene, {R('sd_fit')}, {R('score')} FROM scored", "counts", "per_sample", **LOCAL))
 def i3_loess(s, d):
-    return normalize.variable_features(cut_lineage(fx.counts(s, d)), fx.cells(s, d), 100, "loess")
+    scored = normalize.standardized_variance(cut_lineage(fx.counts(s, d)), fx.cells(s, d), "loess")
+    return scored.select("sample", "gene", r6("sd_fit"), r6("score"))
 
 
 CONSENSUS = dict(VST, chosen="""SELECT gene FROM ranked GROUP BY 1 ORDER BY COUNT(*) DESC, median(rk), gene LIMIT 50""")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stats import sparse_mean, sparse_variance
-from ..runtime import cut_lineage, salted_join
+from ..runtime import cut_lineage, running_total, salted_join
 from ..schema import CELL_KEY
 
 
@@ -85,37 +85,59 @@ def quadratic_trend(moments: DataFrame, by: Sequence[str] = ("sample",)) -> Data
             .drop("c0", "c1", "c2", "x", "ly"))
 
 
-def loess_trend(moments: DataFrame, by: Sequence[str] = ("sample",), span: float = 0.3,
-                nodes: int = 256) -> DataFrame:
-    """Local quadratic fit of log10 variance on log10 mean with tricube weights.
+def loess_trend(moments: DataFrame, by: Sequence[str] = ("sample",), span: float = 0.3) -> DataFrame:
+    """Local quadratic fit of log10 variance on log10 mean with tricube weights, evaluated at every mean. Adds ``sd_fit``.
 
-    One task holds the gene table of one sample, which is bounded by the feature universe, not by
-    the number of cells. The surface is evaluated at ``nodes`` quantiles and interpolated.
+    Features of equal mean become one level with a count and a sum. The window of a level is its
+    ``ceil(span * features)`` nearest features (3 at least); it reaches at most that many features to either side, so the levels of a
+    sample are cut by running counts into stretches of half a window, and each task gets one stretch and the
+    levels within a window of its edges. No task holds a sample, and nothing is interpolated. A level with
+    fewer than three levels in its window keeps its own mean; features without mean or variance are left out.
     """
     by = list(by)
-    usable = moments.filter((F.col("mu") > 0) & (F.col("var") > 0))
+    usable = moments.filter((F.col("mu") > 0) & (F.col("var") > 0)).withColumn("_x", F.log10("mu"))
+    levels = usable.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w"), F.sum(F.log10("var")).alias("_s"))
+    placed = cut_lineage(running_total(levels, by, [F.col("_x")], F.col("_w"), "_upto"))
+    window = F.least(F.col("_n"), F.greatest(F.lit(3), F.ceil(F.lit(float(span)) * F.col("_n"))))
+    sizes = (placed.groupBy(*by).agg(F.max("_upto").alias("_n"))
+             .select(*by, "_n", window.alias("_q"), F.ceil(window / 2).alias("_step")))
+    start = F.col("_upto") - F.col("_w")
+    first = F.greatest(F.lit(0), F.floor((start - F.col("_q")) / F.col("_step")))
+    last = F.least(F.floor((F.col("_n") - 1) / F.col("_step")), F.ceil((F.col("_upto") + F.col("_q")) / F.col("_step")) - 1)
+    home = F.floor(start / F.col("_step"))
+    sent = salted_join(placed, sizes, by, ["_x"]).withColumn("_chunk", F.explode(F.sequence(first, last))).select(
+        *by, "_chunk", "_x", "_w", "_s", "_q", (home == F.col("_chunk")).alias("_own"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.log10(pdf["mu"].to_numpy()), np.log10(pdf["var"].to_numpy())
-        at = np.unique(np.quantile(x, np.linspace(0, 1, nodes)))
-        order = np.argsort(x, kind="stable")
-        xs, ys = x[order], y[order]
-        q = min(len(xs), max(3, int(np.ceil(span * len(xs)))))
-        height = np.empty(len(at))
-        for i, x0 in enumerate(at):
-            far = np.abs(xs - x0)
-            h = max(np.partition(far, q - 1)[q - 1], 1e-12)
-            w = np.sqrt(np.clip(1 - (far / h) ** 3, 0, None) ** 3)
-            near = w > 0
-            if near.sum() < 1:
-                near, w = far <= h, np.ones(len(xs))
-            d = xs[near] - x0
-            design = np.stack([np.ones_like(d), d, d * d], axis=1) * w[near, None]
-            height[i] = np.linalg.lstsq(design, ys[near] * w[near], rcond=None)[0][0]
-        return pdf.assign(sd_fit=np.sqrt(10.0 ** np.interp(x, at, height)))
-
-    schema = usable.withColumn("sd_fit", F.lit(0.0)).schema
-    return usable.groupBy(*by).applyInPandas(fit, schema)
+        pdf = pdf.sort_values("_x", ignore_index=True)
+        own = pdf["_own"].to_numpy()
+        heights = _local_heights(pdf["_x"].to_numpy(), pdf["_w"].to_numpy(float), pdf["_s"].to_numpy(), int(pdf["_q"].iloc[0]), np.flatnonzero(own))
+        return pdf.loc[own, [*by, "_x"]].assign(_fit=heights)
+
+    fitted = sent.groupBy(*by, "_chunk").applyInPandas(fit, levels.select(*by, "_x", F.col("_s").alias("_fit")).schema)
+    return usable.join(fitted, [*by, "_x"]).withColumn("sd_fit", F.sqrt(F.pow(F.lit(10.0), F.col("_fit")))).drop("_x", "_fit")
+
+
+def _local_heights(x: np.ndarray, w: np.ndarray, s: np.ndarray, q: int, at: np.ndarray) -> np.ndarray:
+    """Fits at the levels ``at`` of rising ``x`` with counts ``w`` and sums ``s``."""
+    before = np.concatenate([[0.0], np.cumsum(w)])
+    right = np.searchsorted(before, before[:-1] + q) - 1       # last level of the least window that begins at each level
+    ends = np.append(x, np.inf)[np.minimum(right, len(x))]
+    heights = s[at] / w[at]
+    for k, i in enumerate(at):
+        h = np.maximum(x[i] - x[:i + 1], ends[:i + 1] - x[i]).min()
+        lo, hi = np.searchsorted(x, x[i] - h, "left"), np.searchsorted(x, x[i] + h, "right")
+        u = (x[lo:hi] - x[i]) / h if h > 0 else np.zeros(0)
+        near = np.abs(u) < 1
+        if near.sum() < 3:
+            continue
+        u, n, y = u[near], w[lo:hi][near], s[lo:hi][near]
+        k3 = (1 - np.abs(u) ** 3) ** 3
+        a0, a1, a2, a3, a4 = ((n * k3 * u ** p).sum() for p in range(5))
+        b0, b1, b2 = ((y * k3 * u ** p).sum() for p in range(3))
+        minors = a2 * a4 - a3 * a3, a1 * a4 - a2 * a3, a1 * a3 - a2 * a2
+        heights[k] = (b0 * minors[0] - b1 * minors[1] + b2 * minors[2]) / (a0 * minors[0] - a1 * minors[1] + a2 * minors[2])
+    return heights
 
 
 def variable_features(counts: DataFrame, cells: DataFrame, n: int = 2000, trend: str = "quadratic",

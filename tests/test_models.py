@@ -64,6 +64,36 @@ def test_loess_and_quadratic_agree_on_a_smooth_trend(spark):
         assert np.abs(got.sd_fit ** 2 / got["var"] - 1).max() < 0.01
 
 
+@pytest.mark.parametrize("ties, span", [(1, 0.3), (4, 0.3), (1, 1.0), (40, 0.1), (1, 0.01)])
+def test_local_trend_is_the_direct_fit_at_every_mean(spark, ties, span):
+    rng = np.random.default_rng(3)
+    mu = np.concatenate([rng.lognormal(0, 1, 240), rng.lognormal(3, .1, 60)])
+    mu = np.repeat(mu[:len(mu) // ties], ties)
+    var = mu ** 1.5 * rng.lognormal(0, .3, len(mu))
+    rows = [(s, g, float(m), float(v)) for s in ("a", "b") for g, (m, v) in enumerate(zip(mu, var))]
+    rows += [("a", 900, 0.0, 1.0), ("a", 901, 1.0, 0.0), ("c", 1, 2.0, 3.0), ("c", 2, 5.0, 7.0), ("d", 1, None, 1.0)]
+    mom = spark.createDataFrame(rows, "sample string, gene bigint, mu double, var double")
+    got = normalize.loess_trend(mom.repartition(5), span=span).toPandas()
+    assert len(got) == 2 * len(mu) + 2 and list(got.columns) == ["sample", "gene", "mu", "var", "sd_fit"]
+    x, y, q = np.log10(mu), np.log10(var), min(len(mu), max(3, int(np.ceil(span * len(mu)))))
+    want = []
+    for x0 in x:
+        d = np.abs(x - x0)
+        h = np.sort(d)[q - 1]
+        near = d < h
+        if len(set(x[near])) < 3:
+            want.append(y[x == x0].mean())
+        else:
+            k = (1 - (d[near] / h) ** 3) ** 3
+            want.append(np.polyfit((x[near] - x0) / h, y[near], 2, w=np.sqrt(k))[2])
+    for s in ("a", "b"):
+        fit = got[got["sample"] == s].sort_values("gene").sd_fit.to_numpy()
+        assert np.allclose(2 * np.log10(fit), want, atol=1e-7)
+    alone = got[got["sample"] == "c"]
+    assert np.allclose(alone.sd_fit ** 2, alone["var"])
+    assert normalize.loess_trend(mom.limit(0)).count() == 0
+
+
 def test_batch_gap_falls_and_one_batch_is_untouched(spark):
     rng = np.random.default_rng(2)
     rows = []
