@@ -404,6 +404,31 @@ def i16(s, d):
     return models.select("region", "n", *[r6(c) for c in ("p2", "m1", "m2", "v1", "v2", "delta_bic")])
 
 
+def _mixture_rounds(rounds: int) -> dict[str, str]:
+    """Plain rounds from the quartiles, one view each."""
+    floor, views = "greatest(v * 1e-3, 1e-9)", {}
+    views["zs"] = "SELECT region, (x - AVG(x) OVER w) / stddev_samp(x) OVER w AS x FROM means WINDOW w AS (PARTITION BY region)"
+    views["p0"] = """SELECT region, COUNT(*) AS n, var_samp(x) AS v, 0.5::DOUBLE AS p2, quantile_disc(x, 0.25) AS m1, quantile_disc(x, 0.75) AS m2,
+        greatest(var_samp(x), 1e-9) AS v1, greatest(var_samp(x), 1e-9) AS v2, 0.0::DOUBLE AS ll FROM zs GROUP BY 1"""
+    for i in range(rounds):
+        views[f"d{i}"] = f"""SELECT *, ln(1 - p2) - (x - m1) * (x - m1) / (2 * v1) - ln(2 * pi() * v1) / 2 AS a,
+            ln(p2) - (x - m2) * (x - m2) / (2 * v2) - ln(2 * pi() * v2) / 2 AS b FROM zs JOIN p{i} USING (region)"""
+        views[f"p{i + 1}"] = f"""SELECT region, n, v, w2 / n AS p2, s1 / w1 AS m1, s2 / w2 AS m2, greatest(q1 / w1 - pow(s1 / w1, 2), {floor}) AS v1,
+            greatest(q2 / w2 - pow(s2 / w2, 2), {floor}) AS v2, ll FROM (SELECT region, n, v, SUM(r) AS w2, SUM(r * x) AS s2, SUM(r * x * x) AS q2,
+            SUM(1 - r) AS w1, SUM((1 - r) * x) AS s1, SUM((1 - r) * x * x) AS q1, SUM(greatest(a, b) + ln(1 + exp(-abs(a - b)))) AS ll
+            FROM (SELECT *, 1 / (1 + exp(least(a - b, 700))) AS r FROM d{i}) GROUP BY 1, 2, 3)"""
+    return views
+
+
+@register("i16_mixture_rounds", sql(
+    "SELECT region, n, " + ", ".join(R(c) for c in ("p2", "m1", "m2", "v1", "v2", "ll")) + " FROM p3",
+    "lognorm", "genes", "regions", **basic.REGION_MEANS, **_mixture_rounds(3)))
+def i16_rounds(s, d):
+    models, _ = regions.region_mixture(regions.region_zscores(basic.region_means(s, d)), rounds=3)
+    return models.select("region", F.col("n").cast("bigint").alias("n"), *[r6(c) for c in ("p2", "m1", "m2", "v1", "v2")],
+                         F.round(F.element_at("ll_path", -1), 6).alias("ll"))
+
+
 ARMS = ["Brand#7p", "Brand#7q", "Brand#10p", "Brand#10q", "Brand#22q"]
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, salted_join
 from ..schema import CELL_KEY
 
 
@@ -52,15 +54,59 @@ def _log_density(x, mean, var):
     return -(x - mean) * (x - mean) / (2 * var) - F.ln(2 * F.lit(3.141592653589793) * var) / 2
 
 
-def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+REST = 1e-9                     # gain in log-likelihood a cell at which a region has come to rest
+MODEL = ("p2", "m1", "m2", "v1", "v2")
+BINS, FAR = 256, 2048           # bins a standard deviation, and the outermost one
+
+
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rounds on the histogram of one region until they rest: at most 2 FAR + 1 rows, whatever the number of cells."""
+    one = pdf.iloc[0]
+    c, t = pdf["_c"].to_numpy(float), pdf["_t"].to_numpy()
+    n, floor = c.sum(), max(one.v1 * 1e-3, 1e-9)
+    p2, m1, m2, v1, v2 = (float(one[k]) for k in MODEL)
+    before = -np.inf
+    while True:
+        a = np.log(max(1 - p2, 1e-300)) - (t - m1) ** 2 / (2 * v1) - np.log(2 * np.pi * v1) / 2
+        b = np.log(max(p2, 1e-300)) - (t - m2) ** 2 / (2 * v2) - np.log(2 * np.pi * v2) / 2
+        like = float(c @ np.logaddexp(a, b))
+        if not like - before > REST / 10 * n:
+            break
+        before = like
+        r = c / (1 + np.exp(np.minimum(a - b, 700.0)))
+        w2, w1, p2 = r.sum(), n - r.sum(), r.sum() / n
+        if w1 > 1e-9:
+            m1 = float((c - r) @ t) / w1
+            v1 = max(float((c - r) @ (t - m1) ** 2) / w1, floor)
+        if w2 > 1e-9:
+            m2 = float(r @ t) / w2
+            v2 = max(float(r @ (t - m2) ** 2) / w2, floor)
+    return pd.DataFrame([[one.region, p2, m1, m2, v1, v2]], columns=["region", *MODEL])
+
+
+def _near_rest(scores: DataFrame, params: DataFrame) -> DataFrame:
+    """Put the parameters where the rounds rest on each region's histogram, which sums over all cells build."""
+    at = (F.col("x") - F.col("m")) / F.sqrt(F.greatest(F.col("v1"), F.lit(1e-18))) * BINS
+    held = salted_join(scores, params.select("region", "m", "v1"), ["region"], CELL_KEY).groupBy(
+        "region", F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), at))).alias("_bin")).agg(
+        F.count("x").alias("_c"), F.avg("x").alias("_t")).filter("_c > 0")
+    found = held.join(params.select("region", *MODEL), "region").groupBy("region").applyInPandas(
+        _settled, params.select("region", *MODEL).schema)
+    return cut_lineage(params.drop(*MODEL).join(found, "region"))
+
+
+def region_mixture(scores: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One versus two Gaussians per region over the cells, all regions in each aggregation.
 
     Returns ``models(region, ..., delta_bic, ll_path)`` and the posterior of the upper component per cell.
-    Each round is one aggregation of sufficient statistics by region (combined before the shuffle);
-    the parameter table has one row per region and is cut off from the previous rounds.
+    The quartiles are the start. Rounds run first on one histogram per region (fixed number of bins, built from all cells), then on
+    the cells until a region's likelihood grows by no more than ``REST`` a cell; only regions that still move take part. So the
+    cells are read a few times, not once for each of hundreds of rounds. ``rounds`` asks instead for that many plain
+    rounds on the cells. Parameters have a row per region and meet the cells in a salted join, which Spark broadcasts if small.
+    A missing score takes no part in the fit and has no posterior.
     """
-    scores = cut_lineage(scores.select(*CELL_KEY, "region", "x"))
     x = F.col("x")
+    scores = cut_lineage(scores.select(*CELL_KEY, "region", "x").filter(x.isNotNull()))
     start = scores.groupBy("region").agg(
         F.count(x).cast("double").alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v"),
         F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
@@ -71,7 +117,7 @@ def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, Data
         F.lit(None).cast("double").alias("ll"), F.array().cast("array<double>").alias("ll_path")))
 
     def expected(p):
-        joined = scores.join(p.select("region", "p2", "m1", "m2", "v1", "v2"), "region")
+        joined = salted_join(scores, p.select("region", *MODEL), ["region"], CELL_KEY)
         tiny = F.lit(1e-300)
         logs = joined.withColumns({        # in logs, so that a cell far from both still leans to the nearer one
             "_a": F.ln(F.greatest(1 - F.col("p2"), tiny)) + _log_density(x, F.col("m1"), F.col("v1")),
@@ -80,13 +126,13 @@ def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, Data
         return logs.withColumns({"r": 1 / (1 + F.exp(F.least(gap, F.lit(700.0)))),
                                  "_l": F.greatest("_a", "_b") + F.log1p(F.exp(-F.abs(gap)))})
 
-    for _ in range(rounds):
+    def step(p):
         r = F.col("r")
-        sums = expected(params).groupBy("region").agg(
+        sums = expected(p).groupBy("region").agg(
             F.sum(r).alias("w2"), F.sum(r * x).alias("s2"), F.sum(r * x * x).alias("q2"),
             F.sum(1 - r).alias("w1"), F.sum((1 - r) * x).alias("s1"), F.sum((1 - r) * x * x).alias("q1"),
             F.sum("_l").alias("_ll"))
-        keep = params.select("region", "n", "m", "v", "m1", "m2", "v1", "v2", "ll_path")
+        keep = p.select("region", "n", "m", "v", "m1", "m2", "v1", "v2", "ll_path")
 
         def mean(w, s, old):
             return F.when(F.col(w) > 1e-9, F.col(s) / F.col(w)).otherwise(F.col(old))
@@ -95,12 +141,26 @@ def region_mixture(scores: DataFrame, rounds: int = 30) -> tuple[DataFrame, Data
             v = F.col(q) / F.col(w) - (F.col(s) / F.col(w)) * (F.col(s) / F.col(w))
             return F.when(F.col(w) > 1e-9, F.greatest(v, floor)).otherwise(F.col(old))
 
-        params = cut_lineage(keep.join(sums, "region").select(
+        return cut_lineage(keep.join(sums, "region").select(
             "region", "n", "m", "v", (F.col("w2") / F.col("n")).alias("p2"),
             mean("w1", "s1", "m1").alias("m1"), mean("w2", "s2", "m2").alias("m2"),
             var("w1", "s1", "q1", "v1").alias("v1"), var("w2", "s2", "q2", "v2").alias("v2"),
             F.col("_ll").alias("ll"), F.concat("ll_path", F.array("_ll")).alias("ll_path")))
 
+    if rounds is None:
+        moving, resting = _near_rest(scores, params), None
+        while not moving.isEmpty():          # ends: the likelihood is bounded, and who stays has gained REST a cell
+            moving = step(moving)
+            earlier = F.try_element_at("ll_path", F.lit(-2))
+            stays = F.coalesce(earlier.isNull() | (F.col("ll") - earlier > REST * F.col("n")), F.lit(False))
+            done = moving.filter(~stays)
+            resting = done if resting is None else resting.unionByName(done)
+            moving = moving.filter(stays)
+        params = params if resting is None else cut_lineage(resting)
+    else:
+        for _ in range(rounds):
+            params = step(params)
+
     upper = F.col("m2") >= F.col("m1")
     posteriors = expected(params).select(
         *CELL_KEY, "region", F.when(upper, F.col("r")).otherwise(1 - F.col("r")).alias("posterior"))

@@ -90,7 +90,7 @@ def marker_figure(datasets: Mapping[str, tuple[DataFrame, DataFrame]], features:
 
 
 def malignant_cells(counts: DataFrame, genes: DataFrame, region_table: DataFrame, watched: Sequence[str],
-                    min_cells: int = 5, clusters: int = 4, rounds: int = 30) -> DataFrame:
+                    min_cells: int = 5, clusters: int = 4, rounds: int | None = None) -> DataFrame:
     """Copy-number call per cell: log2 expression, region means, mixtures, profile clusters, label."""
     values = normalize.to_log2(normalize.log_normalize(counts, scale=1e6), name="v2").drop("v")
     kept = cut_lineage(qc.supported_genes(values, genes, min_cells))

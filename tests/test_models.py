@@ -151,6 +151,31 @@ def test_mixture_likelihood_rises_and_prefers_two_where_planted(spark):
     assert p[:100].mean() < 0.05 and p[100:].mean() > 0.95
 
 
+def test_mixture_rests_where_plain_rounds_lead(spark):
+    rng = np.random.default_rng(6)
+    parts = {"apart": np.r_[rng.normal(-2, .5, 300), rng.normal(2, .5, 100)], "near": np.r_[rng.normal(-1, 1, 200), rng.normal(1.5, .7, 200)],
+             "far": np.r_[rng.normal(0, 1, 399), 60.0], "single": np.array([3.0]), "same": np.full(50, 2.0)}
+    rows = [("s", i, k, float(v)) for k, vs in parts.items() for i, v in enumerate(vs)] + [("s", 999, "near", None), ("s", 1, "none", None)]
+    df = spark.createDataFrame(rows, "sample string, cell_id bigint, region string, x double")
+    models, post = regions.region_mixture(df.repartition(6))
+    got = {r.region: r for r in models.collect()}
+    assert set(got) == set(parts)
+    for k in ("apart", "near"):
+        x, q = np.sort(parts[k]), len(parts[k])
+        p, m, v = .5, np.array([x[q // 4 - 1], x[3 * q // 4 - 1]]), np.full(2, x.var(ddof=1))
+        for _ in range(3000):
+            d = np.array([1 - p, p]) * np.exp(-(x[:, None] - m) ** 2 / (2 * v)) / np.sqrt(2 * np.pi * v)
+            r = d / d.sum(axis=1, keepdims=True)
+            like, w = np.log(d.sum(axis=1)).sum(), r.sum(axis=0)
+            p, m = w[1] / q, (r * x[:, None]).sum(axis=0) / w
+            v = (r * (x[:, None] - m) ** 2).sum(axis=0) / w
+        g = got[k]
+        assert np.allclose([g.p2, g.m1, g.m2, g.v1, g.v2], [p, *m, *v], atol=5e-3) and abs(g.ll_path[-1] - like) < 1e-4
+        assert 2 <= len(g.ll_path) <= 10 and g.ll_path[-1] >= g.ll_path[0] - 1e-9
+    assert post.filter("region = 'apart'").count() == 400
+    assert regions.region_mixture(df.limit(0))[0].count() == 0
+
+
 def test_poisson_lognormal_and_quasi_counts(spark):
     y = np.arange(4000.0)
     assert quantile.poisson_lognormal_pmf(y, 0.5, 1.0).sum() == pytest.approx(1, abs=1e-6)

@@ -75,8 +75,8 @@ def test_same_rows_at_other_partition_counts(spark):
 
 
 @pytest.mark.parametrize("query, module, name, rounds, full", [
-    ("i7_batch_correction", "batch", "harmony", "max_rounds", 10), ("i16_region_mixture", "regions", "region_mixture", "rounds", 30),
-    ("malignant_cells", "analyses", "malignant_cells", "rounds", 30)])
+    ("i7_batch_correction", "batch", "harmony", "max_rounds", 10), ("i16_region_mixture", "regions", "region_mixture", "rounds", None),
+    ("malignant_cells", "analyses", "malignant_cells", "rounds", None)])
 def test_rounds_are_the_operators_own(spark, monkeypatch, query, module, name, rounds, full):
     class Called(Exception):
         pass
