@@ -31,13 +31,25 @@ def clean_cells(counts: DataFrame, genes: DataFrame, metadata: DataFrame | None
     return cut_lineage(reshape.restrict(counts, cells)), cells
 
 
+def choose_features(counts: DataFrame, cells: DataFrame, preset: Preset = HUMAN) -> DataFrame:
+    """Consensus over the groups of ``features_by`` (columns of the cells) of each group's most variable features.
+
+    Cells where such a column is missing belong to no group and have no vote.
+    """
+    by = list(preset.features_by)
+    extra = [c for c in by if c not in counts.columns]
+    if extra:
+        counts = cut_lineage(reshape.attach(counts, cells.select(*CELL_KEY, *extra), CELL_KEY))
+    ranked = normalize.variable_features(counts, cells, preset.n_features, preset.trend, by)
+    return normalize.consensus_features(ranked, preset.n_features)
+
+
 def cluster_cells(counts: DataFrame, cells: DataFrame, preset: Preset = HUMAN) -> tuple[DataFrame, DataFrame]:
     """Features, components, batch correction, graph, communities: ``(clusters, embedding)``.
 
     ``clusters(sample, cell_id, resolution, cluster)`` for every resolution of the preset.
     """
-    chosen = cut_lineage(normalize.consensus_features(
-        normalize.variable_features(counts, cells, preset.n_features), preset.n_features))
+    chosen = cut_lineage(choose_features(counts, cells, preset))
     values = normalize.log_normalize(counts, cells)
     scaled, genes = normalize.scale(values, cells, chosen)
     embedding, _, _ = pca.fit(scaled, genes, cells, preset.n_pcs)

@@ -16,6 +16,8 @@ class Preset:
     ribo_patterns: tuple[str, ...] = ("RPS", "RPL")
     max_doublet_score: float = 0.20
     n_features: int = 2000
+    trend: str = "loess"
+    features_by: tuple[str, ...] = ("sample",)
     n_pcs: int = 50
     dims: int = 20
     batches: tuple[str, ...] = ("sample",)

@@ -1,12 +1,14 @@
 """Components, batch correction, doublets, mixtures and quasi-counts."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cytolake.operators import batch, doublets, normalize, pca, quantile, regions
+from cytolake.plans import analyses, presets
 
 
 def planted_counts(spark, types=2, per=25, doublets_=5, genes=30, samples=("a",), seed=1):
@@ -272,3 +274,18 @@ def test_slopes_are_the_derivatives():
     for (a, b), first, second in ((by_mu, 1, (3, 4)), (by_u, 2, (4, 5))):
         assert np.allclose((b[:, 0] - a[:, 0]) / (2 * e), at[:, first], rtol=1e-5, atol=1e-6)
         assert np.allclose((b[:, 1:3] - a[:, 1:3]) / (2 * e), at[:, second], rtol=1e-4, atol=1e-5)
+
+
+def test_features_follow_the_presets_trend_and_groups(spark):
+    counts, cells = planted_counts(spark)
+    cells = cells.withColumn("patient", F.when(F.col("cell_id") % 7 > 0, F.concat(F.lit("p"), F.col("cell_id") % 3)))
+    preset = presets.Preset(n_features=12)
+    genes = lambda df: [r.gene for r in df.collect()]
+    for trend in ("loess", "quadratic"):
+        want = normalize.consensus_features(normalize.variable_features(counts, cells, 12, trend), 12)
+        assert sorted(genes(analyses.choose_features(counts, cells, replace(preset, trend=trend)))) == sorted(genes(want))
+    known = cells.filter("patient IS NOT NULL")
+    moved = counts.join(known.select("sample", "cell_id", "patient"), ["sample", "cell_id"]).drop("sample").withColumnRenamed("patient", "sample")
+    renamed = known.drop("sample").withColumnRenamed("patient", "sample")
+    want = normalize.consensus_features(normalize.variable_features(moved, renamed, 12, "loess"), 12)
+    assert sorted(genes(analyses.choose_features(counts, cells, replace(preset, features_by=("patient",))))) == sorted(genes(want))
