@@ -449,6 +449,40 @@ def i17_scores(s, d):
     return found.select(*CELL_KEY, *[F.round(F.col(f"`{a}`"), 6).alias(a) for a in ARMS])
 
 
+def _values(columns):
+    return "[" + ", ".join(f'"{c}"' for c in columns) + "]"
+
+
+@register("i17_profile_cut", sql(
+    """SELECT sample, cell_id, profile FROM homes JOIN named USING (id) JOIN ranked USING (c)""", "lognorm", "genes", "regions", **basic.REGION_MEANS,
+    profiles="SELECT sample, cell_id, " + ", ".join(f"""round(MAX(z) FILTER (region = '{a}'), 6) + 0.0 AS "{a}" """ for a in ARMS) + """
+        FROM (SELECT sample, cell_id, region, greatest(-4, least(4, (x - AVG(x) OVER w) / stddev_samp(x) OVER w)) AS z FROM means
+        WINDOW w AS (PARTITION BY region)) GROUP BY 1, 2""",
+    vecs=f"SELECT sample, cell_id, {_values(ARMS)} AS v FROM profiles",
+    span="SELECT MIN(list_min(v)) AS lo, (MAX(list_max(v)) - MIN(list_min(v))) / 4096 AS width FROM vecs",
+    keyed="""SELECT sample, cell_id, v, l, CASE WHEN l = 0 THEN v::VARCHAR ELSE
+        list_transform(v, lambda x: least(floor((x - lo) / width), 4095)::BIGINT >> (l - 1))::VARCHAR END AS leaf FROM vecs, span, range(14) t(l)""",
+    level="SELECT MIN(l) AS l FROM (SELECT l FROM keyed GROUP BY 1 HAVING COUNT(DISTINCT leaf) <= 2048)",
+    leaves="""SELECT *, row_number() OVER (ORDER BY m) AS id FROM (SELECT leaf, ["""
+        + ", ".join(f"AVG(v[{i + 1}])" for i in range(len(ARMS))) + """] AS m FROM keyed JOIN level USING (l) GROUP BY 1)""",
+    homes="SELECT sample, cell_id, v, id FROM keyed JOIN level USING (l) JOIN leaves USING (leaf)",
+    gaps="SELECT a.id AS i, b.id AS j, round(list_distance(a.m, b.m), 9) AS d FROM leaves a JOIN leaves b ON a.id <> b.id",
+    walk="""SELECT 0 AS turn, id, id AS c, 0.0::DOUBLE AS h, 0 AS made FROM leaves UNION ALL
+        SELECT w.turn + 1, w.id, COALESCE(m.low, w.c), COALESCE(m.h, w.h), CASE WHEN m.low IS NULL THEN w.made ELSE w.turn + 1 END FROM walk w LEFT JOIN (
+        SELECT unnest([low, high]) AS x, low, h FROM (SELECT least(c, n) AS low, greatest(c, n) AS high, MIN(d) AS h FROM (
+        SELECT c, n, d FROM (SELECT a.c AS c, b.c AS n, MAX(d) AS d FROM gaps JOIN walk a ON i = a.id JOIN walk b ON j = b.id WHERE a.c <> b.c GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY c ORDER BY d, n) = 1) GROUP BY 1, 2 HAVING COUNT(*) = 2)) m ON m.x = w.c
+        WHERE (SELECT MIN(c) < MAX(c) FROM walk)""",
+    undone="SELECT DISTINCT c, h, made FROM walk WHERE made > 0 ORDER BY h DESC, made DESC, c DESC LIMIT 3",
+    named="""SELECT id, arg_max(w.c, w.made) AS c FROM walk w LEFT JOIN undone u ON w.c = u.c AND w.made = u.made
+        WHERE u.c IS NULL GROUP BY 1""",
+    ranked="""SELECT c, row_number() OVER (ORDER BY AVG(list_sum(list_transform(v, lambda x: abs(x)))), c) AS profile
+        FROM homes JOIN named USING (id) GROUP BY 1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def i17_cut(s, d):
+    """Cut of given scores, so that it can be held against SQL."""
+    return regions.profile_clusters(i17_scores(s, d), ARMS)
+
+
 @register("h12_binary_call", sql(
     "SELECT sample, cell_id, cluster AS profile, CASE WHEN cluster = 1 THEN 'normal' ELSE 'tumor' END AS cand_tumor FROM cells", "cells"))
 def h12(s, d):

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..runtime import cut_lineage, salted_join
 from ..schema import CELL_KEY
@@ -184,19 +183,81 @@ def profile_scores(posteriors: DataFrame, regions: Sequence[str], limit: float =
             .na.fill(0.0, list(regions)))
 
 
-def profile_clusters(profiles: DataFrame, regions: Sequence[str], k: int = 4, seed: int = 7) -> DataFrame:
-    """Hierarchical (bisecting) cut of the profiles into ``k`` clusters, numbered from 1 by rising mean
-    absolute score, so cluster 1 is the flattest profile."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
+LEAVES = 2048                   # cluster features that are merged pair by pair
+DEPTH = 12                      # the finest grid has 2 ** DEPTH cells across the range of the scores
 
-    # z-scores are centred on 0, where the algorithm's first split, relative to the centre's norm, finds no
-    # direction; a constant shift leaves all distances as they are
-    shifted = F.array(*[F.col(f"`{r}`") + F.lit(10.0) for r in regions])
-    rows = cut_lineage(profiles.withColumn("_v", array_to_vector(shifted)))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(rows)
-    found = model.transform(rows)
-    size = reduce(lambda a, b: a + b, [F.abs(F.col(f"`{r}`")) for r in regions])
+
+def cluster_features(rows: DataFrame, leaves: int = LEAVES) -> tuple[DataFrame, Column]:
+    """At most ``leaves`` features ``(_leaf, n, centre)`` of the vectors ``_v``, and the column that names a row's leaf.
+
+    The leaves are the different vectors where these are few enough, else the cells of the finest grid that has few enough filled ones;
+    grids halve from one to the next. Sums make the features, so tasks and partitions merge in any order, and how many
+    rows share a leaf does not matter.
+    """
+    lo, hi = rows.agg(F.min(F.array_min("_v")), F.max(F.array_max("_v"))).first()
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    width = (hi - lo) / 2 ** DEPTH or 1.0
+    fine = F.transform("_v", lambda x: F.least(F.floor((x - lo) / width), F.lit(2 ** DEPTH - 1)).cast("bigint"))
+
+    def grid(by: int) -> Column:
+        return F.transform(fine, lambda b: F.shiftright(b, by))
+
+    keys = [F.col("_v"), *map(grid, range(DEPTH + 1))]
+    about = rows.agg(*[F.approx_count_distinct(F.xxhash64(k), 0.02).alias(f"c{i}") for i, k in enumerate(keys)]).first()
+    dims = rows.select(F.max(F.size("_v"))).first()[0] or 0
+    centre = F.array(*[F.avg(F.col("_v")[i]) for i in range(dims)]).alias("centre")
+    for key, n in zip(keys, about):              # ends: the last grid has one cell
+        if n <= 2 * leaves:
+            features = cut_lineage(rows.groupBy(key.alias("_leaf")).agg(F.count(F.lit(1)).alias("n"), centre))
+            if features.count() <= leaves:
+                break
+    return features, key
+
+
+def _linked(centres: np.ndarray, k: int) -> np.ndarray:
+    """Complete-linkage cut into ``k`` clusters, each named by its first row.
+
+    In a round all pairs that are each other's nearest (ties to the first) merge, which builds the same tree as
+    one merge after another; the ``k`` - 1 highest merges are then left out.
+    """
+    d = np.sqrt(sum((c[:, None] - c[None, :]) ** 2 for c in centres.T)).round(9)
+    np.fill_diagonal(d, np.inf)
+    alive, merges, turn = np.arange(len(centres)), [], 0
+    while len(alive) > 1:
+        near, at = d.argmin(axis=1), np.arange(len(alive))
+        low = np.flatnonzero((near[near] == at) & (at < near))
+        high = near[low]
+        merges += [(h, turn, a, b) for h, a, b in zip(d[low, high], alive[low], alive[high])]
+        d[low] = np.maximum(d[low], d[high])
+        d[:, low] = np.maximum(d[:, low], d[:, high])
+        kept = np.delete(at, high)
+        d, alive, turn = d[np.ix_(kept, kept)], alive[kept], turn + 1
+    name = np.arange(len(centres))
+    for _, _, a, b in sorted(merges)[:max(0, len(centres) - k)]:
+        name[name == name[b]] = min(name[a], name[b])
+    return name
+
+
+def profile_clusters(profiles: DataFrame, regions: Sequence[str], k: int = 4, leaves: int = LEAVES) -> DataFrame:
+    """Hierarchical cut (complete linkage, Euclidean) of the profiles into ``k`` clusters, numbered from 1 by rising mean
+    absolute score, so cluster 1 is the flattest profile.
+
+    All cells build the cluster features; only these, ``leaves`` at most, go into one task for merging. With no more different
+    profiles than that the cut is that of the cells themselves. A missing score counts as 0; fewer different profiles than ``k``
+    give as many clusters.
+    """
+    values = F.array(*[F.coalesce(F.col(f"`{r}`").cast("double"), F.lit(0.0)) + 0.0 for r in regions])
+    rows = cut_lineage(profiles.select(*CELL_KEY, values.alias("_v")))
+    features, leaf = cluster_features(rows, leaves)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: tuple(pdf["centre"].iloc[i]))]
+        return pdf[["_leaf"]].assign(_c=_linked(np.stack(pdf["centre"].to_numpy()), k))
+
+    kind = features.schema["_leaf"].dataType.simpleString()
+    named = features.groupBy().applyInPandas(merge, f"_leaf {kind}, _c bigint")
+    found = cut_lineage(rows.withColumn("_leaf", leaf).join(F.broadcast(named), "_leaf").select(*CELL_KEY, "_v", "_c"))
+    size = F.aggregate("_v", F.lit(0.0), lambda t, x: t + F.abs(x))
     order = found.groupBy("_c").agg(F.avg(size).alias("_s"))
     ranked = order.select("_c", F.row_number().over(W.orderBy("_s", "_c")).alias("profile"))
     return found.join(F.broadcast(ranked), "_c").select(*CELL_KEY, "profile")

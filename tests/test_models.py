@@ -238,6 +238,52 @@ def test_planted_copy_number_gain_is_called(spark):
     assert ((got.cand_tumor == "tumor") == (got.cell_id >= 40)).all()
 
 
+def plain_cut(x, k):
+    """One merge after another, by the largest distance between members."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    name, alive = np.arange(len(x)), len(x)
+    while alive > k:
+        a, b = sorted(divmod(int(d.argmin()), len(x)))
+        d[a] = np.where(np.isinf(d[a]) | np.isinf(d[b]), np.inf, np.maximum(d[a], d[b]))
+        d[:, a] = d[a]
+        d[b] = d[:, b] = np.inf
+        name[name == b] = a
+        alive -= 1
+    return name
+
+
+def pairs_alike(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_profile_cut_equals_the_plain_one_on_1500_cells(spark):
+    rng = np.random.default_rng(3)
+    x = np.clip(rng.normal(0, 1, (1500, 3)) + rng.choice([-2, 0, 3], (1500, 1)), -4, 4)
+    df = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(x)], "sample string, cell_id bigint, a double, b double, c double")
+    got = regions.profile_clusters(df, ["a", "b", "c"]).toPandas().sort_values("cell_id")
+    assert pairs_alike(got.profile, plain_cut(x, 4)[got.cell_id])
+    flat = got.assign(s=np.abs(x).sum(1)).groupby("profile").s.mean()
+    assert flat.is_monotonic_increasing and list(flat.index) == [1, 2, 3, 4]
+
+
+def test_profile_cut_on_cluster_features(spark):
+    rng = np.random.default_rng(4)
+    middle = np.repeat([[0, 0], [3, 3], [-3, 3], [3, -3]], [900, 60, 30, 10], axis=0)
+    x = middle + rng.normal(0, .2, middle.shape)
+    df = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(x)], "sample string, cell_id bigint, a double, b double")
+    got = regions.profile_clusters(df, ["a", "b"], leaves=40).toPandas().sort_values("cell_id")
+    assert pairs_alike(got.profile, np.repeat([0, 1, 2, 3], [900, 60, 30, 10])) and set(got.profile[:900]) == {1}
+
+
+def test_profile_cut_of_copies_missing_scores_and_no_cells(spark):
+    kind = "sample string, cell_id bigint, a double, b double"
+    df = spark.createDataFrame([("s", i, 0.0 if i % 3 else None, -0.0) for i in range(500)] + [("s", 500, 4.0, 4.0)], kind)
+    got = regions.profile_clusters(df, ["a", "b"]).toPandas().sort_values("cell_id")
+    assert len(got) == 501 and list(got.profile) == [1] * 500 + [2]
+    assert regions.profile_clusters(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_quantiles_by_knots_equal_summing_every_count():
     for share, n in ((0.4, 400), (0.9, 60), (0.05, 1500)):
         mu = quantile.scale_of(share, 2.2)
