@@ -167,6 +167,25 @@ def i7(s, d):
     return fixed.select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
+@register("i7_correction_round", sql(
+    """SELECT r.cell_id, r.batch, list(round(r.vec[i] - c, 6) ORDER BY i) AS vec FROM (SELECT cell_id, i, SUM(r * beta) AS c FROM r JOIN betas
+       ON r.batch IS NOT DISTINCT FROM betas.batch AND r.k = betas.k GROUP BY 1, 2) JOIN r USING (cell_id) WHERE r.k = 1 GROUP BY 1, 2""", "vectors",
+    units="SELECT *, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS u FROM vectors",
+    centres="SELECT row_number() OVER (ORDER BY cell_id) AS k, u AS y FROM units ORDER BY cell_id LIMIT 3",
+    e="SELECT cell_id, batch, vec, k, -20 * (1 - list_dot_product(u, y)) AS e FROM units, centres",
+    p="SELECT *, exp(e - MAX(e) OVER (PARTITION BY cell_id)) AS p FROM e",
+    r="SELECT *, p / SUM(p) OVER (PARTITION BY cell_id) AS r FROM p",
+    sums="SELECT batch, k, i, SUM(r) AS o, SUM(r * vec[i]) AS t FROM (SELECT *, unnest(range(1, len(vec) + 1)) AS i FROM r) GROUP BY 1, 2, 3",
+    bases="SELECT k, i, (SUM(t) - SUM(o / (o + 1) * t)) / greatest(SUM(o) - SUM(o * o / (o + 1)), 1e-12) AS base FROM sums GROUP BY 1, 2",
+    betas="SELECT batch, k, i, (t - o * base) / (o + 1) AS beta FROM sums JOIN bases USING (k, i)"))
+def i7_round(s, d):
+    """One round from given centres: memberships, corrections, corrected vectors."""
+    vectors = fx.vectors(s, d)
+    first = [r.vec for r in vectors.orderBy("cell_id").select("cell_id", "vec").limit(3).collect()]
+    fixed = batch.harmony(vectors, ["batch"], lam=1.0, max_rounds=1, cluster_rounds=1, centres=first)
+    return fixed.select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
 # ---- graphs over the embedding vectors
 
 def brute(points: str, k: str, by: str = "sample") -> dict:

@@ -114,6 +114,20 @@ def test_batch_gap_falls_and_one_batch_is_untouched(spark):
     assert same.orderBy("cell_id").first().vec == rows[0][4]
 
 
+def test_correction_with_the_model_as_a_table_equals_the_one_in_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [("s", i, ["x", "y", None][i % 3], "t" if i % 2 else "n", [float(v) for v in rng.normal(i % 3 + 2 * (i % 5), 1, 4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "sample string, cell_id bigint, batch string, tumor string, vec array<double>")
+    for by in (["batch"], ["batch", "tumor"]):
+        found, traces = [], []
+        for size in (batch.MODEL, 0):
+            traces.append([])
+            fixed = batch.harmony(df, by, max_rounds=2, cluster_rounds=2, n_clusters=4, trace=traces[-1], model_size=size)
+            found.append(fixed.orderBy("cell_id").toPandas())
+        assert np.allclose(np.stack(found[0].vec), np.stack(found[1].vec), atol=1e-9) and np.allclose(*traces)
+        assert [r.batch for r in fixed.orderBy("cell_id").collect()] == [r[2] for r in rows]
+
+
 def test_planted_doublets_score_above_singlets(spark):
     counts, cells = planted_counts(spark)
     rates = spark.createDataFrame([("a", 0.1)], "sample string, doublet_rate double")
