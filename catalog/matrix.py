@@ -6,8 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions, shares
-from cytolake.plans import analyses, label_maps
+from cytolake.operators import batch, doublets, graph, labels, markers, normalize, pca, qc, quantile, regions, reshape, shares
+from cytolake.plans import analyses, atlas, label_maps
 from cytolake.plans.presets import PRESETS
 from cytolake.runtime import cut_lineage
 from cytolake.schema import CELL_KEY
@@ -619,6 +619,87 @@ def marker_figure(s, d):
     return found.select(F.col("_key").alias("key"), "grp", "kind", "gene", "n_cells", r6("avg_exp"), r6("pct_exp"))
 
 
+SETS = ["pa", "thyroid", "lung", "pancreas", "colon", "ovary", "mpnst", "skin", "hgg", "gbm_astrocytoma"]
+OTHER_SAMPLES = {"pa": ["PA_c", "PA_a", "PA_b"], "hgg": ["DIPG", "GBM", "Adjacent"], "gbm_astrocytoma": ["Astrocytoma", "GBM_1"]}
+# names and IDs written out or by rule, for the SQL alone
+SAMPLES_SQL = """SELECT 0 AS ds, i - 1 AS i, s AS sample, id FROM (SELECT unnest(['PA_c', 'PA_a', 'PA_b']) AS s,
+    unnest(['Tumor_Brain3', 'Tumor_Brain1', 'Tumor_Brain2']) AS id, unnest([1, 2, 3]) AS i)
+    UNION ALL SELECT 1, i - 1, s, CASE WHEN i <= 12 THEN 'Tumor_Thyroid' || i ELSE 'Normal_Thyroid' || (i - 12) END FROM (SELECT unnest(['PT3', 'PT5', 'PT7',
+    'PT8', 'PT9', 'PT10', 'PT12', 'AT9', 'AT13', 'AT16', 'AT17', 'AT20', 'Thy05', 'Thy06', 'N3-GEX']) AS s, unnest(range(1, 16)) AS i)
+    UNION ALL SELECT 2, i - 1, s, CASE WHEN i <= 11 THEN 'Tumor_Lung' || i ELSE 'Normal_Lung' || (i - 11) END FROM (SELECT unnest(['P1_TI', 'P1_TM', 'P2_TI',
+    'P2_TM', 'P3_TI1', 'P3_TI2', 'P3_TM1', 'P3_TM2', 'P4_TI', 'P4_TS1', 'P4_TS2', 'P1_NI', 'P1_NM', 'P2_NI', 'P2_NM', 'P3_NI', 'P3_NM', 'P4_NI',
+    'P4_NS']) AS s, unnest(range(1, 20)) AS i)
+    UNION ALL SELECT 3, i - 1, 'Primary00' || i, 'Tumor_Pancreas' || i FROM range(1, 4) t(i)
+    UNION ALL SELECT 4, i - 1, 'T_cac' || i, 'Tumor_Colon' || i FROM range(1, 17) t(i)
+    UNION ALL SELECT 4, 15 + i, 'B_cac' || n, 'Normal_Colon' || i FROM (SELECT unnest([4, 6, 7, 10, 11, 14, 15]) AS n, unnest(range(1, 8)) AS i)
+    UNION ALL SELECT 5, i - 1, 'HGSOC' || i, 'Tumor_Ovary' || i FROM range(1, 8) t(i)
+    UNION ALL SELECT 5, 6 + i, 'Normal' || i, 'Normal_Ovary' || i FROM range(1, 6) t(i)
+    UNION ALL SELECT 6, i - 1, CASE WHEN i < 3 THEN 'biopsy' || i ELSE 'resection' || (i - 2) END, 'Tumor_MPNST' || i FROM range(1, 7) t(i)
+    UNION ALL SELECT 7, i - 1, CASE WHEN i < 7 THEN 'Acral' || i ELSE 'Cutaneous' || (i - 6) END, 'Tumor_Skin' || i FROM range(1, 10) t(i)
+    UNION ALL SELECT 8, i, s, id FROM (SELECT unnest(['DIPG', 'GBM', 'Adjacent']) AS s, unnest(['DIPG', 'GBM', 'Others']) AS id, unnest([0, 1, 2]) AS i)
+    UNION ALL SELECT 9, i, s, id FROM (SELECT unnest(['Astrocytoma', 'GBM_1']) AS s,
+    unnest(['Tumor_Brain_LGG_Astrocytoma', 'Tumor_Brain_HGG_GBM']) AS id, unnest([0, 1]) AS i)"""
+
+
+def ten_sets(s, d):
+    """The customers as the cells of ten datasets, with the samples these have and, where samples are listed, one that is not."""
+    cells, out = fx.cells(s, d), {}
+    for at, name in enumerate(SETS):
+        known = OTHER_SAMPLES.get(name) or [*label_maps.sample_ids(name), "unlisted"]
+        place = F.get(F.array(*map(F.lit, known)), F.floor(F.col("cell_id") / 10).cast("int") % len(known))
+        own = cells.filter(F.col("cell_id") % 10 == at).select("cell_id", place.alias("sample"), F.col("grp").alias("celltype_broad"))
+        if name == "colon":
+            own = own.withColumn("condition", F.when(F.col("sample").startswith("B_"), "Normal").otherwise("Cancer"))
+        if name == "hgg":
+            own = own.select("cell_id", "sample", F.col("sample").alias("tumor"), F.col("celltype_broad").alias("celltype"))
+        out[name] = own
+    return out
+
+
+@register("atlas_union", sql(
+    """SELECT dataset, cell_id, sample, id AS "ID", tumor, tissue, celltype_broad, tissue1, list_position(['Brain', 'Thyroid', 'Lung', 'Pancreas', 'Colon',
+       'Ovary', 'MPNST', 'Skin'], tissue1)::INTEGER AS tissue1_ord FROM (SELECT *, CASE WHEN ds IN (0, 8, 9) OR id = 'Others' THEN 'Brain'
+       ELSE ['', 'Thyroid', 'Lung', 'Pancreas', 'Colon', 'Ovary', 'MPNST', 'Skin'][ds + 1] END AS tissue1 FROM placed)
+       WHERE NOT (ds = 8 AND id = 'Others') AND NOT (ds IN (1, 2, 4, 5) AND tumor = 'Normal')""", "cells",
+    names=SAMPLES_SQL,
+    listed="SELECT ds, i, sample, id FROM names UNION ALL SELECT ds, MAX(i) + 1, 'unlisted', 'Others' FROM names WHERE ds BETWEEN 1 AND 7 GROUP BY 1",
+    sizes="SELECT ds, COUNT(*) AS n FROM listed GROUP BY 1",
+    placed="""SELECT ['pa', 'thyroid', 'lung', 'pancreas', 'colon', 'ovary', 'mpnst', 'skin', 'hgg', 'gbm_astrocytoma'][ds + 1] AS dataset, ds, cell_id,
+        l.sample, id, grp AS celltype_broad, CASE WHEN ds = 8 THEN 'Brain' END AS tissue, CASE WHEN ds = 8 THEN 'Tumors'
+        WHEN id LIKE 'Normal%' OR (ds IN (1, 2, 5) AND id = 'Others') THEN 'Normal' ELSE 'Tumor' END AS tumor
+        FROM cells c JOIN sizes ON c.cell_id % 10 = ds JOIN listed l USING (ds) WHERE l.i = (cell_id // 10) % n"""))
+def atlas_union(s, d):
+    """Ten annotated datasets: IDs, tumour cells, union, tissue."""
+    found = atlas.whole_atlas(ten_sets(s, d))
+    return found.select("dataset", "cell_id", "sample", "ID", "tumor", "tissue", "celltype_broad", "tissue1", "tissue1_ord")
+
+
+@register("atlas_pathology", sql(
+    """SELECT cell_id, p AS "Pathology", list_position(['PA', 'DIPG', 'Grade II Astrocytoma', 'GBM'], p)::INTEGER AS "Pathology_ord", t AS celltype_broad1,
+       COALESCE(p, 'NA') || '_' || t AS "Pathology_celltype" FROM (SELECT cell_id, CASE cluster % 5 WHEN 0 THEN 'PA' WHEN 1 THEN 'DIPG'
+       WHEN 2 THEN 'Grade II Astrocytoma' WHEN 3 THEN 'GBM' END AS p, CASE cell_id % 3 WHEN 0 THEN 'TAM' WHEN 1 THEN 'Oligodendrocyte' ELSE 'Tumor' END AS t
+       FROM cells)""", "cells"))
+def atlas_pathology(s, d):
+    """Myeloid cells, oligodendrocytes and tumour cells of several pathologies, one of them unknown, under a joint key."""
+    cells = fx.cells(s, d).withColumn("ID", F.get(F.array(*map(F.lit, ["PA", "DIPG", "Astrocytoma", "GBM", "Medulloblastoma"])), F.col("cluster") % 5))
+    parts = [cells.filter(F.col("cell_id") % 3 == i).withColumn("celltype_broad", F.lit(t)) for i, t in enumerate(["TAM", "Oligo", "Tumor"])]
+    return atlas.with_pathology(reshape.unite(*parts)).select("cell_id", "Pathology", "Pathology_ord", "celltype_broad1", "Pathology_celltype")
+
+
+MOUSE_IDS = ["Het_PA", "Normal_PA", "Tumor_Colon", "Tumor_GBM", "Tumor_PA", "Tumor_Pancreas1", "Tumor_Pancreas2", "Tumor1_Pancreas3",
+             "Tumor2_Pancreas3", "Tumor1_MB", "Tumor2_MB", "Tumor3_MB", "Tumor1_Skin", "Tumor2_Skin", "WT_Colon", "else"]
+
+
+@register("atlas_mouse_labels", sql(
+    """SELECT cell_id, tissue AS tumor_tissue, CASE WHEN tissue IN ('Tumor_ON', 'GBM', 'MB') THEN 'Brain' ELSE substr(tissue, 7) END AS new_label,
+       CASE WHEN tissue IN ('GBM', 'MB') THEN 'HGG' WHEN tissue = 'Tumor_ON' THEN 'LGG' END AS "HGG" FROM (SELECT cell_id, CASE
+       WHEN i = 2 THEN 'Tumor_Colon' WHEN i = 3 THEN 'GBM' WHEN i = 4 THEN 'Tumor_ON' WHEN i BETWEEN 5 AND 8 THEN 'Tumor_Pancreas' WHEN i BETWEEN 9 AND 11 THEN 'MB'
+       WHEN i IN (12, 13) THEN 'Tumor_Skin' END AS tissue FROM (SELECT cell_id, cell_id % 16 AS i FROM cells)) WHERE tissue IS NOT NULL""", "cells"))
+def atlas_mouse(s, d):
+    cells = fx.cells(s, d).withColumn("ID", F.get(F.array(*map(F.lit, MOUSE_IDS)), (F.col("cell_id") % 16).cast("int")))
+    return atlas.mouse_tumors(cells).select("cell_id", "tumor_tissue", "new_label", "HGG")
+
+
 @register("malignant_cells")
 def malignant(s, d):
     """Copy-number call from counts to label."""

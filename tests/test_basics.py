@@ -153,3 +153,22 @@ def test_every_cell_is_a_parent_when_the_step_divides_the_cells(spark):
     pairs = doublets.synthetic_pairs(spark.range(310).select(F.lit("s").alias("sample"), F.col("id").alias("cell_id")), 2.0)
     used = [r["count"] for r in pairs.groupBy("parent").count().collect()]
     assert len(used) == 310 and min(used) >= 3 and max(used) <= 6
+
+
+def test_sample_ids_of_listed_other_and_missing_samples(spark):
+    from cytolake.plans import atlas
+    lung = spark.createDataFrame([(1, "P1_TI"), (2, "P4_NS"), (3, "P9_TX"), (4, None)], "cell_id int, sample string")
+    got = {r.cell_id: (r.ID, r.tumor) for r in atlas.with_ids(lung, "lung").collect()}
+    assert got == {1: ("Tumor_Lung1", "Tumor"), 2: ("Normal_Lung8", "Normal"), 3: ("Others", "Normal"), 4: ("Others", None)}
+    pa = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None)], "cell_id int, sample string")
+    assert {r.cell_id: r.ID for r in atlas.with_ids(pa, "pa").collect()} == {1: "Tumor_Brain2", 2: "Tumor_Brain1", 3: "Tumor_Brain2", 4: None}
+    assert atlas.whole_atlas({"lung": lung, "pa": pa}).count() == 5          # the listed tumour sample, and all of pa
+    assert atlas.whole_atlas({"lung": lung.limit(0)}).count() == 0
+
+
+def test_tissue_order_and_pathology_of_unknown_ids(spark):
+    from cytolake.plans import atlas
+    ids = spark.createDataFrame([("Tumor_Skin3",), ("GBM",), (None,)], "ID string")
+    assert [(r.tissue1, r.tissue1_ord) for r in atlas.with_tissue(ids).collect()] == [("Skin", 8), ("Brain", 1), (None, None)]
+    cells = spark.createDataFrame([("Astrocytoma", "Oligo"), ("MB", "TAM"), (None, None)], "ID string, celltype_broad string")
+    assert [r.Pathology_celltype for r in atlas.with_pathology(cells).collect()] == ["Grade II Astrocytoma_Oligodendrocyte", "NA_TAM", "NA_NA"]
