@@ -10,8 +10,8 @@ tasks; the rest meets its counts in one join by word, in which no word is hot, s
 
 Training: starting values come from a bounded sample; each round then reads all training documents, every task adds up expected
 counts (forwards and backwards over stretches of ``STRETCH`` tokens), Spark sums them over all tasks, and the model, of
-bounded size, is set from the sums. Rounds end when the likelihood grows by less than ``GAIN`` a token, or after ``ROUNDS``; ``fit``
-says which. Scoring runs the scaled forward recursion over every whole document.
+bounded size, is set from the sums. Rounds end when the likelihood grows by less than ``GAIN`` a token, however many they are; it
+is bounded, so they end. Scoring runs the scaled forward recursion over every whole document.
 
 Edge cases: a null text is an empty one, its only token the end; a null doc_id is hashed as an empty text; without training
 documents no word is known and all models are uniform; repeated rows count as often as they occur and are scored each.
@@ -33,7 +33,7 @@ from cytolake.runtime import cut_lineage, number_rows
 
 STATES, OWN, SHARED, COMMON = 6, 1 << 14, 1 << 13, 1 << 17
 STRETCH, SAMPLE, SAMPLE_TOKENS = 512, 2000, 4096
-ROUNDS, GAIN = 4, 2e-3
+GAIN = 2e-3
 START_ROUNDS = 20
 FLUSH = 1 << 19
 SYMBOLS = OWN + SHARED + 1
@@ -337,19 +337,19 @@ def _sample(training: DataFrame) -> list[bytes]:
     return [bytes(r.symbols) for r in sorted(chosen.collect(), key=lambda r: r.mark)]
 
 
-def fit(table: DataFrame, words: Words) -> tuple[Model, bool]:
-    """Train on the rows of TABLE that are not held out; whether the rounds came to rest."""
+def fit(table: DataFrame, words: Words) -> tuple[Model, int]:
+    """Train on the rows of TABLE that are not held out until the rounds rest; how many there were."""
     seen = words.symbol_counts > 0
     shares = words.symbol_counts + np.where(np.arange(SYMBOLS) < OWN, 0.0, 0.5)
     overall = shares / shares.sum()
     training = table.filter("not held_out")
     model = start(_stretches(_sample(training)), overall, seen)
-    names, before = [f"c{j}" for j in range(STATES)], None
-    for _ in range(ROUNDS):
+    names, before, rounds = [f"c{j}" for j in range(STATES)], None, 0
+    while True:
         sums = (training.select("symbols").mapInArrow(_sum(model), "symbol int, " + ", ".join(f"{c} double" for c in names))
                 .groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).collect())
         if not sums:
-            return model, True
+            return model, rounds
         emit, step, first = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
         like = 0.0
         for r in sums:
@@ -362,11 +362,10 @@ def fit(table: DataFrame, words: Words) -> tuple[Model, bool]:
                 first = np.array(row)
             else:
                 step[-2 - r.symbol] = row
-        model = maximise(first, step, emit, overall, seen)
-        if before is not None and like - before < GAIN:
-            return model, True
+        model, rounds = maximise(first, step, emit, overall, seen), rounds + 1
+        if before is not None and not like - before >= GAIN:
+            return model, rounds
         before = like
-    return model, False
 
 
 def _score(model: Model, names: list[str]):
@@ -379,12 +378,12 @@ def _score(model: Model, names: list[str]):
 
 
 def score_table(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; at_rest says whether training ended by ``GAIN``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; rounds counts those over all training text."""
     counts = cut_lineage(word_counts(docs))
     words = summarise(counts)
     rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     table = cut_lineage(rows.mapInArrow(_translate(words), TABLE))
-    model, rested = fit(table, words)
+    model, rounds = fit(table, words)
     rare = table.select("at", F.explode("rare").alias("r")).select("at", "r.word", F.col("r.n").alias("times"))
     met = rare.join(counts, "word", "left")
     sums = met.groupBy("at").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"),
@@ -396,4 +395,4 @@ def score_table(docs: DataFrame) -> DataFrame:
     return scored.join(sums, "at", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + known).alias("n_known"), F.lit(words.tokens).cast("bigint").alias("train_tokens"),
         (F.col("logs") + extra - F.col("n_tokens") * words.base).alias("base_score"), (F.col("hmm") + F.col("shared_logs") + extra).alias("score"),
-        F.lit(rested).alias("at_rest"))
+        F.lit(rounds).alias("rounds"))
