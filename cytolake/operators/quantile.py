@@ -198,6 +198,7 @@ def scale_of(zero_share: float, shape: float) -> float:
     return float(lo)
 
 
+TABLES = 1 << 24     # quantiles a task keeps
 EXACT = 256          # counts below this are summed one by one
 KNOTS = 16           # for each doubling of the counts beyond
 
@@ -260,27 +261,31 @@ def quasi_counts(values: DataFrame, n_genes: int, shape: float = 2.2, value: str
 
     The scale of a cell is the mu that gives its share of zeros (half a zero where it has none); with ``mus``, the greatest of
     those whose zero probability is not below that share, or the least one. Value ranks ``(values <= v) / (non-zeros + 1)`` go
-    to the zero-truncated distribution. Cells with as many non-zeros share a scale and quantiles; rows come sorted by that number,
-    so a task works each out once.
+    to the zero-truncated distribution. Cells with as many non-zeros share a scale and quantiles, which a task keeps up to
+    ``TABLES`` numbers, so rows need no sort by that number.
     """
     grid = None if mus is None else np.sort(np.asarray(mus, dtype=float))
 
-    # per-cell window: a cell has at most n_genes rows
-    cell = W.partitionBy(*CELL_KEY)
-    placed = values.withColumn("_nnz", F.count(F.lit(1)).over(cell)).withColumn(
-        "_le", F.count(F.lit(1)).over(cell.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))).sortWithinPartitions("_nnz")
+    # per-cell window: a cell has at most n_genes rows; both counts share one sort
+    cell = W.partitionBy(*CELL_KEY).orderBy(value)
+    placed = values.withColumns({"_nnz": F.count(F.lit(1)).over(cell.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+                                 "_le": F.count(F.lit(1)).over(cell.rangeBetween(W.unboundedPreceding, W.currentRow))})
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, mu, table = None, 0.0, np.empty(0)
+        known: dict[int, tuple[float, np.ndarray]] = {}
+        held = 0
         zero = None if grid is None else np.array([poisson_lognormal_pmf(np.zeros(1), m, shape)[0] for m in grid])
         for pdf in batches:
             nnz, le = pdf["_nnz"].to_numpy(), pdf["_le"].to_numpy()
             scales, out = np.empty(len(pdf)), np.empty(len(pdf), np.int64)
             for n in np.unique(nnz):
-                if n != now:
+                if n not in known:
                     share = max(1 - n / n_genes, 0.5 / n_genes)
                     mu = scale_of(share, shape) if grid is None else grid[max(0, int((zero >= 1 - n / n_genes).sum()) - 1)]
-                    now, table = n, quantiles(mu, shape, np.arange(1, n + 1) / (n + 1.0))
+                    known[n], held = (mu, quantiles(mu, shape, np.arange(1, n + 1) / (n + 1.0))), held + int(n)
+                    while held > TABLES and len(known) > 1:      # the oldest go first
+                        held -= len(known.pop(next(iter(known)))[1])
+                mu, table = known[n]
                 rows = nnz == n
                 scales[rows], out[rows] = mu, table[le[rows] - 1]
             yield pdf.drop(columns=["_nnz", "_le"]).assign(mu=scales, **{name: out})

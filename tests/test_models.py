@@ -349,3 +349,15 @@ def test_features_follow_the_presets_trend_and_groups(spark):
     renamed = known.drop("sample").withColumnRenamed("patient", "sample")
     want = normalize.consensus_features(normalize.variable_features(moved, renamed, 12, "loess"), 12)
     assert sorted(genes(analyses.choose_features(counts, cells, replace(preset, features_by=("patient",))))) == sorted(genes(want))
+
+
+def test_quasi_counts_sort_once_and_tables_may_be_dropped(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [("s", c, g, int(rng.integers(1, 30))) for c in range(40) for g in range(5 + c % 9)]
+    values = spark.createDataFrame(rows, "sample string, cell_id bigint, gene bigint, cnt bigint")
+    kept = {(r.cell_id, r.gene): (r.mu, r.qumi) for r in quantile.quasi_counts(values, 60, value="cnt").collect()}
+    monkeypatch.setattr(quantile, "TABLES", 10, raising=False)
+    found = quantile.quasi_counts(values, 60, value="cnt")
+    assert {(r.cell_id, r.gene): (r.mu, r.qumi) for r in found.collect()} == kept and len(kept) == len(rows)
+    plan = quantile.quasi_counts(values, 60, value="cnt")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
