@@ -10,7 +10,7 @@ from ..functions.text import mangle_name
 from ..runtime import cut_lineage
 
 #: Default sample name: the folder that holds the file.
-FOLDER = r"([^/]+)/[^/]+$"
+FOLDER = r"^(?:.*/)?([^/]+)/[^/]+$"
 
 
 def sample_from_path(pattern: str = FOLDER) -> Column:
@@ -19,7 +19,7 @@ def sample_from_path(pattern: str = FOLDER) -> Column:
 
 
 def _unquoted(c: Column) -> Column:
-    return F.regexp_replace(c, '^"|"$', "")
+    return F.when(F.contains(c, F.lit('"')), F.regexp_replace(c, '^"|"$', "")).otherwise(c)
 
 
 def read_dense(spark: SparkSession, path: str | Sequence[str], sep: str = ",", sample: str | Column = FOLDER,
@@ -30,9 +30,10 @@ def read_dense(spark: SparkSession, path: str | Sequence[str], sep: str = ",", s
     name above the gene column. ``drop`` leaves out columns that hold no cells.
 
     Lines are split and exploded with their column number, zeros dropped, and only then matched to the
-    header's names by (file, number): an ordinary join on sparse rows, whatever the matrix width.
+    header's names by (file, number): an ordinary join on sparse rows, whatever the matrix width. A sample
+    name taken from the path comes with the header's names, so the path is searched once per cell, not once per value.
     """
-    name = sample_from_path(sample) if isinstance(sample, str) else sample
+    by_path = isinstance(sample, str)
     place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
@@ -40,7 +41,8 @@ def read_dense(spark: SparkSession, path: str | Sequence[str], sep: str = ",", s
     header = cut_lineage(lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min_by("value", "_at").alias("value")))
     shift = 0 if corner else 1
     cells = header.select("_file", F.posexplode(F.split("value", _literal(sep))).alias("_p", "_c")).select(
-        "_file", (F.col("_p") + shift).alias("_p"), _unquoted(F.col("_c")).alias("cell_id"))
+        "_file", (F.col("_p") + shift).alias("_p"), _unquoted(F.col("_c")).alias("cell_id"),
+        *([F.regexp_extract("_file", sample, 1).alias("sample")] if by_path else []))
     cells = cells.filter(F.col("_p") > 0).filter(~F.col("cell_id").isin(list(drop)) if drop else F.lit(True))
     if mangle_names:
         cells = cells.withColumn("cell_id", mangle_name("cell_id"))
@@ -52,9 +54,10 @@ def read_dense(spark: SparkSession, path: str | Sequence[str], sep: str = ",", s
     gene = F.when(F.col("value").startswith('"'), quoted).otherwise(F.substring_index("value", sep, 1))
     rest = F.when(F.col("value").startswith('"'), F.regexp_replace("value", '^"[^"]*"', "")).otherwise(
         F.expr("substring(value, length(substring_index(value, '%s', 1)) + 1)" % sep.replace("\t", "\\t")))
-    long = body.select(F.col("_metadata.file_path").alias("_file"), name.alias("sample"), gene.alias("gene"),
+    own = [] if by_path else [sample.alias("sample")]
+    long = body.select(F.col("_metadata.file_path").alias("_file"), *own, gene.alias("gene"),
                        F.posexplode(F.split(rest, _literal(sep))).alias("_p", "_v"))
-    found = long.select("_file", "sample", "gene", "_p", _unquoted(F.col("_v")).try_cast("double").alias("cnt"))
+    found = long.withColumn("cnt", _unquoted(F.col("_v")).try_cast("double")).drop("_v")
     return found.filter((F.col("_p") > 0) & (F.col("cnt") != 0)).join(cells, ["_file", "_p"]).select(
         "sample", "cell_id", "gene", "cnt")
 

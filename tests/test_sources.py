@@ -27,6 +27,15 @@ def test_dense_tsv_gz_short_header_dropped_column_and_names(spark, tmp_path):
     assert got == [("S", "x.1", "g1", 1.0), ("S", "x.2", "g2", 2.0)]
 
 
+def test_dense_reader_searches_the_path_once_per_cell_name(spark, tmp_path):
+    (tmp_path / "S").mkdir()
+    (tmp_path / "S" / "m.csv").write_text('"",c1,"c2\n"g1","2",0\ng2,0,3"\n')
+    found = mx.read_dense(spark, f"{tmp_path}/S/m.csv")
+    searches = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "/[^/]+$" in x]
+    assert searches and not any("cnt" in x for x in searches)          # not beside the values
+    assert rows(found) == [("S", "c1", "g1", 2.0), ("S", "c2", "g2", 3.0)]
+
+
 def test_triplet_folders(spark, tmp_path):
     for s in ("P1", "P2"):
         (tmp_path / s).mkdir()
