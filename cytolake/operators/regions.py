@@ -28,22 +28,23 @@ def region_means(values: DataFrame, factors: DataFrame, placed: DataFrame, min_g
     """Mean over a region's genes of (expression - normalising factor), for every cell and region.
 
     The region list is a scalar subquery (one array of a few dozen names), exploded on the cells,
-    so zero-only regions appear without joining cells with regions.
+    so zero-only regions appear without joining cells with regions. A cell's sums meet it as one map of as many entries,
+    so what is joined has a row per cell, not one per cell and region.
     """
     sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n_genes")).filter(
         F.col("n_genes") >= min_genes)
     listed = sizes.agg(F.collect_list(F.struct("region", "n_genes"))).scalar()
     sums = values.join(placed.select("gene", "region"), "gene").groupBy(*CELL_KEY, "region").agg(
-        F.sum(value).alias("_s"))
-    grid = factors.select(*CELL_KEY, "norm_factor", F.explode(listed).alias("_r")).select(
-        *CELL_KEY, "norm_factor", "_r.region", "_r.n_genes")
-    return grid.join(sums, [*CELL_KEY, "region"], "left").select(
-        *CELL_KEY, "region",
-        (F.coalesce("_s", F.lit(0.0)) / F.col("n_genes") - F.col("norm_factor")).alias("x"))
+        F.sum(value).alias("_s")).filter(F.col("region").isNotNull())
+    held = sums.groupBy(*CELL_KEY).agg(F.map_from_entries(F.collect_list(F.struct("region", "_s"))).alias("_held"))
+    grid = factors.join(held, CELL_KEY, "left").select(*CELL_KEY, "norm_factor", "_held", F.explode(listed).alias("_r"))
+    found = F.coalesce(F.try_element_at("_held", F.col("_r.region")), F.lit(0.0))
+    return grid.select(*CELL_KEY, "_r.region", (found / F.col("_r.n_genes") - F.col("norm_factor")).alias("x"))
 
 
 def region_zscores(means: DataFrame) -> DataFrame:
-    """z-score of each region over the cells."""
+    """z-score of each region over the cells. The means are written down, since they are read twice."""
+    means = cut_lineage(means)
     stats = means.groupBy("region").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"))
     return means.join(stats, "region").withColumn(
         "x", F.coalesce(F.try_divide(F.col("x") - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
@@ -197,14 +198,18 @@ def cluster_features(rows: DataFrame, leaves: int = LEAVES) -> tuple[DataFrame,
     lo, hi = rows.agg(F.min(F.array_min("_v")), F.max(F.array_max("_v"))).first()
     lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
     width = (hi - lo) / 2 ** DEPTH or 1.0
-    fine = F.transform("_v", lambda x: F.least(F.floor((x - lo) / width), F.lit(2 ** DEPTH - 1)).cast("bigint"))
+    dims = rows.select(F.max(F.size("_v"))).first()[0] or 0
+
+    def place(x: Column) -> Column:
+        return F.least(F.floor((x - lo) / width), F.lit(2 ** DEPTH - 1)).cast("bigint")
 
     def grid(by: int) -> Column:
-        return F.transform(fine, lambda b: F.shiftright(b, by))
+        return F.transform("_v", lambda x: F.shiftright(place(x), by))
 
     keys = [F.col("_v"), *map(grid, range(DEPTH + 1))]
-    about = rows.agg(*[F.approx_count_distinct(F.xxhash64(k), 0.02).alias(f"c{i}") for i, k in enumerate(keys)]).first()
-    dims = rows.select(F.max(F.size("_v"))).first()[0] or 0
+    placed = rows.select("_v", *[place(F.col("_v")[i]).alias(f"p{i}") for i in range(dims)])      # a place is found once for all grids
+    hashes = [F.xxhash64("_v"), *[F.xxhash64(*[F.shiftright(f"p{i}", by) for i in range(dims)] or [F.lit(0)]) for by in range(DEPTH + 1)]]
+    about = placed.agg(*[F.approx_count_distinct(h, 0.02).alias(f"c{i}") for i, h in enumerate(hashes)]).first()
     centre = F.array(*[F.avg(F.col("_v")[i]) for i in range(dims)]).alias("centre")
     for key, n in zip(keys, about):              # ends: the last grid has one cell
         if n <= 2 * leaves:

@@ -361,3 +361,21 @@ def test_quasi_counts_sort_once_and_tables_may_be_dropped(spark, monkeypatch):
     assert {(r.cell_id, r.gene): (r.mu, r.qumi) for r in found.collect()} == kept and len(kept) == len(rows)
     plan = quantile.quasi_counts(values, 60, value="cnt")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
+
+
+def test_region_means_are_computed_once_for_the_scores(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    values = spark.createDataFrame([("s", 1, "g1", 2.0), ("s", 1, "g2", 4.0), ("s", 2, "g3", 3.0)], "sample string, cell_id int, gene string, v double")
+    placed = spark.createDataFrame([("g1", "A"), ("g2", "A"), ("g3", "B"), ("g4", "C")], "gene string, region string")
+    factors = spark.createDataFrame([("s", 1, 1.0), ("s", 2, 0.5), ("s", 3, 0.0)], "sample string, cell_id int, norm_factor double")
+    means = regions.region_means(values, factors, placed)
+    got = {(r.cell_id, r.region): r.x for r in means.collect()}
+    assert got == {(1, "A"): 2.0, (1, "B"): -1.0, (1, "C"): -1.0, (2, "A"): -0.5, (2, "B"): 2.5, (2, "C"): -0.5, (3, "A"): 0.0, (3, "B"): 0.0, (3, "C"): 0.0}
+    z = regions.region_zscores(means.mapInPandas(counted, means.schema))
+    assert len(z.collect()) == 9 and seen.value == 9
