@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from catalog import fixtures as fx, matrix
 from check import TABLES, rows_of
+from cytolake.operators import normalize
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -89,3 +90,13 @@ def test_rounds_are_the_operators_own(spark, monkeypatch, query, module, name, r
     monkeypatch.setattr(getattr(matrix, module), name, call)
     with pytest.raises(Called, match=f"^{full}$"):
         QUERIES[query](spark, SF)
+
+
+def test_tokens_of_a_document_are_counted_where_its_text_was_sent(spark, tmp_path):
+    docs = [(1, "en", "a b  a"), (1, "en", "b\tc"), (2, None, "a\na"), (3, "fr", None), (4, "fr", "")]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = fx.token_counts(spark, str(tmp_path))
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(
+        [("en", 1, "a", 2), ("en", 1, "b", 2), ("en", 1, "c", 1), (None, 2, "a", 2)], key=str)
+    plan = normalize.log_normalize(counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
