@@ -153,6 +153,42 @@ def test_pairs_are_proper_and_repeatable(spark):
     assert len(a) == 220 and (a.groupby("sim").parent.nunique() == 2).all()
 
 
+def test_scores_come_from_counts_without_lists(spark, monkeypatch):
+    def listed(*_, **__):
+        raise AssertionError("neighbours were listed")
+    monkeypatch.setattr(doublets.graph, "knn", listed)
+    counts, cells = planted_counts(spark, samples=("a", "b"))
+    rates = spark.createDataFrame([("a", 0.1), ("b", 0.1)], "sample string, doublet_rate double")
+    assert doublets.doublet_scores(counts, cells, rates, n_features=30, n_pcs=5).filter("scrublet_score IS NOT NULL").count() == 110
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 7])
+def test_sparse_rows_are_summed_by_their_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(pca, "PAIRS", pairs)
+    seen, add = spark.sparkContext.accumulator(0), pca._add_pairs
+
+    def counted(total, sizes, idx, dz):
+        seen.add(len(sizes))
+        add(total, sizes, idx, dz)
+    monkeypatch.setattr(pca, "_add_pairs", counted)
+    width, rng = 200, np.random.default_rng(3)
+    held = [sorted(rng.choice(width, n, replace=False).tolist()) for n in (0, 1, 2, 3, 0, 5, 1, 4)]
+    held += [list(range(width))] * 1100         # a second piece, of full rows
+    dz = [rng.normal(size=len(h)).tolist() for h in held]
+    rows = spark.createDataFrame([("s", h, z) for h, z in zip(held[:8], dz[:8])] + [("t", h, z) for h, z in zip(held[8:], dz[8:])], "g string, idx array<int>, dz array<double>")
+    blocks = pca.gram(rows.coalesce(1), width, ["g"], spark.createDataFrame([("s", 8), ("t", 1100)], "g string, _n bigint")).toPandas()
+    assert seen.value == 8
+    for g, part in (("s", slice(0, 8)), ("t", slice(8, None))):
+        x = np.zeros((len(held[part]), width + 1))
+        x[:, width] = 1
+        for i, (h, z) in enumerate(zip(held[part], dz[part])):
+            x[i, h] = z
+        got = np.zeros((width + 1, width + 1))
+        for b, data in blocks[blocks.g == g][["block", "data"]].itertuples(index=False):
+            got[b * pca.BLOCK:b * pca.BLOCK + pca.BLOCK] = np.asarray(data).reshape(-1, width + 1)
+        assert np.allclose(got, x.T @ x)
+
+
 def test_mixture_likelihood_rises_and_prefers_two_where_planted(spark):
     rng = np.random.default_rng(5)
     rows = [("s", i, "two", float(v)) for i, v in enumerate(np.r_[rng.normal(-2, .5, 100), rng.normal(2, .5, 100)])]
