@@ -9,10 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..runtime import spread
 from ..schema import CELL_KEY
 
 STEPS = 240
 DEPTH = 40.0          # the integrand is followed down to exp(-DEPTH) of its top
+NODE, STRIP = 0.45, 0.25      # most steps of ``_slopes``, in widths of the top and as such
+BLOCK = 1 << 16       # numbers in memory at once there, about
 
 
 def log_factorial(y: np.ndarray) -> np.ndarray:
@@ -22,12 +25,8 @@ def log_factorial(y: np.ndarray) -> np.ndarray:
     return series - np.log(y[:, None] + np.arange(1.0, 11.0)).sum(axis=1)
 
 
-def _around_top(y: np.ndarray, mu, sigma):
-    """Top x of each integrand, steps d around it, their width, and the integrand at x + d over that at x.
-
-    The top is found by Newton's steps; from it the integrand's logarithm falls by e^x (e^d - 1 - d) + d^2 / (2 sigma^2) exactly. The
-    trapezoid rule runs over the d where that is below ``DEPTH``, so its nodes are as dense as the top is narrow.
-    """
+def _top(y: np.ndarray, mu, sigma) -> np.ndarray:
+    """Where each integrand is greatest, by Newton's steps."""
     x = np.where(y > 0, np.log(np.maximum(y, 0.5)), np.minimum(mu, 0.0))
     for _ in range(200):
         rate = np.exp(x)
@@ -35,6 +34,16 @@ def _around_top(y: np.ndarray, mu, sigma):
         x = x + np.clip(step, -1.0, 1.0)
         if np.all(np.abs(step) < 1e-12 * (1 + np.abs(x))):
             break
+    return x
+
+
+def _around_top(y: np.ndarray, mu, sigma):
+    """Top x of each integrand, steps d around it, their width, and the integrand at x + d over that at x.
+
+    From the top the integrand's logarithm falls by e^x (e^d - 1 - d) + d^2 / (2 sigma^2) exactly. The
+    trapezoid rule runs over the d where that is below ``DEPTH``, so its nodes are as dense as the top is narrow.
+    """
+    x = _top(y, mu, sigma)
     rate = np.exp(x)
 
     def reach(sign: int) -> np.ndarray:
@@ -64,22 +73,74 @@ def poisson_lognormal_log_pmf(y: np.ndarray, mu, sigma) -> np.ndarray:
     return _log_pmf(y, mu, sigma, x, h, heights)
 
 
-def _slopes(y: np.ndarray, mu: np.ndarray, sigma: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """ln P and its first and second derivatives by mu and ln sigma (five columns after it), from the moments of z = (x - mu) / sigma."""
+def _spans(rate: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far left and right of its top an integrand is followed: Newton's steps from above on a convex function, so never too short."""
+    wide = 1 / sigma ** 2
+    left = math.sqrt(2 * DEPTH) * sigma
+    right = math.sqrt(2 * DEPTH) * np.minimum(sigma, 1 / np.sqrt(rate + wide))
+    right = np.minimum(right, np.log(2 * DEPTH / np.maximum(rate, 1e-300) + 2))
+    for _ in range(8):
+        e = np.exp(-left)
+        left = left - (rate * (e - 1 + left) + left * left * wide / 2 - DEPTH) / (rate * (1 - e) + left * wide)
+        e = np.exp(right)
+        right = right - (rate * (e - 1 - right) + right * right * wide / 2 - DEPTH) / (rate * (e - 1) + right * wide)
+    return left, right
+
+
+def _slopes(y: np.ndarray, mu: np.ndarray, sigma: np.ndarray, constant: np.ndarray | None = None) -> np.ndarray:
+    """ln P and its first and second derivatives by mu and ln sigma (five columns after it), from the moments of z = (x - mu) / sigma.
+
+    The trapezoid rule's error falls with exp(-2 pi a / step), a being how far the integrand stays tame off the real line: pi / 2, and less the narrower its
+    top. Steps of ``NODE`` widths of the top, and of ``STRIP`` at most, leave about 1e-15, so narrow tops take few nodes and wide ones what they need.
+    ``constant`` is ln y! where that is known already.
+    """
     out = np.empty((len(y), 6))
-    for lo in range(0, len(y), rows):
-        yy, m, s = y[lo:lo + rows], mu[lo:lo + rows], sigma[lo:lo + rows]
-        x, d, h, heights = _around_top(yy, m, s)
-        z = ((x - m)[:, None] + d) / s[:, None]
-        w = heights / heights.sum(axis=1, keepdims=True)
-        e1, e2, e3, e4 = ((w * z ** p).sum(axis=1) for p in range(1, 5))
-        out[lo:lo + rows] = np.stack([_log_pmf(yy, m, s, x, h, heights), e1 / s, e2 - 1, (e2 - e1 ** 2 - 1) / s ** 2,
-                                      (e3 - e1 * e2 - 2 * e1) / s, e4 - e2 ** 2 - 2 * e2], axis=1)
+    constant = log_factorial(y) if constant is None else constant
+    x = _top(y, mu, sigma)
+    rate = np.exp(x)
+    left, right = _spans(rate, sigma)
+    nodes = np.ceil((left + right) / np.minimum(NODE / np.sqrt(rate + 1 / sigma ** 2), STRIP))
+    nodes = (16 * np.ceil(np.maximum(nodes, 32) / 16)).astype(np.int64)
+    half = (left + right) / 2
+    order = np.argsort(nodes, kind="stable")
+    sizes, first = np.unique(nodes[order], return_index=True)
+    for size, lo, hi in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        at = np.linspace(-1.0, 1.0, size + 1)
+        powers = np.stack([at ** p for p in range(5)], axis=1)
+        for start in range(lo, hi, max(1, BLOCK // size)):
+            rows = order[start:min(hi, start + max(1, BLOCK // size))]
+            r, s = rate[rows, None], sigma[rows]
+            d = (half[rows] - left[rows])[:, None] + half[rows, None] * at
+            fall = np.exp(d) if float(r.max()) < 1e3 else np.expm1(d) + 1.0
+            fall -= 1.0
+            fall -= d
+            fall *= r
+            d *= d
+            d *= (0.5 / s ** 2)[:, None]
+            fall += d
+            np.negative(fall, out=fall)
+            np.exp(fall, out=fall)
+            m0, m1, m2, m3, m4 = (fall @ powers).T
+            m1, m2, m3, m4 = m1 / m0, m2 / m0, m3 / m0, m4 / m0
+            b = half[rows] / s
+            e = (x[rows] - mu[rows] + half[rows] - left[rows]) / s + b * m1          # mean of z, then its central moments
+            v = b ** 2 * (m2 - m1 ** 2)
+            c3 = b ** 3 * (m3 - 3 * m1 * m2 + 2 * m1 ** 3)
+            c4 = b ** 4 * (m4 - 4 * m1 * m3 + 6 * m1 ** 2 * m2 - 3 * m1 ** 4)
+            top = y[rows] * x[rows] - rate[rows] - constant[rows] - (x[rows] - mu[rows]) ** 2 / (2 * s ** 2)
+            out[rows, 0] = top + np.log(m0 * (2 * half[rows] / size) / (s * math.sqrt(2 * math.pi)))
+            out[rows, 1] = e / s
+            out[rows, 2] = e * e + v - 1
+            out[rows, 3] = (v - 1) / s ** 2
+            out[rows, 4] = (2 * e * v + c3 - 2 * e) / s
+            out[rows, 5] = 4 * e * e * v + 4 * e * c3 + c4 - v * v - 2 * (e * e + v)
     return out
 
 
 #: Beyond these the likelihood is flat in double precision (all counts equal, or zeros and ones only).
 MU_BOUNDS, LOG_SIGMA_BOUNDS = (-40.0, 40.0), (math.log(0.02), math.log(20.0))
+#: Newton's steps begin at the best of these and of the grid: from a grid that ends far from a cell's maximum most steps were the way there.
+STARTS = np.array([(m, s) for m in (-40.0, -36.0, -32.0, -28.0, -24.0, -20.0, -16.0, -12.0, -8.0, -4.0, 0.0, 4.0) for s in (1.0, 2.0, 4.0, 7.0, 9.0, 11.0, 13.0, 16.0)])
 
 
 def maximise(y: np.ndarray, n: np.ndarray, cell: np.ndarray, mu: np.ndarray, sigma: np.ndarray, tolerance: float = 1e-6, rounds: int = 200):
@@ -91,13 +152,15 @@ def maximise(y: np.ndarray, n: np.ndarray, cell: np.ndarray, mu: np.ndarray, sig
     low, high = (np.array([b[k] for b in (MU_BOUNDS, LOG_SIGMA_BOUNDS)]) for k in range(2))
     at = np.clip(at, low, high)
 
+    known, noise = log_factorial(y), 1e-14 * np.bincount(cell, n, len(at))      # of a sum over so many counts, mostly zeros
+
     def look(points: np.ndarray, which: np.ndarray) -> np.ndarray:
-        rows = np.flatnonzero(np.isin(cell, which))
+        wanted = np.zeros(len(points), bool)
+        wanted[which] = True
+        rows = np.flatnonzero(wanted[cell])
         c = cell[rows]
-        each = _slopes(y[rows], points[c, 0], np.exp(points[c, 1])) * n[rows, None]
-        sums = np.zeros((len(points), 6))
-        np.add.at(sums, c, each)
-        return sums[which]
+        each = _slopes(y[rows], points[c, 0], np.exp(points[c, 1]), known[rows]) * n[rows, None]
+        return np.stack([np.bincount(c, each[:, p], len(points)) for p in range(6)], axis=1)[which]
 
     now, todo, slope = np.full((len(at), 6), -np.inf), np.arange(len(at)), np.full(len(at), np.inf)
     now[todo] = look(at, todo)
@@ -116,11 +179,22 @@ def maximise(y: np.ndarray, n: np.ndarray, cell: np.ndarray, mu: np.ndarray, sig
         values = -np.maximum(np.abs(values), 1e-9)              # uphill even where the likelihood is not concave
         free = np.where(out[todo], 0.0, g[todo])
         step = -np.einsum("nij,nj,nkj,nk->ni", vectors, 1 / values, vectors, free)
-        step *= np.minimum(1.0, 2.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300)) * scale[todo, None]
+        # mu is measured in sigmas, so a far maximum is a few steps away
+        most = np.stack([2.0 * np.maximum(1.0, np.exp(at[todo, 1])), np.full(len(todo), 2.0)], axis=1)
+        step *= np.minimum(1.0, (most / np.maximum(np.abs(step), 1e-300)).min(axis=1, keepdims=True))
+        # a step that ends at a bound: the other number follows the one that is held there
+        held = np.clip(at[todo] + step, low, high) - at[todo]
+        over = (at[todo] + step < low) | (at[todo] + step > high)
+        for k in range(2):
+            cut = over[:, k] & ~over[:, 1 - k]
+            follow = (free[:, 1 - k] + h[:, 0, 1] * held[:, k]) / np.maximum(np.abs(h[:, 1 - k, 1 - k]), 1e-9)
+            step[cut, 1 - k] = np.clip(follow, -most[:, 1 - k], most[:, 1 - k])[cut]
+            step[cut, k] = held[cut, k]
+        step *= scale[todo, None]
         tried = at.copy()
         tried[todo] = np.clip(at[todo] + step, low, high)
         new = look(tried, todo)
-        better = new[:, 0] >= now[todo, 0] - 1e-12 * np.abs(now[todo, 0])
+        better = new[:, 0] >= now[todo, 0] - 1e-12 * np.abs(now[todo, 0]) - noise[todo]
         at[todo[better]], now[todo[better]], scale[todo[better]] = tried[todo[better]], new[better], 1.0
         scale[todo[~better]] /= 4
     return at[:, 0], np.exp(at[:, 1]), now[:, 0], slope
@@ -132,46 +206,57 @@ def poisson_lognormal_pmf(y: np.ndarray, mu: float, sigma: float) -> np.ndarray:
 
 def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float], sigmas: Sequence[float], refine: bool = False) -> DataFrame:
     """Most likely (mu, sigma) of every cell on a grid: ``(sample, cell_id, mu, sigma, ll)``; with ``refine`` the maximum that Newton's
-    steps reach from there, with ``grid_ll`` and ``slope``, the greatest derivative left.
+    steps reach from there or from a better one of ``STARTS``, with ``grid_ll`` and ``slope``, the greatest derivative left.
 
     A cell becomes the histogram of its counts (zeros included), one row; a task works out the likelihood of a count
     when it first meets it, and every grid point of a cell is then one product.
     """
     grid = np.array(sorted((float(m), float(s)) for m in mus for s in sigmas))
-    seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
+    points = np.concatenate([grid, STARTS]) if refine else grid
+    # one shuffle by cell for both sums, in parts that adaptive execution leaves apart: they are small, but much work
+    seen = spread(counts.select(*CELL_KEY, "cnt"), CELL_KEY).groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
     held = seen.groupBy(*CELL_KEY).agg(F.collect_list("cnt").alias("_y"), F.collect_list("n").alias("_n"), F.sum("n").alias("_rows"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[float, np.ndarray] = {}
+        met, table = np.zeros(0), np.zeros((0, len(points)))
 
         def logs(y: np.ndarray) -> np.ndarray:
-            new = np.array([v for v in y if v not in known])
+            nonlocal met, table
+            new = np.setdiff1d(y, met)
             if len(new):
-                table = np.stack([poisson_lognormal_log_pmf(new, m, s) for m, s in grid.tolist()], axis=1)
-                if len(known) > 1 << 16:
-                    known.clear()
-                    return logs(y)
-                known.update(zip(new.tolist(), table))
-            return np.stack([known[v] for v in y.tolist()])
+                if len(met) > 1 << 16:
+                    met, table, new = met[:0], table[:0], np.unique(y)
+                rows = [np.stack([poisson_lognormal_log_pmf(new[lo:lo + 4096], m, s) for m, s in grid.tolist()], axis=1)
+                        for lo in range(0, len(new), 4096)]
+                more = points[len(grid):]
+                far = _slopes(np.repeat(new, len(more)), np.tile(more[:, 0], len(new)), np.tile(more[:, 1], len(new)))[:, 0]
+                met, table = np.concatenate([met, new]), np.concatenate([table, np.hstack([np.concatenate(rows), far.reshape(len(new), len(more))])])
+                order = np.argsort(met)
+                met, table = met[order], table[order]
+            return table[np.searchsorted(met, y)]
 
         for pdf in batches:
-            for first in range(0, len(pdf), 256):
-                part = pdf.iloc[first:first + 256]
-                ys, ns, tops, lls = [], [], [], []
+            for first in range(0, len(pdf), 1024):
+                part = pdf.iloc[first:first + 1024]
+                ys, ns, tops, lls, starts = [], [], [], [], []
                 for y, n, total in zip(part["_y"], part["_n"], part["_rows"]):
                     y, n = np.append(np.asarray(y, float), 0.0), np.append(np.asarray(n, float), n_genes - total)
                     order = np.argsort(y, kind="stable")
                     ys.append(y[order])
                     ns.append(n[order])
-                    ll = ns[-1] @ logs(ys[-1])
-                    near = np.round(ll, 6)
+                known, at = logs(np.concatenate(ys)), 0
+                for y, n in zip(ys, ns):
+                    ll = n @ known[at:at + len(y)]
+                    at += len(y)
+                    near = np.round(ll[:len(grid)], 6)
                     tops.append(np.flatnonzero(near == near.max())[-1])      # of equal ones the greatest (mu, sigma)
                     lls.append(ll[tops[-1]])
+                    starts.append(int(np.argmax(ll)) if ll.max() > lls[-1] else tops[-1])
                 out = part[list(CELL_KEY)].copy()
                 out["mu"], out["sigma"], out["ll"] = grid[tops, 0], grid[tops, 1], lls
                 if refine:
                     cell = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
-                    out["mu"], out["sigma"], out["ll"], out["slope"] = maximise(np.concatenate(ys), np.concatenate(ns), cell, grid[tops, 0], grid[tops, 1])
+                    out["mu"], out["sigma"], out["ll"], out["slope"] = maximise(np.concatenate(ys), np.concatenate(ns), cell, points[starts, 0], points[starts, 1])
                     out["grid_ll"] = lls
                 yield out
 

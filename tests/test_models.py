@@ -270,6 +270,47 @@ def test_fit_recovers_the_grid_point(spark):
     assert (got.mu, got.sigma) == (0.5, 1.0)
 
 
+def test_newton_rests_where_zeros_outweigh_all(spark):
+    # cells of 20 counts among 20,000 features, whose maxima lie far from the grid
+    kept = [[4, 5, 5, 10, 17, 20, 20, 21, 23, 25, 25, 28, 31, 32, 35, 35, 39, 40, 44, 47, 49], [2, 2, 2, 8, 11, 13, 20, 20, 21, 22, 37, 40, 41, 43, 44, 46, 50]]
+    rows = [("s", c, g, n) for c, counts in enumerate(kept) for g, n in enumerate(counts)]
+    counts = spark.createDataFrame(rows, "sample string, cell_id bigint, gene bigint, cnt bigint")
+    got = quantile.fit_poisson_lognormal(counts, 20000, [-6.0, -4.0, -2.0], [1.0, 2.2, 3.4], refine=True).toPandas()
+    assert len(got) == 2 and (got.slope < 1e-6).all() and (got.ll >= got.grid_ll).all()
+
+
+def test_newton_walks_to_the_bounds_in_few_rounds(monkeypatch):
+    rng, seen, slopes = np.random.default_rng(21), [], quantile._slopes
+    ys, ns = zip(*(np.unique(rng.integers(1, 51, rng.integers(20, 60)).astype(float), return_counts=True) for _ in range(12)))
+    cell = np.repeat(np.arange(12), [len(y) + 1 for y in ys])
+    n = np.concatenate([np.append(1.2e6 - n.sum(), n) for n in ns])
+
+    def look(y, *rest):
+        seen.append(len(y))
+        return slopes(y, *rest)
+    monkeypatch.setattr(quantile, "_slopes", look)
+    *_, left = quantile.maximise(np.concatenate([np.append(0.0, y) for y in ys]), n, cell, np.full(12, -6.0), np.full(12, 1.0))
+    assert left.max() < 1e-6 and sum(seen) <= 25 * len(cell)
+
+
+def test_slopes_against_a_dense_sum():
+    rng = np.random.default_rng(22)
+    y = np.concatenate([np.zeros(15), rng.integers(1, 60, 15), rng.integers(100, 20000, 10)]).astype(float)
+    mu, sigma = rng.uniform(-40, 10, 40), np.exp(rng.uniform(math.log(0.02), math.log(20), 40))
+    for i, got in enumerate(quantile._slopes(y, mu, sigma)):
+        top = quantile._top(y[i:i + 1], mu[i:i + 1], sigma[i:i + 1])[0]
+        d = np.linspace(-10 * sigma[i], 10 * sigma[i], 400_001)
+        fall = -math.exp(top) * (np.expm1(np.minimum(d, 700)) - d) - d * d / (2 * sigma[i] ** 2)
+        w, z = np.exp(fall), (top - mu[i] + d) / sigma[i]
+        mean = (w * z).sum() / w.sum()
+        v, c3, c4 = ((w * (z - mean) ** p).sum() / w.sum() for p in (2, 3, 4))
+        want = [y[i] * top - math.exp(top) - math.lgamma(y[i] + 1) - (top - mu[i]) ** 2 / (2 * sigma[i] ** 2)
+                + math.log(w.sum() * (d[1] - d[0]) / (sigma[i] * math.sqrt(2 * math.pi))),
+                mean / sigma[i], mean ** 2 + v - 1, (v - 1) / sigma[i] ** 2, (2 * mean * v + c3 - 2 * mean) / sigma[i],
+                4 * mean ** 2 * v + 4 * mean * c3 + c4 - v * v - 2 * (mean ** 2 + v)]
+        assert got == pytest.approx(want, rel=1e-8, abs=1e-9)
+
+
 def test_planted_copy_number_gain_is_called(spark):
     from cytolake.plans import analyses
 
