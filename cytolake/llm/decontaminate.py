@@ -96,6 +96,11 @@ class Items:
             for part in parts:
                 part.close()
 
+    @property
+    def sizes(self) -> dict[int, list[int]]:
+        """Shingle length -> the least shingles of a document for each of its partitions."""
+        return {k: [part.least for part in parts] for k, parts in self.partitions.items()}
+
     def fitting(self, k: int, shingles: int) -> list[Partition]:
         """The partitions that a document with so many shingles of length k can match."""
         return [part for part in self.partitions[k] if part.least <= shingles]

@@ -213,8 +213,7 @@ def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float],
     """
     grid = np.array(sorted((float(m), float(s)) for m in mus for s in sigmas))
     points = np.concatenate([grid, STARTS]) if refine else grid
-    # one shuffle by cell for both sums, in parts that adaptive execution leaves apart: they are small, but much work
-    seen = spread(counts.select(*CELL_KEY, "cnt"), CELL_KEY).groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy(*CELL_KEY, F.col("cnt").cast("double").alias("cnt")).agg(F.count(F.lit(1)).alias("n"))
     held = seen.groupBy(*CELL_KEY).agg(F.collect_list("cnt").alias("_y"), F.collect_list("n").alias("_n"), F.sum("n").alias("_rows"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +261,7 @@ def fit_poisson_lognormal(counts: DataFrame, n_genes: int, mus: Sequence[float],
 
     keys = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in CELL_KEY)
     more = ", slope double, grid_ll double" if refine else ""
-    return held.mapInPandas(best, f"{keys}, mu double, sigma double, ll double{more}")
+    return spread(held, CELL_KEY).mapInPandas(best, f"{keys}, mu double, sigma double, ll double{more}")
 
 
 def scale_of(zero_share: float, shape: float) -> float:
